@@ -1,0 +1,283 @@
+"""Caption metrics and covered-text matching over whole texts.
+
+N-gram counts are rows: exploded once per text, counted with a map-side combine, and joined on
+(text, n-gram) keys.  Longest common subsequences and string similarity run as small Arrow functions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as ST
+
+from evalspark.functions import text as T
+
+MAX_ORDER = 4
+_SMALL, _TINY = 1e-9, 1e-15
+_SIGMA = 6.0
+_BETA = 1.2
+
+
+def ngrams(tokens: Column, n: int) -> Column:
+    """All runs of n tokens, as texts joined by one space."""
+    count = F.size(tokens) - (n - 1)
+    starts = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
+    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    return F.slice(grams, 1, F.greatest(count, F.lit(0)))
+
+
+def ngram_counts(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """Counts of the 1- to 4-grams of each text: ``keys, order, gram, tf``."""
+    tagged = F.concat(*[
+        F.transform(ngrams(F.col("_w"), n), lambda g, n=n: F.struct(F.lit(n).alias("order"), g.alias("gram")))
+        for n in range(1, MAX_ORDER + 1)
+    ])
+    return (
+        texts.select(*keys, T.words(text).alias("_w"))
+        .select(*keys, F.explode(tagged).alias("_g"))
+        .groupBy(*keys, "_g.order", "_g.gram")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+
+
+def caption_texts(df: DataFrame, index: str = "idx", prediction: str = "prediction", references: str = "references") -> DataFrame:
+    """Long form of predictions and references: ``ref`` is -1 for the prediction, else the reference number."""
+    hyp = df.select(index, F.lit(-1).alias("ref"), T.as_text(prediction).alias("text"))
+    return hyp.unionByName(df.select(index, F.posexplode(references).alias("ref", "text")))
+
+
+def bleu(texts: DataFrame, index: str = "idx", counts: DataFrame | None = None) -> DataFrame:
+    """Corpus BLEU-1..4 (one row): clipped n-gram precision, closest reference length, brevity penalty."""
+    counts = ngram_counts(texts, [index, "ref"]) if counts is None else counts
+    is_hyp = F.col("ref") == -1
+    clipped = (
+        counts.groupBy(index, "order", "gram")
+        .agg(
+            F.coalesce(F.max(F.when(is_hyp, F.col("tf"))), F.lit(0)).alias("hyp"),
+            F.coalesce(F.max(F.when(~is_hyp, F.col("tf"))), F.lit(0)).alias("best"),
+        )
+        .agg(*[
+            F.coalesce(F.sum(F.when(F.col("order") == n, F.least("hyp", "best"))), F.lit(0)).alias(f"correct{n}")
+            for n in range(1, MAX_ORDER + 1)
+        ])
+    )
+    lengths = texts.select(index, "ref", F.size(T.words("text")).alias("len"))
+    hyp_len = lengths.where(is_hyp).select(index, F.col("len").alias("hyp_len"))
+    closest = F.min(F.struct(F.abs(F.col("len") - F.col("hyp_len")).alias("gap"), F.col("len").alias("len")))["len"]
+    totals = (
+        lengths.where(~is_hyp)
+        .join(hyp_len, index)
+        .groupBy(index)
+        .agg(F.first("hyp_len").alias("hyp_len"), closest.alias("ref_len"))
+        .agg(
+            F.sum("hyp_len").alias("hyp_len"),
+            F.sum("ref_len").alias("ref_len"),
+            *[F.sum(F.greatest(F.col("hyp_len") - (n - 1), F.lit(0))).alias(f"guess{n}") for n in range(1, MAX_ORDER + 1)],
+        )
+    )
+    joined = clipped.select(F.lit(1).alias("_one"), "*").join(totals.select(F.lit(1).alias("_one"), "*"), "_one")
+    ratio = (F.col("hyp_len") + _TINY) / (F.col("ref_len") + _SMALL)
+    penalty = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
+    product, scores = F.lit(1.0), []
+    for n in range(1, MAX_ORDER + 1):
+        product = product * ((F.col(f"correct{n}") + _TINY) / (F.col(f"guess{n}") + _SMALL))
+        scores.append((F.pow(product, F.lit(1.0 / n)) * penalty * 100).alias(f"Bleu_{n}"))
+    return joined.select(*scores)
+
+
+def cider(texts: DataFrame, index: str = "idx", counts: DataFrame | None = None) -> DataFrame:
+    """CIDEr of every prediction (``index, cider``), with document frequencies over the references."""
+    counts = ngram_counts(texts, [index, "ref"]) if counts is None else counts
+    frequency = (
+        counts.where("ref >= 0").select(index, "order", "gram").distinct()
+        .groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df"))
+    )
+    log_docs = F.log(texts.where("ref = -1").agg(F.count(F.lit(1)).alias("n")).scalar().cast("double"))
+    weighted = counts.join(frequency, ["order", "gram"], "left").select(
+        index, "ref", "order", "gram", "tf",
+        (F.col("tf") * (log_docs - F.log(F.coalesce("df", F.lit(1)).cast("double")))).alias("w"),
+    )
+    norms = weighted.groupBy(index, "ref", "order").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("terms")
+    )
+    hyp = weighted.where("ref = -1").select(index, "order", "gram", F.col("w").alias("hw"))
+    dots = (
+        weighted.where("ref >= 0").join(hyp, [index, "order", "gram"])
+        .groupBy(index, "ref", "order").agg(F.sum(F.least("hw", "w") * F.col("w")).alias("dot"))
+    )
+    hyp_norms = norms.where("ref = -1").select(index, "order", F.col("norm").alias("hnorm"))
+    bigrams = F.sum(F.when(F.col("order") == 2, F.col("terms")))
+    sizes = norms.groupBy(index, "ref").agg(F.coalesce(bigrams, F.lit(0)).alias("len"))
+    hyp_sizes = sizes.where("ref = -1").select(index, F.col("len").alias("hlen"))
+    scale = F.col("norm") * F.col("hnorm")
+    similarity = F.when(scale != 0, F.col("dot") / scale).otherwise(F.col("dot"))
+    per_ref = (
+        dots.join(norms.select(index, "ref", "order", "norm"), [index, "ref", "order"])
+        .join(hyp_norms, [index, "order"])
+        .groupBy(index, "ref").agg(F.sum(similarity).alias("sims"))
+    )
+    gap = (F.coalesce("hlen", F.lit(0)) - F.col("len")).cast("double")
+    gaussian = F.exp(-(gap * gap) / (2 * _SIGMA * _SIGMA))
+    references = texts.where("ref >= 0").select(index, "ref")
+    scored = (
+        references.join(per_ref, [index, "ref"], "left")
+        .join(sizes, [index, "ref"], "left").na.fill(0, ["len"])
+        .join(hyp_sizes, index, "left")
+        .groupBy(index)
+        .agg((F.avg(F.coalesce(F.col("sims") * gaussian, F.lit(0.0))) / MAX_ORDER * 10.0).alias("cider"))
+    )
+    return scored
+
+
+def _common_subsequence(left: list[str], right: list[str]) -> int:
+    """Length of the longest common subsequence; one bit per word of ``right``."""
+    places: dict[str, int] = {}
+    for i, word in enumerate(right):
+        places[word] = places.get(word, 0) | (1 << i)
+    full = (1 << len(right)) - 1
+    free = full
+    for word in left:
+        hits = free & places.get(word, 0)
+        free = ((free + hits) | (free - hits)) & full
+    return len(right) - free.bit_count()
+
+
+@F.pandas_udf(ST.IntegerType())
+def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two word arrays."""
+    return pd.Series([_common_subsequence(list(a), list(b)) for a, b in zip(left, right, strict=True)], dtype="int32")
+
+
+def rouge_l(texts: DataFrame, index: str = "idx") -> DataFrame:
+    """ROUGE-L (beta 1.2) of every prediction with its best recall and best precision over references."""
+    tokens = texts.select(index, "ref", F.split("text", " ").alias("w"))
+    hyp = tokens.where("ref = -1").select(index, F.col("w").alias("h"))
+    lcs = tokens.where("ref >= 0").join(hyp, index).select(
+        index, common_subsequence("h", "w").alias("lcs"), F.size("h").alias("hn"), F.size("w").alias("rn")
+    )
+    best = lcs.groupBy(index).agg(F.max(F.col("lcs") / F.col("hn")).alias("p"), F.max(F.col("lcs") / F.col("rn")).alias("r"))
+    p, r, b2 = F.col("p"), F.col("r"), _BETA * _BETA
+    score = F.when((p != 0) & (r != 0), (1 + b2) * p * r / (r + b2 * p)).otherwise(0.0)
+    return best.select(index, score.alias("rouge_l"))
+
+
+# ------------------------------------------------------------------ covered text
+def tokenise(c: Column | str, language: Column | str = "en") -> Column:
+    """Words and single marks; for Chinese, single characters."""
+    text = T.col(c)
+    language = F.lit(language) if isinstance(language, str) else language
+    western = F.regexp_extract_all(text, F.lit("(?U)\\w+|[^\\w\\s]"), F.lit(0))
+    eastern = F.regexp_extract_all(text, F.lit("(?U)[a-zA-Z0-9]+|[^\\s]"), F.lit(0))
+    return F.when(language == "zh", eastern).otherwise(western)
+
+
+def _best_window(hay: list[str], needle: list[str], needle_text: str, joint: str) -> tuple[float, int]:
+    """Most similar window of ``hay`` (first of equals) among those sharing a token with the needle.
+
+    The shared-character count bounds the similarity from above; windows are tried in order of that bound
+    and the search ends when the bound falls below the best similarity found.
+    """
+    n, k = len(hay), len(needle)
+    if not 0 < k <= n:
+        return 0.0, -1
+    wanted = set(needle)
+    shares = np.fromiter((w in wanted for w in hay), dtype=np.int64, count=n)
+    shared = np.concatenate(([0], np.cumsum(shares)))
+    starts = np.flatnonzero(shared[k:] > shared[:-k])
+    if starts.size == 0:
+        return 0.0, -1
+    alphabet = {ch: i for i, ch in enumerate(sorted(set(needle_text)))}
+    have = np.zeros((n + 1, len(alphabet)), dtype=np.int32)
+    for i, word in enumerate(hay, 1):
+        for ch in word:
+            at = alphabet.get(ch)
+            if at is not None:
+                have[i, at] += 1
+    np.cumsum(have, axis=0, out=have)
+    need = np.zeros(len(alphabet), dtype=np.int32)
+    for ch in needle_text:
+        need[alphabet[ch]] += 1
+    window = have[starts + k] - have[starts]
+    if joint in alphabet:
+        window[:, alphabet[joint]] += len(joint) * (k - 1)
+    lengths = np.concatenate(([0], np.cumsum([len(w) for w in hay])))
+    sizes = lengths[starts + k] - lengths[starts] + len(joint) * (k - 1)
+    bounds = 2.0 * np.minimum(window, need).sum(axis=1) / (sizes + len(needle_text))
+    matcher = SequenceMatcher(None, "", needle_text)
+    best, where = 0.0, -1
+    for j in np.argsort(-bounds, kind="stable"):
+        if bounds[j] < best - 1e-12:
+            break
+        start = int(starts[j])
+        matcher.set_seq1(joint.join(hay[start : start + k]))
+        ratio = matcher.ratio()
+        if ratio > best or (ratio == best and ratio > 0 and start < where):
+            best, where = ratio, start
+    return best, where
+
+
+@F.pandas_udf(ST.StructType([ST.StructField("sim", ST.DoubleType()), ST.StructField("start", ST.IntegerType())]))
+def best_window(hay: pd.Series, needle: pd.Series, needle_text: pd.Series, joint: pd.Series) -> pd.DataFrame:
+    """Similarity and 0-based start of the best window; start -1 when no window shares a token."""
+    found = [
+        _best_window(list(h), list(n), t, j) for h, n, t, j in zip(hay, needle, needle_text, joint, strict=True)
+    ]
+    return pd.DataFrame({"sim": [s for s, _ in found], "start": pd.array([w for _, w in found], dtype="int32")})
+
+
+def covered_text(df: DataFrame, index: str = "idx", prediction: str = "prediction", answers: str = "answers",
+                 language: str | Column = "en") -> DataFrame:
+    """One row per blank: best matching window and its precision, recall, F1, Jaccard, ROUGE-1, exact match."""
+    language = F.lit(language) if isinstance(language, str) else language
+    pieces = F.split(T.as_text(prediction), "Assistant: ")
+    rows = df.withColumn("_reply", F.element_at(pieces, -1)).select(
+        index, "_reply", F.posexplode(answers).alias("blank", "crossed_text"), language.alias("_lang")
+    )
+    tokens = rows.select(
+        index, "blank", "crossed_text", (~T.is_refusal("_reply")).alias("_ok"),
+        F.when(F.col("_lang") == "zh", "").otherwise(" ").alias("_joint"),
+        tokenise("_reply", F.col("_lang")).alias("_hay"), tokenise("crossed_text", F.col("_lang")).alias("_need"),
+    )
+    # Refused replies carry an empty text into the similarity search; their rows stay.
+    hay = F.when(F.col("_ok"), F.col("_hay")).otherwise(F.slice("_hay", 1, 0))
+    found = tokens.withColumn("_hay", hay).withColumn("_best", best_window("_hay", "_need", "crossed_text", "_joint"))
+    window = F.slice("_hay", F.col("_best.start") + 1, F.size("_need"))
+    placed = found.withColumn("_window", F.when(F.col("_best.start") >= 0, window)).withColumns({
+        "_common": F.size(F.array_intersect("_window", "_need")),
+        "_pred": F.size(F.array_distinct("_window")),
+        "_ref": F.size(F.array_distinct("_need")),
+    })
+    common = F.col("_common").cast("double")
+    precision, recall = common / F.col("_pred"), common / F.col("_ref")
+    overlap = multiset_overlap(F.col("_window"), F.col("_need"))
+    rouge1 = 2.0 * overlap / (F.size("_window") + F.size("_need"))
+    exact = F.forall(F.zip_with("_window", "_need", lambda a, b: a == b), lambda x: x)
+    measures = {
+        "max_sim_val": F.col("_best.sim"),
+        "precision": precision,
+        "recall": recall,
+        "f1": F.when(common > 0, 2 * precision * recall / (precision + recall)),
+        "jaccard": common / (F.col("_pred") + F.col("_ref") - F.col("_common")),
+        "rouge1": rouge1,
+        "exact_match": exact.cast("double"),
+    }
+    best_text = F.when(F.col("_joint") == "", F.array_join("_window", "")).otherwise(F.array_join("_window", " "))
+    return placed.select(
+        index, "blank", "crossed_text", F.coalesce(best_text, F.lit("")).alias("max_sim_string"),
+        *[F.coalesce(F.when(F.col("_window").isNotNull(), v), F.lit(0.0)).alias(k) for k, v in measures.items()],
+    )
+
+
+def multiset_overlap(a: Column, b: Column) -> Column:
+    """Number of common items counted with repeats."""
+    distinct = F.array_distinct(a)
+    each = F.transform(
+        distinct,
+        lambda w: F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))),
+    )
+    return F.aggregate(each, F.lit(0), lambda acc, x: acc + x).cast("double")
