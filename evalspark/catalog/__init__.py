@@ -1,2 +1,2 @@
-from evalspark.catalog import choice
+from evalspark.catalog import answers, choice, judged, runs, video, texts
 from evalspark.catalog.base import REGISTRY

@@ -130,7 +130,7 @@ FROM {orders}
 SUBTITLES = """
 SELECT event_id AS pos, user_id % 20 AS video, (event_id * 37) % 100000 AS start_ms,
   (event_id * 37) % 100000 + 500 + (event_id % 5) * 400 AS end_ms,
-  CASE WHEN event_id % 19 = 0 THEN ' ' ELSE event_type || '\\N' || CAST(event_id % 7 AS STRING) END AS text
+  CASE WHEN event_id % 19 = 0 THEN ' ' ELSE event_type || chr(92) || 'N' || CAST(event_id % 7 AS STRING) END AS text
 FROM {events}
 """
 

@@ -1,11 +1,12 @@
 """Table-answer normalisation and comparison.
 
-Unicode decomposition and the clean-up loop have no SQL form, so :func:`normalise_cell` is an Arrow
-function over text columns; parsing, typing and set comparison of the values stay in Spark expressions.
+Unicode decomposition and the clean-up loop have no SQL form, so reading a cell is a small Arrow function;
+splitting cells, scaling units and comparing sets of values stay in Spark expressions.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -46,10 +47,55 @@ def normalise_cell(cells: pd.Series) -> pd.Series:
     return cells.map(_normalise, na_action="ignore")
 
 
-@F.pandas_udf(ST.ArrayType(ST.StringType()))
-def normalise_cells(cells: pd.Series) -> pd.Series:
-    """:func:`normalise_cell` for every item of an array."""
-    return cells.map(lambda items: [_normalise(x) for x in items], na_action="ignore")
+_VALUE = ST.StructType([
+    ST.StructField("kind", ST.StringType()), ST.StructField("num", ST.DoubleType()),
+    ST.StructField("key", ST.StringType()), ST.StructField("norm", ST.StringType()),
+])
+
+
+def _number(text: str) -> float | None:
+    """Finite number written in a cell; whole when it is within 1e-6 of one."""
+    try:
+        value = float(text)
+    except ValueError:
+        return None
+    if not math.isfinite(value):
+        return None
+    return float(int(value)) if abs(value - round(value)) < 1e-6 else value
+
+
+def _date(text: str) -> tuple[int, ...] | None:
+    """Year, month and day of ``y-m-d``; ``xx`` parts are -1; NULL when it is not a date."""
+    parts = text.lower().split("-")
+    if len(parts) != 3:
+        return None
+    wild = [p == "xx" or (i == 0 and p == "xxxx") for i, p in enumerate(parts)]
+    try:
+        ymd = tuple(-1 if w else int(p) for p, w in zip(parts, wild, strict=True))
+    except ValueError:
+        return None
+    in_range = all(v == -1 or 1 <= v <= top for v, top in zip(ymd[1:], (12, 31), strict=True))
+    return ymd if in_range and set(ymd) != {-1} else None
+
+
+def _typed(text: str) -> dict:
+    number, date, norm = _number(text), _date(text), _normalise(text)
+    if number is None and date is not None and date[1:] == (-1, -1):
+        number = float(date[0])
+    if number is not None:
+        return {"kind": "number", "num": number, "key": repr(number), "norm": norm}
+    if date is not None:
+        return {"kind": "date", "num": None, "key": "-".join(map(str, date)), "norm": norm}
+    return {"kind": "text", "num": None, "key": norm, "norm": norm}
+
+
+@F.pandas_udf(ST.ArrayType(_VALUE))
+def cell_values(cells: pd.Series) -> pd.Series:
+    """Distinct typed values of an array of cells; the first of equal values is kept."""
+    def values(items: list[str]) -> list[dict]:
+        return list({(v["kind"], v["key"]): v for v in map(_typed, reversed(list(items)))}.values())[::-1]
+
+    return cells.map(values, na_action="ignore")
 
 
 def unescape_list(c: Column | str) -> Column:
@@ -63,37 +109,6 @@ def unescape_list(c: Column | str) -> Column:
     return F.transform(F.split(T.col(c), "\\|"), unescape)
 
 
-def _date_part(x: Column, wild: tuple[str, ...], low: int, high: int) -> Column:
-    value = N.parse_int(x)
-    return F.when(x.isin(*wild), F.lit(-1).cast("bigint")).when(value.between(low, high), value)
-
-
-def typed_value(raw: Column, norm: Column) -> Column:
-    """Struct ``(kind, num, key, norm)``: number, date with wildcards, or text."""
-    integer, real = N.parse_int(raw), N.parse_float(raw)
-    finite = F.when(~F.isnan(real) & (F.abs(real) != float("inf")), real)
-    number = F.coalesce(integer.cast("double"), finite)
-    parts = F.split(F.lower(raw), "-")
-    year = _date_part(F.get(parts, F.lit(0)), ("xx", "xxxx"), -(2**62), 2**62)
-    month = _date_part(F.get(parts, F.lit(1)), ("xx",), 1, 12)
-    day = _date_part(F.get(parts, F.lit(2)), ("xx",), 1, 31)
-    is_date = (F.size(parts) == 3) & ~((year == -1) & (month == -1) & (day == -1))
-    amount = F.when(number.isNotNull(), number).when(is_date & (month == -1) & (day == -1), year.cast("double"))
-    whole = F.abs(amount - F.rint(amount)) < 1e-6
-    amount = F.when(whole & (F.abs(amount) < 9e18), amount.cast("bigint").cast("double")).otherwise(amount)
-    ymd = F.concat_ws("-", year, month, day)
-    kind = F.when(amount.isNotNull(), "number").when(F.coalesce(is_date, F.lit(False)), "date").otherwise("text")
-    key = F.when(kind == "number", amount.cast("string")).when(kind == "date", ymd).otherwise(norm)
-    return F.struct(kind.alias("kind"), amount.alias("num"), key.alias("key"), norm.alias("norm"))
-
-
-def value_set(raw: Column, norm: Column) -> Column:
-    """Typed values of an array of cells without duplicates; the first of equal values is kept."""
-    values = F.zip_with(raw, norm, typed_value)
-    keys = F.transform(values, lambda v: F.concat_ws(":", v["kind"], v["key"]))
-    return F.filter(values, lambda v, i: F.array_position(keys, F.concat_ws(":", v["kind"], v["key"])) == i + 1)
-
-
 def _same_value(a: Column, b: Column) -> Column:
     numbers = (a["kind"] == "number") & (b["kind"] == "number") & (F.abs(a["num"] - b["num"]) < 1e-6)
     dates = (a["kind"] == "date") & (b["kind"] == "date") & (a["key"] == b["key"])

@@ -47,27 +47,37 @@ def typed_score(gold: Column | str, pred: Column | str, answer_format: Column |
     """Score of one answer by its declared format; anything that cannot be compared scores 0."""
     gold, pred, kind = T.col(gold), T.col(pred), T.col(answer_format)
 
-    pred_number = N.parse_float(pred)
-    as_int = F.when(pred_number.between(-9.2e18, 9.2e18), pred_number.cast("bigint"))
-    int_score = (N.parse_int(gold) == as_int).cast("double")
+    def whole(p: Column) -> Column:
+        return F.when(p.between(-9.2e18, 9.2e18), p.cast("bigint"))
 
-    gold_clean, pred_clean = clean_string(gold), clean_string(pred)
-    float_score = N.close_number(N.parse_float(gold_clean), N.parse_float(pred_clean)).cast("double")
+    int_score = (N.parse_int(gold) == T.let(N.parse_float(pred), whole)).cast("double")
 
-    text_score = F.when(needs_exact_match(gold_clean), (gold_clean == pred_clean).cast("double")).otherwise(
-        T.edit_similarity(gold_clean, pred_clean)
-    )
+    def number_score(g: Column, p: Column) -> Column:
+        return N.close_number(g, p).cast("double")
 
-    golds = F.array_sort(F.transform(_items(gold), clean_string))
-    preds = F.array_sort(F.transform(_items(pred), clean_string))
-    head = F.get(golds, F.lit(0))
-    exact = N.parse_float(head).isNotNull() | needs_exact_match(head)
-    worst = F.array_min(F.zip_with(golds, preds, T.edit_similarity))
-    list_score = (
-        F.when(F.size(golds) != F.size(preds), 0.0)
-        .when(exact, (F.array_join(golds, "-") == F.array_join(preds, "-")).cast("double"))
-        .otherwise(worst)
+    float_score = T.let(
+        N.parse_float(clean_string(gold)), lambda g: T.let(N.parse_float(clean_string(pred)), lambda p: number_score(g, p))
     )
+
+    def word_score(g: Column, p: Column) -> Column:
+        return F.when(needs_exact_match(g), (g == p).cast("double")).otherwise(T.edit_similarity(g, p))
+
+    text_score = T.let(clean_string(gold), lambda g: T.let(clean_string(pred), lambda p: word_score(g, p)))
+
+    def items_score(golds: Column, preds: Column) -> Column:
+        head = F.get(golds, F.lit(0))
+        exact = N.parse_float(head).isNotNull() | needs_exact_match(head)
+        worst = F.array_min(F.zip_with(golds, preds, lambda g, p: T.edit_similarity(g, p)))
+        return (
+            F.when(F.size(golds) != F.size(preds), 0.0)
+            .when(exact, (F.array_join(golds, "-") == F.array_join(preds, "-")).cast("double"))
+            .otherwise(worst)
+        )
+
+    def cleaned(c: Column) -> Column:
+        return F.array_sort(F.transform(_items(c), lambda x: clean_string(x)))
+
+    list_score = T.let(cleaned(gold), lambda g: T.let(cleaned(pred), lambda p: items_score(g, p)))
     score = (
         F.when(kind == "Int", int_score)
         .when(kind == "Float", float_score)

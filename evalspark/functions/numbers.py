@@ -44,30 +44,40 @@ def relaxed_match(target: Column | str, prediction: Column | str, tolerance: flo
 
 def decimals(x: Column) -> Column:
     """Digits after the point in the shortest decimal form of a double, 3 where that form has no point."""
-    text = x.cast("string")
-    fraction = F.split_part(F.split_part(text, F.lit("E"), F.lit(1)), F.lit("."), F.lit(2))
-    digits = F.when(fraction == "0", 0).otherwise(F.length(fraction))
-    exponent = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-    exponent_width = F.length(F.abs(exponent).cast("string"))
-    shown = F.when(digits > 0, digits + 2 + F.greatest(exponent_width, F.lit(2))).otherwise(3)
-    return (
-        F.when(exponent.isNull(), F.length(fraction))
-        .when((exponent < -4) | (exponent >= 16), shown)
-        .otherwise(F.greatest(digits - exponent, F.lit(1)))
-    )
+
+    def width(text: Column) -> Column:
+        fraction = F.split_part(F.split_part(text, F.lit("E"), F.lit(1)), F.lit("."), F.lit(2))
+        exponent = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+        digits = F.when(fraction == "0", 0).otherwise(F.length(fraction))
+        shown = F.when(digits > 0, digits + 2 + F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2))).otherwise(3)
+        return (
+            F.when(exponent.isNull(), F.length(fraction))
+            .when((exponent < -4) | (exponent >= 16), shown)
+            .otherwise(F.greatest(digits - exponent, F.lit(1)))
+        )
+
+    return T.let(x.cast("string"), width)
 
 
 def close_number(gold: Column, pred: Column, *, percentage: bool = True, relative: float | None = 0.01) -> Column:
     """Gold, gold/100 or gold*100 within 1 % of the prediction, or equal after rounding."""
-    candidates = [gold / 100, gold, gold * 100] if percentage else [gold]
-    hit = F.lit(False)
-    for g in candidates:
-        if relative is not None:
-            hit = hit | (F.abs(g - pred) <= relative * F.greatest(F.abs(g), F.abs(pred)))
-        places = F.greatest(F.least(decimals(pred), decimals(g)), F.lit(2))
-        scale = F.pow(F.lit(10.0), places)
-        hit = hit | (F.rint(pred * scale) == F.rint(g * scale))
-    return F.coalesce(hit & ~F.isnan(pred) & ~F.isnan(gold), F.lit(False))
+
+    def equal_rounded(g: Column, p: Column, p_places: Column) -> Column:
+        places = F.greatest(F.least(p_places, decimals(g)), F.lit(2))
+        return T.let(F.pow(F.lit(10.0), places), lambda scale: F.rint(p * scale) == F.rint(g * scale))
+
+    def any_close(p: Column, p_places: Column) -> Column:
+        candidates = F.array(gold / 100, gold, gold * 100) if percentage else F.array(gold)
+        if relative is None:
+            return F.exists(candidates, lambda g: equal_rounded(g, p, p_places))
+        return F.exists(
+            candidates,
+            lambda g: (F.abs(g - p) <= relative * F.greatest(F.abs(g), F.abs(p))) | equal_rounded(g, p, p_places),
+        )
+
+    finite = ~F.isnan(pred) & ~F.isnan(gold)
+    hit = T.let(pred, lambda p: T.let(decimals(p), lambda places: any_close(p, places)))
+    return F.coalesce(F.when(finite, hit), F.lit(False))
 
 
 def score_pair(review: Column | str) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def collapse_space(c: Column | str) -> Column:
     return F.array_join(words(c), " ")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it for every array item."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def as_text(c: Column | str, null_text: str = "nan") -> Column:
     """Text of a cell; a missing cell reads ``nan`` as it does in a data frame turned to text."""
     return F.coalesce(col(c).cast("string"), F.lit(null_text))
@@ -42,7 +49,7 @@ def contains_any(c: Column | str, needles: list[str]) -> Column:
 
 def list_in_text(needles: Column, c: Column | str) -> Column:
     """True when any item of an array is a substring of the text."""
-    return F.exists(needles, lambda x: F.contains(col(c), x))
+    return let(col(c), lambda text: F.exists(needles, lambda x: F.contains(text, x)))
 
 
 def is_failure(c: Column | str) -> Column:
@@ -79,11 +86,11 @@ def clean_punctuation(c: Column | str) -> Column:
     digit-comma-digit run; otherwise it becomes a space.  Only the first 32 periods are dropped.
     """
     text = col(c)
-    grouped_digits = text.rlike("\\d,\\d")
-    out = text
-    for mark in K.PUNCTUATION_MARKS:
-        touches_space = F.contains(text, F.lit(mark + " ")) | F.contains(text, F.lit(" " + mark))
-        out = F.replace(out, F.lit(mark), F.when(touches_space | grouped_digits, "").otherwise(" "))
+    marks = "".join(K.PUNCTUATION_MARKS)
+    one = "[" + "".join("\\" + m for m in K.PUNCTUATION_MARKS) + "]"
+    beside_space = F.array_join(F.regexp_extract_all(text, F.lit(f"{one}(?= )|(?<= ){one}"), F.lit(0)), "")
+    deleted = F.when(text.rlike("\\d,\\d"), marks).otherwise(beside_space)
+    out = F.translate(F.call_function("translate", text, deleted, F.lit("")), marks, " " * len(marks))
     return F.array_join(F.split(out, "\\.(?!\\d)", K.PERIOD_REMOVALS + 1), "")
 
 
@@ -125,7 +132,8 @@ def edit_similarity(a: Column | str, b: Column | str, threshold: float = 0.5) ->
 def bag_of_words_f1(gold: Column | str, pred: Column | str) -> Column:
     """F1 whose overlap counts prediction words (with repeats) that occur in the gold text."""
     gold_words, pred_words = words(gold), words(pred)
-    common = F.size(F.filter(pred_words, lambda w: F.array_contains(gold_words, w))).cast("double")
+    overlap = let(gold_words, lambda g: F.filter(pred_words, lambda w: F.array_contains(g, w)))
+    common = F.size(overlap).cast("double")
     recall = common / F.nullif(F.size(gold_words), F.lit(0))
     precision = common / F.nullif(F.size(pred_words), F.lit(0))
     f1 = F.when(recall + precision > 1e-4, 2 * recall * precision / (recall + precision)).otherwise(0.0)

@@ -32,10 +32,14 @@ def _blocks(low: Column, high: Column, base: int, levels: int) -> Column:
             left = F.when(first < up_first * base, F.sequence(first, up_first * base - 1)).otherwise(none)
             right = F.when(up_stop * base < stop, F.sequence(up_stop * base, stop - 1)).otherwise(none)
             whole = F.when(up_first < up_stop, F.concat(left, right)).otherwise(whole)
-        parts.append(F.transform(whole, lambda b, lv=level: F.struct(F.lit(lv).alias("level"), b.alias("block"))))
+        parts.append(_at_level(whole, level))
     return F.concat(*parts)
 
 
+def _at_level(blocks: Column, level: int) -> Column:
+    return F.transform(blocks, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
+
+
 def first_covering(
     points: DataFrame,
     spans: DataFrame,

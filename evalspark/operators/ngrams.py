@@ -33,10 +33,10 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def ngram_counts(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Counts of the 1- to 4-grams of each text: ``keys, order, gram, tf``."""
-    tagged = F.concat(*[
-        F.transform(ngrams(F.col("_w"), n), lambda g, n=n: F.struct(F.lit(n).alias("order"), g.alias("gram")))
-        for n in range(1, MAX_ORDER + 1)
-    ])
+    def tag(n: int) -> Column:
+        return F.transform(ngrams(F.col("_w"), n), lambda g: F.struct(F.lit(n).alias("order"), g.alias("gram")))
+
+    tagged = F.concat(*[tag(n) for n in range(1, MAX_ORDER + 1)])
     return (
         texts.select(*keys, T.words(text).alias("_w"))
         .select(*keys, F.explode(tagged).alias("_g"))
@@ -231,13 +231,19 @@ def best_window(hay: pd.Series, needle: pd.Series, needle_text: pd.Series, joint
 
 
 def covered_text(df: DataFrame, index: str = "idx", prediction: str = "prediction", answers: str = "answers",
-                 language: str | Column = "en") -> DataFrame:
-    """One row per blank: best matching window and its precision, recall, F1, Jaccard, ROUGE-1, exact match."""
+                 language: str | Column = "en", partitions: int | None = None) -> DataFrame:
+    """One row per blank: best matching window and its precision, recall, F1, Jaccard, ROUGE-1, exact match.
+
+    The search costs far more time than its input has bytes; ``partitions`` spreads blanks over that many
+    tasks where the input has fewer.
+    """
     language = F.lit(language) if isinstance(language, str) else language
     pieces = F.split(T.as_text(prediction), "Assistant: ")
     rows = df.withColumn("_reply", F.element_at(pieces, -1)).select(
         index, "_reply", F.posexplode(answers).alias("blank", "crossed_text"), language.alias("_lang")
     )
+    if partitions is not None:
+        rows = rows.repartition(partitions, index, "blank")
     tokens = rows.select(
         index, "blank", "crossed_text", (~T.is_refusal("_reply")).alias("_ok"),
         F.when(F.col("_lang") == "zh", "").otherwise(" ").alias("_joint"),

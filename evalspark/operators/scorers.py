@@ -106,26 +106,26 @@ def match_list(golds: Column, prediction: Column | str, method: str) -> Column:
     """Match value of every gold: ``consensus``, ``anls`` (a distance), ``relaxed``, ``exact`` or ``equal``."""
     text = T.as_text(prediction)
     if method == "consensus":
-        normal = F.transform(golds, T.normalise_answer)
-        pred = T.normalise_answer(A.phrased_answer(text))
+        normal = F.transform(golds, lambda g: T.normalise_answer(g))
 
-        def share(gold: Column) -> Column:
-            same = F.size(F.filter(normal, lambda g: g == pred)) - (gold == pred).cast("int")
-            return F.least(F.lit(1.0), same / 3.0)
+        def shares(names: Column, pred: Column) -> Column:
+            same = F.size(F.filter(names, lambda g: g == pred))
+            return T.let(same, lambda n: F.transform(names, lambda g: F.least(F.lit(1.0), (n - (g == pred).cast("int")) / 3.0)))
 
-        return F.transform(normal, share)
+        return T.let(
+            T.normalise_answer(A.phrased_answer(text)), lambda pred: T.let(normal, lambda names: shares(names, pred))
+        )
     if method == "anls":
-        pred = A.phrased_answer(text)
-        return F.transform(golds, lambda g: T.edit_share(g, pred))
+        return T.let(A.phrased_answer(text), lambda pred: F.transform(golds, lambda g: T.edit_share(g, pred)))
     if method == "relaxed":
         pred = A.phrased_answer(T.strip(text))
-        return F.transform(golds, lambda g: N.relaxed_match(pred, g).cast("double"))
+        return T.let(pred, lambda p: F.transform(golds, lambda g: N.relaxed_match(p, g).cast("double")))
     if method == "exact":
         pred = T.strip(F.lower(text))
-        return F.transform(golds, lambda g: (T.strip(F.lower(g)) == pred).cast("double"))
+        return T.let(pred, lambda p: F.transform(golds, lambda g: (T.strip(F.lower(g)) == p).cast("double")))
     if method == "equal":
         pred = T.normalise_answer(text)
-        return F.transform(golds, lambda g: (T.normalise_answer(g) == pred).cast("double"))
+        return T.let(pred, lambda p: F.transform(golds, lambda g: (T.normalise_answer(g) == p).cast("double")))
     raise ValueError(f"unknown match method {method!r}")
 
 
@@ -172,8 +172,10 @@ def score_ocr(df: DataFrame) -> DataFrame:
     golds, text = T.list_or_empty("answer"), T.as_text("prediction")
     plain_text = flat(F.lower(text))
     packed_text = F.replace(flat(text), F.lit(" "), F.lit(""))
-    plain = F.exists(golds, lambda g: F.contains(plain_text, flat(F.lower(g))))
-    packed = F.exists(golds, lambda g: F.contains(packed_text, F.replace(flat(g), F.lit(" "), F.lit(""))))
+    plain = T.let(plain_text, lambda t: F.exists(golds, lambda g: F.contains(t, flat(F.lower(g)))))
+    packed = T.let(
+        packed_text, lambda t: F.exists(golds, lambda g: F.contains(t, F.replace(flat(g), F.lit(" "), F.lit(""))))
+    )
     hit = F.when(F.col("category") == K.OCR_FORMULA, packed).otherwise(plain)
     return df.withColumn("hit", F.coalesce(hit.cast("int"), F.lit(0)))
 
@@ -198,16 +200,13 @@ def score_table_truth(df: DataFrame) -> DataFrame:
 
 def score_table_denotation(df: DataFrame) -> DataFrame:
     """Lists of table values compared as sets of numbers, dates and texts."""
-    staged = df.withColumns({
+    items = df.withColumns({
         "_gold": D.unescape_list("answer"),
         "_pred": D.unescape_list(F.replace(F.col("prediction"), F.lit("||"), F.lit("|"))),
-    }).withColumns({"_gold_n": D.normalise_cells("_gold"), "_pred_n": D.normalise_cells("_pred")})
-    valued = staged.withColumns({
-        "_gold_v": D.value_set(F.col("_gold"), F.col("_gold_n")),
-        "_pred_v": D.value_set(F.col("_pred"), F.col("_pred_n")),
     })
+    valued = items.withColumns({"_gold_v": D.cell_values("_gold"), "_pred_v": D.cell_values("_pred")})
     score = D.same_denotation(F.col("_gold_v"), F.col("_pred_v")).cast("int")
-    return valued.withColumn("score", score).drop("_gold", "_pred", "_gold_n", "_pred_n", "_gold_v", "_pred_v")
+    return valued.withColumn("score", score).drop("_gold", "_pred", "_gold_v", "_pred_v")
 
 
 def score_table_financial(df: DataFrame) -> DataFrame:
