@@ -109,7 +109,8 @@ def normalise_answer(c: Column | str) -> Column:
 
 
 def _literal_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """Map constant, folded when the plan is optimised."""
+    return F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in values.items())), F.lit(";"), F.lit("="))
 
 
 def edit_share(a: Column | str, b: Column | str) -> Column:

@@ -31,18 +31,33 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.slice(grams, 1, F.greatest(count, F.lit(0)))
 
 
-def ngram_counts(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Counts of the 1- to 4-grams of each text: ``keys, order, gram, tf``."""
-    def tag(n: int) -> Column:
-        return F.transform(ngrams(F.col("_w"), n), lambda g: F.struct(F.lit(n).alias("order"), g.alias("gram")))
-
-    tagged = F.concat(*[tag(n) for n in range(1, MAX_ORDER + 1)])
-    return (
-        texts.select(*keys, T.words(text).alias("_w"))
-        .select(*keys, F.explode(tagged).alias("_g"))
-        .groupBy(*keys, "_g.order", "_g.gram")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+def ngram_counts(texts: DataFrame, keys: Sequence[str], text: str = "text", mark_texts: bool = False) -> DataFrame:
+    """Counts of the 1- to 4-grams of each text: ``keys, order, gram, tf``.
+
+    ``mark_texts`` adds one row of order 0 per text, whose gram is the key, so that empty texts show.
+
+    Give texts that are already partitioned by (some of) the keys: the counts are then made where the
+    text is, without moving n-grams.
+    """
+    grown = texts.select(*keys, T.words(text).alias("_w")).withColumn("_g1", F.col("_w"))
+    for n in range(2, MAX_ORDER + 1):
+        # Runs of n are runs of n - 1 with the next word appended.
+        room = F.greatest(F.size("_w") - (n - 1), F.lit(0))
+        longer = F.zip_with(
+            F.slice(f"_g{n - 1}", 1, room), F.slice("_w", n, room), lambda head, word: F.concat(head, F.lit(" "), word)
+        )
+        grown = grown.withColumn(f"_g{n}", longer)
+    entries = [F.struct(F.lit(n).alias("order"), F.col(f"_g{n}").alias("grams")) for n in range(1, MAX_ORDER + 1)]
+    if mark_texts:
+        entries.append(F.struct(F.lit(0).alias("order"), F.array(F.concat_ws("|", *keys)).alias("grams")))
+    orders = F.array(*entries)
+    rows = grown.select(*keys, F.explode(orders).alias("_o")).select(*keys, "_o.order", F.explode("_o.grams").alias("gram"))
+    return rows.groupBy(*keys, "order", "gram").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def by_text(texts: DataFrame, index: str = "idx", partitions: int | None = None) -> DataFrame:
+    """Prediction and references of one index in one task; shuffles the texts, a tenth of their n-grams."""
+    return texts.repartition(index) if partitions is None else texts.repartition(partitions, index)
 
 
 def caption_texts(df: DataFrame, index: str = "idx", prediction: str = "prediction", references: str = "references") -> DataFrame:
@@ -51,9 +66,10 @@ def caption_texts(df: DataFrame, index: str = "idx", prediction: str = "predicti
     return hyp.unionByName(df.select(index, F.posexplode(references).alias("ref", "text")))
 
 
-def bleu(texts: DataFrame, index: str = "idx", counts: DataFrame | None = None) -> DataFrame:
+def bleu(texts: DataFrame, index: str = "idx", partitions: int | None = None) -> DataFrame:
     """Corpus BLEU-1..4 (one row): clipped n-gram precision, closest reference length, brevity penalty."""
-    counts = ngram_counts(texts, [index, "ref"]) if counts is None else counts
+    texts = by_text(texts, index, partitions)
+    counts = ngram_counts(texts, [index, "ref"])
     is_hyp = F.col("ref") == -1
     clipped = (
         counts.groupBy(index, "order", "gram")
@@ -66,19 +82,14 @@ def bleu(texts: DataFrame, index: str = "idx", counts: DataFrame | None = None)
             for n in range(1, MAX_ORDER + 1)
         ])
     )
-    lengths = texts.select(index, "ref", F.size(T.words("text")).alias("len"))
-    hyp_len = lengths.where(is_hyp).select(index, F.col("len").alias("hyp_len"))
-    closest = F.min(F.struct(F.abs(F.col("len") - F.col("hyp_len")).alias("gap"), F.col("len").alias("len")))["len"]
-    totals = (
-        lengths.where(~is_hyp)
-        .join(hyp_len, index)
-        .groupBy(index)
-        .agg(F.first("hyp_len").alias("hyp_len"), closest.alias("ref_len"))
-        .agg(
-            F.sum("hyp_len").alias("hyp_len"),
-            F.sum("ref_len").alias("ref_len"),
-            *[F.sum(F.greatest(F.col("hyp_len") - (n - 1), F.lit(0))).alias(f"guess{n}") for n in range(1, MAX_ORDER + 1)],
-        )
+    lengths = texts.select(index, "ref", F.size(T.words("text")).alias("len")).groupBy(index).agg(
+        F.max(F.when(is_hyp, F.col("len"))).alias("hyp_len"), F.collect_list(F.when(~is_hyp, F.col("len"))).alias("refs")
+    )
+    gaps = T.let(F.col("hyp_len"), lambda h: F.transform("refs", lambda n: F.struct(F.abs(n - h).alias("gap"), n.alias("len"))))
+    totals = lengths.where((F.size("refs") > 0) & F.col("hyp_len").isNotNull()).withColumn("ref_len", F.array_min(gaps)["len"]).agg(
+        F.sum("hyp_len").alias("hyp_len"),
+        F.sum("ref_len").alias("ref_len"),
+        *[F.sum(F.greatest(F.col("hyp_len") - (n - 1), F.lit(0))).alias(f"guess{n}") for n in range(1, MAX_ORDER + 1)],
     )
     joined = clipped.select(F.lit(1).alias("_one"), "*").join(totals.select(F.lit(1).alias("_one"), "*"), "_one")
     ratio = (F.col("hyp_len") + _TINY) / (F.col("ref_len") + _SMALL)
@@ -90,48 +101,48 @@ def bleu(texts: DataFrame, index: str = "idx", counts: DataFrame | None = None)
     return joined.select(*scores)
 
 
-def cider(texts: DataFrame, index: str = "idx", counts: DataFrame | None = None) -> DataFrame:
+def cider(texts: DataFrame, index: str = "idx", partitions: int | None = None) -> DataFrame:
     """CIDEr of every prediction (``index, cider``), with document frequencies over the references."""
-    counts = ngram_counts(texts, [index, "ref"]) if counts is None else counts
-    frequency = (
-        counts.where("ref >= 0").select(index, "order", "gram").distinct()
-        .groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df"))
-    )
+    texts = by_text(texts, index, partitions)
+    counts = ngram_counts(texts, [index, "ref"], mark_texts=True)
+    # Texts of an index are together, so this needs no shuffle; a gram has as many items as the row has texts.
+    grams = counts.groupBy(index, "order", "gram").agg(F.collect_list(F.struct("ref", "tf")).alias("items"))
+    in_reference = F.exists("items", lambda x: x["ref"] >= 0)
+    frequency = grams.where((F.col("order") > 0) & in_reference).groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df"))
     log_docs = F.log(texts.where("ref = -1").agg(F.count(F.lit(1)).alias("n")).scalar().cast("double"))
-    weighted = counts.join(frequency, ["order", "gram"], "left").select(
-        index, "ref", "order", "gram", "tf",
-        (F.col("tf") * (log_docs - F.log(F.coalesce("df", F.lit(1)).cast("double")))).alias("w"),
-    )
-    norms = weighted.groupBy(index, "ref", "order").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("terms")
-    )
-    hyp = weighted.where("ref = -1").select(index, "order", "gram", F.col("w").alias("hw"))
-    dots = (
-        weighted.where("ref >= 0").join(hyp, [index, "order", "gram"])
-        .groupBy(index, "ref", "order").agg(F.sum(F.least("hw", "w") * F.col("w")).alias("dot"))
+    hyp_tf = F.coalesce(F.get(F.filter("items", lambda x: x["ref"] == -1), F.lit(0))["tf"], F.lit(0))
+    weighted = grams.join(frequency, ["order", "gram"], "left").select(
+        index, "order", (log_docs - F.log(F.coalesce("df", F.lit(1)).cast("double"))).alias("idf"),
+        hyp_tf.alias("hyp_tf"), F.explode("items").alias("x"),
     )
-    hyp_norms = norms.where("ref = -1").select(index, "order", F.col("norm").alias("hnorm"))
-    bigrams = F.sum(F.when(F.col("order") == 2, F.col("terms")))
-    sizes = norms.groupBy(index, "ref").agg(F.coalesce(bigrams, F.lit(0)).alias("len"))
-    hyp_sizes = sizes.where("ref = -1").select(index, F.col("len").alias("hlen"))
-    scale = F.col("norm") * F.col("hnorm")
-    similarity = F.when(scale != 0, F.col("dot") / scale).otherwise(F.col("dot"))
-    per_ref = (
-        dots.join(norms.select(index, "ref", "order", "norm"), [index, "ref", "order"])
-        .join(hyp_norms, [index, "order"])
-        .groupBy(index, "ref").agg(F.sum(similarity).alias("sims"))
+    w, h = F.col("x.tf") * F.col("idf"), F.col("hyp_tf") * F.col("idf")
+    sums = weighted.groupBy(index, "order", "x.ref").agg(
+        F.sqrt(F.sum(w * w)).alias("norm"), F.sum(F.least(h, w) * w).alias("dot"), F.sum("x.tf").alias("terms")
     )
-    gap = (F.coalesce("hlen", F.lit(0)) - F.col("len")).cast("double")
-    gaussian = F.exp(-(gap * gap) / (2 * _SIGMA * _SIGMA))
-    references = texts.where("ref >= 0").select(index, "ref")
-    scored = (
-        references.join(per_ref, [index, "ref"], "left")
-        .join(sizes, [index, "ref"], "left").na.fill(0, ["len"])
-        .join(hyp_sizes, index, "left")
-        .groupBy(index)
-        .agg((F.avg(F.coalesce(F.col("sims") * gaussian, F.lit(0.0))) / MAX_ORDER * 10.0).alias("cider"))
-    )
-    return scored
+    cells = sums.groupBy(index).agg(F.collect_list(F.struct("order", "ref", "norm", "dot", "terms")).alias("cells"))
+    return cells.select(index, _cider_of_cells(F.col("cells")).alias("cider"))
+
+
+def _cider_of_cells(cells: Column) -> Column:
+    """Score of one prediction from its few (order, text) sums; order 0 marks each text."""
+
+    def pick(order: Column | int, ref: Column | int, name: str) -> Column:
+        return F.get(F.filter(cells, lambda c: (c["order"] == order) & (c["ref"] == ref)), F.lit(0))[name]
+
+    def similarity(cell: Column) -> Column:
+        scale = cell["norm"] * F.coalesce(pick(cell["order"], -1, "norm"), F.lit(0.0))
+        return F.when(scale != 0, cell["dot"] / scale).otherwise(cell["dot"])
+
+    def reference_score(mark: Column) -> Column:
+        own = F.filter(cells, lambda c: (c["ref"] == mark["ref"]) & (c["order"] > 0))
+        total = F.aggregate(F.transform(own, similarity), F.lit(0.0), lambda a, x: a + x)
+        bigrams = F.coalesce(pick(2, mark["ref"], "terms"), F.lit(0))
+        gap = (F.coalesce(pick(2, -1, "terms"), F.lit(0)) - bigrams).cast("double")
+        return total * F.exp(-(gap * gap) / (2 * _SIGMA * _SIGMA))
+
+    marks = F.filter(cells, lambda c: (c["order"] == 0) & (c["ref"] >= 0))
+    scores = F.transform(marks, reference_score)
+    return F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores) / MAX_ORDER * 10.0
 
 
 def _common_subsequence(left: list[str], right: list[str]) -> int:
@@ -153,9 +164,9 @@ def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_common_subsequence(list(a), list(b)) for a, b in zip(left, right, strict=True)], dtype="int32")
 
 
-def rouge_l(texts: DataFrame, index: str = "idx") -> DataFrame:
+def rouge_l(texts: DataFrame, index: str = "idx", partitions: int | None = None) -> DataFrame:
     """ROUGE-L (beta 1.2) of every prediction with its best recall and best precision over references."""
-    tokens = texts.select(index, "ref", F.split("text", " ").alias("w"))
+    tokens = by_text(texts, index, partitions).select(index, "ref", F.split("text", " ").alias("w"))
     hyp = tokens.where("ref = -1").select(index, F.col("w").alias("h"))
     lcs = tokens.where("ref >= 0").join(hyp, index).select(
         index, common_subsequence("h", "w").alias("lcs"), F.size("h").alias("hn"), F.size("w").alias("rn")

@@ -135,12 +135,12 @@ def recovery(blanks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def captions(texts: DataFrame, index: str = "idx") -> DataFrame:
+def captions(texts: DataFrame, index: str = "idx", partitions: int | None = None) -> DataFrame:
     """BLEU-1..4, ROUGE-L and CIDEr in percent, as one row."""
     from evalspark.operators import ngrams as NG
 
-    bleu = NG.bleu(texts, index)
-    rouge = NG.rouge_l(texts, index).agg((F.avg("rouge_l") * 100).alias("ROUGE_L"))
-    cider = NG.cider(texts, index).agg((F.avg("cider") * 100).alias("CIDEr"))
+    bleu = NG.bleu(texts, index, partitions)
+    rouge = NG.rouge_l(texts, index, partitions).agg((F.avg("rouge_l") * 100).alias("ROUGE_L"))
+    cider = NG.cider(texts, index, partitions).agg((F.avg("cider") * 100).alias("CIDEr"))
     one = F.lit(1).alias("_one")
     return bleu.select("*", one).join(rouge.select("*", one), "_one").join(cider.select("*", one), "_one").drop("_one")

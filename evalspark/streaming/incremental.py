@@ -16,8 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 from evalspark.plans import grouping as G
 
 
-def read_stream(spark: SparkSession, path: str, schema: ST.StructType, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
+def read_stream(spark: SparkSession, path: str, schema: ST.StructType, fmt: str = "parquet", files_per_batch: int = 100,
+                names: str | None = None) -> DataFrame:
+    """Files of a folder as they arrive; ``names`` is a file name pattern."""
+    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch)
+    return (reader if names is None else reader.option("pathGlobFilter", names)).load(path)
 
 
 def first_arrivals(stream: DataFrame, keys: Sequence[str], event_time: str | None = None, delay: str = "1 day") -> DataFrame:
