@@ -6,6 +6,7 @@ splitting cells, scaling units and comparing sets of values stay in Spark expres
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -28,11 +29,16 @@ _DETAIL = re.compile(r"(?<!^)( \([^)]*\))*$")
 _QUOTED = re.compile(r'^"([^"]*)"$')
 
 
-def _normalise(text: str) -> str:
+def _to_plain_marks(text: str) -> str:
     decomposed = unicodedata.normalize("NFKD", text)
     text = "".join(ch for ch in decomposed if unicodedata.category(ch) != "Mn")
     for pattern, plain in ((_SINGLE_QUOTES, "'"), (_DOUBLE_QUOTES, '"'), (_DASHES, "-")):
         text = pattern.sub(plain, text)
+    return text
+
+
+def _normalise(text: str) -> str:
+    text = text.replace("`", "'") if text.isascii() else _to_plain_marks(text)
     before = None
     while text != before:
         before = text
@@ -44,7 +50,8 @@ def _normalise(text: str) -> str:
 @F.pandas_udf(ST.StringType())
 def normalise_cell(cells: pd.Series) -> pd.Series:
     """Table text without marks, citations, trailing details and outer quotes."""
-    return cells.map(_normalise, na_action="ignore")
+    known = {cell: _normalise(cell) for cell in cells.dropna().unique()}
+    return cells.map(known.get, na_action="ignore")
 
 
 _VALUE = ST.StructType([
@@ -92,8 +99,10 @@ def _typed(text: str) -> dict:
 @F.pandas_udf(ST.ArrayType(_VALUE))
 def cell_values(cells: pd.Series) -> pd.Series:
     """Distinct typed values of an array of cells; the first of equal values is kept."""
+    typed = functools.cache(_typed)  # cells repeat within a batch
+
     def values(items: list[str]) -> list[dict]:
-        return list({(v["kind"], v["key"]): v for v in map(_typed, reversed(list(items)))}.values())[::-1]
+        return list({(v["kind"], v["key"]): v for v in map(typed, reversed(list(items)))}.values())[::-1]
 
     return cells.map(values, na_action="ignore")
 

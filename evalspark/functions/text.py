@@ -125,20 +125,23 @@ def edit_similarity(a: Column | str, b: Column | str, threshold: float = 0.5) ->
     """One minus the edit distance share; values at or below the threshold are 0."""
     a, b = col(a), col(b)
     longest = F.greatest(F.length(F.upper(a)), F.length(F.upper(b)))
-    share = F.when(longest == 0, 0.0).otherwise(F.levenshtein(a, b) / longest)
-    similarity = 1.0 - share
-    return F.when(similarity <= threshold, 0.0).otherwise(similarity)
+    share = F.coalesce(F.levenshtein(a, b) / F.nullif(longest, F.lit(0)), F.when(longest == 0, 0.0))
+    return let(1.0 - share, lambda s: F.when(s <= threshold, 0.0).otherwise(s))
 
 
 def bag_of_words_f1(gold: Column | str, pred: Column | str) -> Column:
     """F1 whose overlap counts prediction words (with repeats) that occur in the gold text."""
-    gold_words, pred_words = words(gold), words(pred)
-    overlap = let(gold_words, lambda g: F.filter(pred_words, lambda w: F.array_contains(g, w)))
-    common = F.size(overlap).cast("double")
-    recall = common / F.nullif(F.size(gold_words), F.lit(0))
-    precision = common / F.nullif(F.size(pred_words), F.lit(0))
-    f1 = F.when(recall + precision > 1e-4, 2 * recall * precision / (recall + precision)).otherwise(0.0)
-    return F.coalesce(f1, F.lit(0.0))
+
+    def f1(common: Column, n_gold: Column, n_pred: Column) -> Column:
+        recall, precision = common / n_gold, common / n_pred
+        return F.when(recall + precision > 1e-4, 2 * recall * precision / (recall + precision)).otherwise(0.0)
+
+    def score(g: Column, p: Column) -> Column:
+        common = F.size(F.filter(p, lambda w: F.array_contains(g, w))).cast("double")
+        both = (F.size(g) > 0) & (F.size(p) > 0)
+        return F.when(both, let(common, lambda c: f1(c, F.size(g), F.size(p)))).otherwise(0.0)
+
+    return let(words(gold), lambda g: let(words(pred), lambda p: score(g, p)))
 
 
 def split_key(c: Column | str, part: int) -> Column:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import text as T
 
-_BASE = 8
-_LEVELS = 5
+_BASE = 4
+_LEVELS = 7
 
 
 def _blocks(low: Column, high: Column, base: int, levels: int) -> Column:
@@ -55,27 +55,28 @@ def first_covering(
 ) -> DataFrame:
     """Points with ``value`` of the first span (least ``pos``) with ``start < time < end``; NULL when none.
 
-    Times are whole numbers (milliseconds).  Output columns: those of ``points``, plus ``value``.
+    Times are whole numbers (milliseconds) and ``pos`` is unique within ``by``.  Output columns: those of ``points``, plus ``value``.
     """
-    covered = spans.select(*by, F.struct(pos, value).alias("_hit"), (F.col(start) + 1).alias("_lo"), (F.col(end) - 1).alias("_hi"))
+    covered = spans.select(*by, pos, (F.col(start) + 1).alias("_lo"), (F.col(end) - 1).alias("_hi"))
     blocks = (
         covered.where(F.col("_lo") <= F.col("_hi"))
-        .withColumn("_b", F.explode(_blocks(F.col("_lo"), F.col("_hi"), base, levels)))
+        # The outer form keeps Spark from computing the blocks once more for a filter it would infer.
+        .withColumn("_b", F.explode_outer(_blocks(F.col("_lo"), F.col("_hi"), base, levels)))
         .groupBy(*by, "_b.level", "_b.block")
-        .agg(F.min("_hit").alias("_hit"))
+        .agg(F.min(pos).alias(pos))
     )
     times = points.select(*by, time).distinct()
     enclosing = F.array(*[
         F.struct(F.lit(i).alias("level"), F.floor(F.col(time) / base**i).alias("block")) for i in range(levels)
     ])
-    looked_up = (
+    first = (
         times.withColumn("_b", F.explode(enclosing))
         .select(*by, time, "_b.level", "_b.block")
         .join(blocks, [*by, "level", "block"], "inner")
         .groupBy(*by, time)
-        .agg(F.min("_hit").alias("_hit"))
-        .select(*by, time, F.col(f"_hit.{value}").alias(value))
+        .agg(F.min(pos).alias(pos))
     )
+    looked_up = first.join(spans.select(*by, pos, value), [*by, pos]).select(*by, time, value)
     return points.join(looked_up, [*by, time], "left").select(*points.columns, value)
 
 

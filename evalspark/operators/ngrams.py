@@ -11,16 +11,18 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from evalspark import session
 from evalspark.functions import text as T
 
 MAX_ORDER = 4
 _SMALL, _TINY = 1e-9, 1e-15
 _SIGMA = 6.0
 _BETA = 1.2
+_BROADCAST_GRAMS = 500_000
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -105,19 +107,19 @@ def cider(texts: DataFrame, index: str = "idx", partitions: int | None = None) -
     """CIDEr of every prediction (``index, cider``), with document frequencies over the references."""
     texts = by_text(texts, index, partitions)
     counts = ngram_counts(texts, [index, "ref"], mark_texts=True)
-    # Texts of an index are together, so this needs no shuffle; a gram has as many items as the row has texts.
-    grams = counts.groupBy(index, "order", "gram").agg(F.collect_list(F.struct("ref", "tf")).alias("items"))
-    in_reference = F.exists("items", lambda x: x["ref"] >= 0)
-    frequency = grams.where((F.col("order") > 0) & in_reference).groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df"))
+    own_grams = counts.where("ref >= 0 and order > 0").groupBy(index, "order", "gram").agg(F.count(F.lit(1)).alias("_texts"))
+    # Used by every prediction n-gram: written once, and copied to the executors only when it is small.
+    frequency = session.materialise(own_grams.groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df")), "gram-frequency")
+    if frequency.count() <= _BROADCAST_GRAMS:
+        frequency = F.broadcast(frequency)
     log_docs = F.log(texts.where("ref = -1").agg(F.count(F.lit(1)).alias("n")).scalar().cast("double"))
-    hyp_tf = F.coalesce(F.get(F.filter("items", lambda x: x["ref"] == -1), F.lit(0))["tf"], F.lit(0))
-    weighted = grams.join(frequency, ["order", "gram"], "left").select(
-        index, "order", (log_docs - F.log(F.coalesce("df", F.lit(1)).cast("double"))).alias("idf"),
-        hyp_tf.alias("hyp_tf"), F.explode("items").alias("x"),
-    )
-    w, h = F.col("x.tf") * F.col("idf"), F.col("hyp_tf") * F.col("idf")
-    sums = weighted.groupBy(index, "order", "x.ref").agg(
-        F.sqrt(F.sum(w * w)).alias("norm"), F.sum(F.least(h, w) * w).alias("dot"), F.sum("x.tf").alias("terms")
+    weight = F.col("tf") * (log_docs - F.log(F.coalesce("df", F.lit(1)).cast("double")))
+    weighted = counts.join(frequency, ["order", "gram"], "left").withColumn("w", weight)
+    # A gram of one index has at most one row per text of that index.
+    same_gram = Window.partitionBy(index, "order", "gram")
+    paired = weighted.withColumn("h", F.coalesce(F.max(F.when(F.col("ref") == -1, F.col("w"))).over(same_gram), F.lit(0.0)))
+    sums = paired.groupBy(index, "order", "ref").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.least("h", "w") * F.col("w")).alias("dot"), F.sum("tf").alias("terms")
     )
     cells = sums.groupBy(index).agg(F.collect_list(F.struct("order", "ref", "norm", "dot", "terms")).alias("cells"))
     return cells.select(index, _cider_of_cells(F.col("cells")).alias("cider"))
@@ -251,8 +253,8 @@ def covered_text(df: DataFrame, index: str = "idx", prediction: str = "predictio
     language = F.lit(language) if isinstance(language, str) else language
     pieces = F.split(T.as_text(prediction), "Assistant: ")
     rows = df.withColumn("_reply", F.element_at(pieces, -1)).select(
-        index, "_reply", F.posexplode(answers).alias("blank", "crossed_text"), language.alias("_lang")
-    )
+        index, "_reply", F.posexplode_outer(answers).alias("blank", "crossed_text"), language.alias("_lang")
+    ).where(F.col("crossed_text").isNotNull())
     if partitions is not None:
         rows = rows.repartition(partitions, index, "blank")
     tokens = rows.select(

@@ -42,7 +42,8 @@ def payload_table(table: DataFrame, image: str = "image", path: str = "image_pat
     ending = F.regexp_extract(F.get(paths, F.lit(0)), "(\\.[^.]*)?$", 0)
     numbered = F.transform(images, lambda x, i: F.concat(stem, F.lit("_"), i.cast("string"), ending))
     own_paths = F.when((F.size(images) > 1) & (F.size(paths) == 1), numbered).otherwise(paths)
-    rows = table.select("dataset", F.explode(F.arrays_zip(own_paths.alias("path"), images.alias("image"))).alias("x"))
+    zipped = F.arrays_zip(own_paths.alias("path"), images.alias("image"))
+    rows = table.select("dataset", F.explode_outer(zipped).alias("x"))
     kept = rows.where(F.length("x.image") > PAYLOAD_LENGTH)
     return kept.select("dataset", F.col("x.path").alias("path"), F.unbase64("x.image").alias("content"))
 
