@@ -128,8 +128,10 @@ def message_flattening(src: Source) -> DataFrame:
 def prompt_multiturn(src: Source) -> DataFrame:
     """Turns whose image tags take the next images of their conversation."""
     turns = E.dialogue_prefix(src.view(FX.TURNS))
-    names = F.transform(F.sequence(F.lit(0), F.col("images_before") + 1), lambda i: F.concat(F.col("conv_id").cast("string"), F.lit("-"), i.cast("string")))
-    content = M.turn_content("text", names, F.col("images_before").cast("int"))
+    tags = F.size(F.split("text", K.IMAGE_HERE)) - 1
+    numbers = F.sequence(F.col("images_before"), F.col("images_before") + tags)
+    mine = F.transform(numbers, lambda i: F.concat(F.col("conv_id").cast("string"), F.lit("-"), i.cast("string")))
+    content = M.turn_content("text", mine, F.lit(0))
     return turns.select("conv_id", "turn", M.as_text_log(content).alias("content"))
 
 
@@ -152,12 +154,11 @@ _BUDGET = 600
 def dialog_truncate(src: Source) -> DataFrame:
     """Latest turns of every dialogue that fit a character budget."""
     turns = src.table("conversations")
-    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    kept = M.drop_oldest_turns(F.col("turns"), lambda t: F.length(t["text"]).cast("bigint"), _BUDGET)
-    chars = F.aggregate("kept", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t["text"]))
-    return listed.withColumn("kept", kept).select(
-        "conv_id", F.size("turns").cast("bigint").alias("turns"), F.size("kept").cast("bigint").alias("kept"), chars.alias("chars")
+    kept = E.truncate_dialogues(turns, _BUDGET).groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("kept"), F.sum(F.length("text").cast("bigint")).alias("chars")
     )
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+    return sizes.join(kept, "conv_id", "left").na.fill(0, ["kept", "chars"])
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size * 40 AS h, 200 + (p_partkey * 13) % 2000 AS w, length(p_name) AS n FROM part),

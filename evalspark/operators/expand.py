@@ -73,20 +73,22 @@ def pack_questions(df: DataFrame, by: Sequence[str] = ("video",), index: str = "
 
 
 def running_sum(
-    df: DataFrame, by: Sequence[str], order: str, values: dict[str, Column], block: int = 1024
+    df: DataFrame, by: Sequence[str], order: str, values: dict[str, Column], block: int = 4096, levels: int = 2
 ) -> DataFrame:
-    """Sums over the earlier rows of a group (the row itself excluded), in two levels.
+    """Sums over the earlier rows of a group (the row itself excluded), in ``levels`` levels.
 
     Rows are cut into blocks of ``order``; block totals are summed first, rows within a block second, so a
-    very long group is spread over its blocks.
+    very long group is spread over its blocks (two levels: millions of rows, three: billions).
     """
     totals = {f"_t_{k}": F.sum(v) for k, v in values.items()}
     tagged = df.withColumn("_block", F.floor(F.col(order) / block))
     blocks = tagged.groupBy(*by, "_block").agg(*[v.alias(k) for k, v in totals.items()])
-    earlier_blocks = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        *by, "_block", *[F.coalesce(F.sum(k).over(earlier_blocks), F.lit(0)).alias(k) for k in totals]
-    )
+    if levels > 2:
+        sums = running_sum(blocks.withColumnRenamed("_block", "_b"), by, "_b", {f"_s{k}": F.col(k) for k in totals}, block, levels - 1)
+        offsets = sums.select(*by, F.col("_b").alias("_block"), *[F.col(f"_s{k}").alias(k) for k in totals])
+    else:
+        earlier_blocks = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = blocks.select(*by, "_block", *[F.coalesce(F.sum(k).over(earlier_blocks), F.lit(0)).alias(k) for k in totals])
     earlier_rows = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = tagged.withColumns({f"_i_{k}": F.coalesce(F.sum(v).over(earlier_rows), F.lit(0)) for k, v in values.items()})
     joined = inner.join(offsets, [*by, "_block"])
@@ -104,5 +106,20 @@ def dialogue_prefix(turns: DataFrame, by: Sequence[str] = ("conv_id",), order: s
     })
 
 
+def truncate_dialogues(turns: DataFrame, budget: int, by: Sequence[str] = ("conv_id",), order: str = "turn") -> DataFrame:
+    """Turns that stay when each dialogue is cut to ``budget`` characters.
+
+    Oldest turns go first, then all up to the next user turn, while the rest is too long.  A dialogue may
+    be of any length: sizes are running sums and the cut is one aggregate per dialogue.
+    """
+    sized = running_sum(turns, by, order, {"_before": F.length("text").cast("bigint"), "_at": F.lit(1).cast("bigint")})
+    totals = turns.groupBy(*by).agg(F.sum(F.length("text").cast("bigint")).alias("_total"))
+    rest = F.col("_total") - F.col("_before")
+    fits = (rest <= budget) & ((F.col("role") == "user") | (F.col("_at") == 0))
+    measured = sized.join(totals, list(by))
+    cuts = measured.where(fits).groupBy(*by).agg(F.min(order).alias("_first"))
+    return turns.join(cuts, list(by)).where(F.col(order) >= F.col("_first")).drop("_first")
+
+
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))

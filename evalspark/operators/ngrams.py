@@ -17,6 +17,7 @@ from pyspark.sql import types as ST
 
 from evalspark import session
 from evalspark.functions import text as T
+from evalspark.plans import grouping as G
 
 MAX_ORDER = 4
 _SMALL, _TINY = 1e-9, 1e-15
@@ -93,7 +94,7 @@ def bleu(texts: DataFrame, index: str = "idx", partitions: int | None = None) ->
         F.sum("ref_len").alias("ref_len"),
         *[F.sum(F.greatest(F.col("hyp_len") - (n - 1), F.lit(0))).alias(f"guess{n}") for n in range(1, MAX_ORDER + 1)],
     )
-    joined = clipped.select(F.lit(1).alias("_one"), "*").join(totals.select(F.lit(1).alias("_one"), "*"), "_one")
+    joined = G.merge_measures([clipped, totals])
     ratio = (F.col("hyp_len") + _TINY) / (F.col("ref_len") + _SMALL)
     penalty = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
     product, scores = F.lit(1.0), []

@@ -142,5 +142,4 @@ def captions(texts: DataFrame, index: str = "idx", partitions: int | None = None
     bleu = NG.bleu(texts, index, partitions)
     rouge = NG.rouge_l(texts, index, partitions).agg((F.avg("rouge_l") * 100).alias("ROUGE_L"))
     cider = NG.cider(texts, index, partitions).agg((F.avg("cider") * 100).alias("CIDEr"))
-    one = F.lit(1).alias("_one")
-    return bleu.select("*", one).join(rouge.select("*", one), "_one").join(cider.select("*", one), "_one").drop("_one")
+    return G.merge_measures([bleu, rouge, cider])

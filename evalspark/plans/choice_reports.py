@@ -67,12 +67,12 @@ def cycle_accuracy(df: DataFrame, by: Sequence[str] = RUN, cycle: str = "cycle_c
     rows = per_cycle.select(
         *by, F.col(cycle).alias("cycle"), F.when(F.col("level") == "overall", "all").otherwise(F.col("key")).alias("type"), "score"
     )
-    cycles = rows.where("type = 'all'").groupBy(*by).agg(F.count(F.lit(1)).alias("cycles"))
-    totals = rows.groupBy(*by, "type").agg(F.sum("score").alias("total"))
-    average = totals.join(cycles, list(by)).select(
-        *by, F.lit("Average").alias("cycle"), "type", (F.col("total") / F.col("cycles")).alias("score")
-    )
-    return rows.unionByName(average)
+    # From here on there is one row per cycle and type.
+    both = rows.withColumn("cycle", F.explode(F.array("cycle", F.lit("Average"))))
+    totals = both.groupBy(*by, "cycle", "type").agg(F.sum("score").alias("total"))
+    is_average = F.col("cycle") == "Average"
+    cycles = F.count_if(~is_average & (F.col("type") == "all")).over(Window.partitionBy(*by))
+    return totals.select(*by, "cycle", "type", (F.col("total") / F.when(is_average, cycles).otherwise(1)).alias("score"))
 
 
 def nested_accuracy(df: DataFrame, by: Sequence[str] = RUN, l2: str = "l2_category",
@@ -151,16 +151,21 @@ def hallucination(df: DataFrame, by: Sequence[str] = RUN, index: str = "index")
         F.struct(F.lit(lv).alias("level"), k.cast("string").alias("key"))
         for lv, k in (("overall", F.lit(G.OVERALL)), ("category", F.col("category")), ("l2_category", F.col("l2_category")))
     ])
-    sliced = finest.withColumn("_s", F.explode(slices)).where(F.col("_s.key").isNotNull()).select("*", "_s.level", "_s.key").drop("_s")
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"{p}_id").alias("id")) for p in ("figure", "question")])
+    sliced = finest.withColumn("_s", F.explode(slices)).where(F.col("_s.key").isNotNull()).withColumn("_p", F.explode(parts))
     keys = [*by, "level", "key"]
-
-    def all_right(part: str, name: str) -> DataFrame:
-        groups = sliced.groupBy(*keys, "l2_category", "set_id", part).agg(F.min("worst").alias("worst"))
-        return groups.groupBy(*keys).agg((F.avg(F.col("worst").cast("double")) * 100).alias(name))
-
-    answers = sliced.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n") * 100).alias("aAcc"))
-    joined = answers.join(all_right("figure_id", "fAcc"), keys).join(all_right("question_id", "qAcc"), keys)
-    return joined.withColumn("mean_acc", (F.col("aAcc") + F.col("fAcc") + F.col("qAcc")) / 3)
+    groups = sliced.groupBy(*by, "_s.level", "_s.key", "_p.part", "l2_category", "set_id", "_p.id").agg(
+        F.min("worst").alias("worst"), F.sum("total").alias("total"), F.sum("n").alias("n")
+    )
+    by_figure, by_question = F.col("part") == "figure", F.col("part") == "question"
+    right = F.col("worst").cast("double")
+    measures = groups.groupBy(*keys).agg(
+        F.sum(F.when(by_figure, F.col("n"))).alias("n"),
+        (F.sum(F.when(by_figure, F.col("total"))) / F.sum(F.when(by_figure, F.col("n"))) * 100).alias("aAcc"),
+        (F.avg(F.when(by_figure, right)) * 100).alias("fAcc"),
+        (F.avg(F.when(by_question, right)) * 100).alias("qAcc"),
+    )
+    return measures.withColumn("mean_acc", (F.col("aAcc") + F.col("fAcc") + F.col("qAcc")) / 3)
 
 
 def f1_scores(df: DataFrame, by: Sequence[str] = RUN) -> DataFrame:

@@ -53,6 +53,14 @@ def to_wide(report: DataFrame, rows: Sequence[str], keys: Sequence[str] | None =
     return (pivot.pivot(key) if keys is None else pivot.pivot(key, list(keys))).agg(best)
 
 
+def merge_measures(parts: Sequence[DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """Measures of the same groups, computed apart, as one row per group (no join without keys)."""
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part, allowMissingColumns=True)
+    return merged.groupBy(*by).agg(*[F.max(c).alias(c) for c in merged.columns if c not in by])
+
+
 def as_fixed(c: Column | str, places: int = 2) -> Column:
     """Text with a fixed number of decimals."""
     return F.format_number(F.col(c) if isinstance(c, str) else c, "0." + "0" * places)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evalspark import constants as K
 from evalspark.functions import text as T
+from evalspark.plans import grouping as G
 
 
 @dataclass(frozen=True)
@@ -90,5 +91,4 @@ def pack_statistics(packs: DataFrame, questions: DataFrame, by: Sequence[str] =
     question_counts = questions.groupBy(*by).agg(
         F.count("prediction").alias("VALIDQ"), F.count_if(F.col("prediction").isNull()).alias("INVALIDQ")
     )
-    one = F.lit(1).alias("_one")
-    return pack_counts.select("*", one).join(question_counts.select("*", one), [*by, "_one"]).drop("_one")
+    return G.merge_measures([pack_counts, question_counts], by)

@@ -104,8 +104,7 @@ def dataset_kind(df: DataFrame, registry: DataFrame, parts: dict[str, Sequence[s
         known = known.unionByName(agreed.select(F.lit(whole).alias("dataset"), "kind"))
     open_ended = F.contains(F.lower("dataset"), F.lit("openended"))
     fallback = F.when(open_ended, "VQA").otherwise(default)
-    # The registry is a fixed list, so its copy on every executor stays small.
-    return df.join(F.broadcast(known), "dataset", "left").withColumn("kind", F.coalesce("kind", fallback))
+    return df.join(known, "dataset", "left").withColumn("kind", F.coalesce("kind", fallback))
 
 
 # Task kind and data set name -> judge model, first match wins (names are substrings).

@@ -59,7 +59,7 @@ def concat_datasets(tables: Mapping[str, DataFrame], order: str = "index") -> Da
     """Union of data sets tagged ``sub_dataset``; ``index`` is renumbered, the old one kept.
 
     Numbering is by (table, old index) in two steps, so that no single task orders all rows: rows are
-    numbered inside hash-free blocks of one table and block offsets are added from the block counts.
+    numbered inside blocks of one table and block offsets are added from the block counts.
     """
     merged: DataFrame | None = None
     for place, (name, table) in enumerate(tables.items()):
@@ -70,7 +70,7 @@ def concat_datasets(tables: Mapping[str, DataFrame], order: str = "index") -> Da
     return number_rows(renamed, ["_place"], "original_index", "index").drop("_place")
 
 
-def number_rows(df: DataFrame, groups: Sequence[str], order: str, name: str, block: int = 65536) -> DataFrame:
+def number_rows(df: DataFrame, groups: Sequence[str], order: str, name: str, block: int = 1_000_000) -> DataFrame:
     """Dense 0-based row numbers by (groups, order), for whole-number ``order`` columns.
 
     Each block of ``block`` successive order values is numbered on its own; offsets come from the small

@@ -119,10 +119,11 @@ def test_missing_runs(spark):
     assert rows_of(got, "model", "dataset") == [("m2", "a")]
 
 
-def test_running_sum_over_a_long_group(spark):
+@pytest.mark.parametrize("levels", [2, 3])
+def test_running_sum_over_a_long_group(spark, levels):
     rows = [("hot", i, i % 7) for i in range(5000)] + [("cold", i, 1) for i in range(10)]
     df = spark.createDataFrame(rows, "g string, pos int, v int").repartition(5)
-    got = {(r["g"], r["pos"]): r["s"] for r in E.running_sum(df, ["g"], "pos", {"s": F.col("v").cast("bigint")}, block=64).collect()}
+    got = {(r["g"], r["pos"]): r["s"] for r in E.running_sum(df, ["g"], "pos", {"s": F.col("v").cast("bigint")}, block=64, levels=levels).collect()}
     total = 0
     for i in range(5000):
         assert got[("hot", i)] == total
@@ -138,6 +139,12 @@ def test_row_numbers_are_dense(spark):
     assert [(r["g"], r["o"]) for r in numbered] == sorted(rows)
 
 
+def test_truncated_dialogues(spark):
+    sizes = [("user", 5), ("assistant", 9), ("user", 3), ("assistant", 2)]
+    df = spark.createDataFrame([(1, i, r, "x" * n) for i, (r, n) in enumerate(sizes)], "conv_id int, turn bigint, role string, text string")
+    assert [E.truncate_dialogues(df, b).count() for b in (19, 18, 5, 4)] == [4, 2, 2, 0]
+
+
 def test_packs_hold_every_question_once(spark):
     df = spark.createDataFrame([("hot", i, f"q{i}") for i in range(500)] + [("cold", 1, "q")], "video string, index int, question string")
     packs = E.pack_questions(df, pack_size=100).collect()
