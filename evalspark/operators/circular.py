@@ -93,6 +93,7 @@ def score_circular(
     grouped = ranked.groupBy(*by, "gid").agg(
         F.sum("rows").alias("n"),
         F.sum("open_rows").alias("n_open"),
+        F.sum("wrong_rows").alias("n_wrong"),
         first_wrong.alias("first_wrong"),
         F.bool_or(F.col(index) < K.ROTATION_OFFSET).alias("has_main"),
     )
@@ -108,7 +109,8 @@ def score_circular(
         .when(F.col("n_open") == 0, "Succeed During Pre-fetching")
         .otherwise(K.NO_JUDGE_LOG)
     )
-    hit = (miss.isNull() & (F.col("n_open") == 0)).cast("int")
+    # The hit does without the log's columns: a report that drops the log has neither window nor texts in its plan.
+    hit = ((F.col("n_wrong") == 0) & (F.col("n_open") == 0)).cast("int")
     return grouped.where("has_main").select(*by, F.col("gid").alias(index), hit.alias("hit"), "n", "n_open", log.alias("log"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark import constants as K
+from evalspark import session
 from evalspark.functions import answers as A
 from evalspark.functions import text as T
 from evalspark.plans import grouping as G
@@ -37,10 +38,11 @@ def accuracy_by(df: DataFrame, columns: Sequence[str], by: Sequence[str] = RUN)
 def macro_accuracy(df: DataFrame, by: Sequence[str] = RUN, l2: str = "l2_category", category: str = "category") -> DataFrame:
     """Accuracy with an ``ALL`` split, where an ability group is the mean of its categories' means.
 
-    A group is NULL in a split in which one of its categories has no rows.
+    A group is NULL in a split in which one of its categories has no rows.  The finest sums are used four
+    times, so they are written once (a small table) instead of scoring all rows again.
     """
     sums = {"total": F.col("hit").cast("double"), "n": F.lit(1).cast("bigint")}
-    partial = G.partial_sums(with_split(df), [*by, "split", l2, category], sums)
+    partial = session.materialise(G.partial_sums(with_split(df), [*by, "split", l2, category], sums), "finest-sums")
     both = partial.withColumn("split", F.explode(F.array("split", F.lit("ALL"))))
     micro = G.unfold_levels(both, [*by, "split"], {"overall": None, "category": category}, ["total", "n"])
     micro = micro.withColumn("score", F.col("total") / F.col("n"))
@@ -83,7 +85,14 @@ def nested_accuracy(df: DataFrame, by: Sequence[str] = RUN, l2: str = "l2_catego
     task, subtask, path = A.fold_category("category", l2)
     kept = df.where("score >= 0").select(*by, task.alias("task"), subtask.alias("subtask"), path.alias("path"), "score")
     partial = G.partial_sums(kept, [*by, "task", "subtask", "path"], {"total": F.col("score").cast("double"), "n": F.lit(1).cast("bigint")})
-    rolled = partial.groupingSets(
+    # Each cell of the fixed grid gets an empty row; the table is small by now.
+    none = F.lit(None).cast("string")
+    grid = [
+        F.struct(F.lit(t).alias("task"), F.lit(s).alias("subtask"), none.alias("path"), F.lit(0.0).alias("total"), F.lit(0).cast("bigint").alias("n"))
+        for t in tasks for s in subtasks
+    ]
+    cells = partial.select(*by, F.explode(F.array(F.struct("task", "subtask", "path", "total", "n"), *grid)).alias("_c")).select(*by, "_c.*")
+    rolled = cells.groupingSets(
         [[*map(F.col, by), F.col("task"), F.col("subtask"), F.col("path")], [*map(F.col, by), F.col("task"), F.col("subtask")],
          [*map(F.col, by), F.col("task")], [*map(F.col, by)]],
         *by, "task", "subtask", "path",
@@ -93,16 +102,8 @@ def nested_accuracy(df: DataFrame, by: Sequence[str] = RUN, l2: str = "l2_catego
     )
     name = F.create_map(*[F.lit(x) for p in ((0, "category"), (1, "subtask"), (2, "task"), (3, "overall")) for x in p])
     found = rolled.select(*by, F.try_element_at(name, F.col("up").cast("int")).alias("level"), "task", "subtask", "path", "n",
-                          (F.col("total") / F.col("n")).alias("score"))
-    cells = [("subtask", t, s) for t in tasks for s in subtasks] + [("task", t, None) for t in tasks]
-    none = F.lit(None).cast("string")
-    grid = F.array(*[
-        F.struct(F.lit(lv).alias("level"), F.lit(t).alias("task"), (none if s is None else F.lit(s)).alias("subtask")) for lv, t, s in cells
-    ])
-    groups = found.where("level = 'overall'").select(*by, F.explode(grid).alias("g")).select(*by, "g.*", none.alias("path"))
-    keys = [*by, "level", "task", "subtask", "path"]
-    empty = groups.join(found, [groups[k].eqNullSafe(found[k]) for k in keys], "left_anti")
-    return found.unionByName(empty.withColumns({"n": F.lit(0).cast("bigint"), "score": F.lit(0.0)}))
+                          F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("score"))
+    return found.where((F.col("level") != "category") | F.col("path").isNotNull())
 
 
 # ------------------------------------------------------------------ yes / no
@@ -125,17 +126,13 @@ def paired(df: DataFrame, by: Sequence[str] = RUN, pos: str = "index", supers: M
     pairs = first_two(df, [*keys, "image_path"], pos).groupBy(*keys).agg(
         F.avg((F.col("s1") * F.col("s2")).cast("double")).alias("both"), F.count_if(F.col("s2").isNull()).alias("n_unpaired")
     )
-    per_category = single.join(pairs, keys).select(
-        *by, F.lit("category").alias("level"), F.col("category").alias("key"), "n", "n_unpaired",
-        (F.col("single") * 100 + F.coalesce("both", F.lit(0.0)) * 100).alias("score"),
+    per_category = single.join(pairs, keys).withColumn(
+        "score", F.col("single") * 100 + F.coalesce("both", F.lit(0.0)) * 100
     )
     group = F.lit(None).cast("string")
     for name, members in supers.items():
-        group = F.when(F.col("key").isin(list(members)), name).otherwise(group)
-    top = per_category.withColumn("_s", group).where(F.col("_s").isNotNull()).groupBy(*by, F.col("_s").alias("key")).agg(
-        F.sum("n").alias("n"), F.sum("n_unpaired").alias("n_unpaired"), F.sum("score").alias("score")
-    )
-    return per_category.unionByName(top.withColumn("level", F.lit("super")))
+        group = F.when(F.col("category").isin(list(members)), name).otherwise(group)
+    return G.unfold_levels(per_category, by, {"category": "category", "super": group}, ["n", "n_unpaired", "score"])
 
 
 def hallucination(df: DataFrame, by: Sequence[str] = RUN, index: str = "index") -> DataFrame:
@@ -176,9 +173,8 @@ def f1_scores(df: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
         "fp": (~gold & pred).cast("bigint"), "fn": (gold & ~pred).cast("bigint"),
     }
     partial = G.partial_sums(df, [*by, "category"], sums)
-    each = partial.withColumn("category", F.explode(F.split(F.col("category"), ",")))
-    unlisted = partial.where(F.col("category").isNull())
-    counts = G.unfold_levels(each.unionByName(unlisted), by, {"overall": None, "category": "category"}, list(sums))
+    each = partial.withColumn("category", F.explode_outer(F.split(F.col("category"), ",")))
+    counts = G.unfold_levels(each, by, {"overall": None, "category": "category"}, list(sums))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     precision = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
     recall = F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
