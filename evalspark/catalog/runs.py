@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.catalog import fixtures as FX
-from evalspark.catalog.base import Source, query, with_view
+from evalspark.catalog import sqltext as S
+from evalspark.catalog.base import Source, plain, query, with_view
 from evalspark.operators import expand as E
 from evalspark.operators import keys as OK
+from evalspark.plans import evaluate as EV
 from evalspark.plans import grouping as G
 from evalspark.plans import run_reports as R
 
@@ -131,3 +133,33 @@ def value_counts(src: Source) -> DataFrame:
     return E.value_counts(_runs(src), "model", "dataset")
 
 
+
+
+_ALL_RUNS = f"""WITH a AS ({plain(FX.MCQ)}), b AS ({plain(FX.YES_NO)}), c AS ({plain(FX.VQA)}),
+    fx AS (SELECT model, 'choices' AS dataset, idx, prediction, answer, A, B, C, D, category, l2_category, split FROM a), {S.infer("fx", S.ABCD)},
+    sc AS (SELECT *, CAST(coalesce(opt, 'Z') = answer AS INT) AS hit FROM inferred),
+    y AS (SELECT model, category, l2_category, CAST(answer = CASE idx % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' WHEN 3 THEN 'Yes' WHEN 5 THEN 'No' ELSE 'Unknown' END AS INT) AS score FROM b),
+    e AS (SELECT model, split, CAST(lower(trim(category)) = lower(trim(prediction)) OR lower(trim(model)) = lower(trim(prediction)) AS INT) AS hit FROM c)
+    SELECT model, dataset, split, level, key, n, round(score, 9) AS score FROM (
+      SELECT model, 'choices' AS dataset, split, 'overall' AS level, 'Overall' AS key, count(*) AS n, sum(hit)::DOUBLE / count(*) AS score FROM sc GROUP BY ALL
+      UNION ALL SELECT model, 'choices', split, 'l2_category', l2_category, count(*), sum(hit)::DOUBLE / count(*) FROM sc GROUP BY ALL
+      UNION ALL SELECT model, 'choices', split, 'category', category, count(*), sum(hit)::DOUBLE / count(*) FROM sc GROUP BY ALL
+      UNION ALL SELECT model, 'yes-no', 'none', 'overall', 'Overall', count(*), sum(score)::DOUBLE / count(*) * 100 FROM y GROUP BY ALL
+      UNION ALL SELECT model, 'yes-no', 'none', 'category', category, count(*), sum(score)::DOUBLE / count(*) * 100 FROM y GROUP BY ALL
+      UNION ALL SELECT model, 'yes-no', 'none', 'l2_category', l2_category, count(*), sum(score)::DOUBLE / count(*) * 100 FROM y GROUP BY ALL
+      UNION ALL SELECT model, 'words', 'none', 'overall', 'Overall', count(*), sum(hit)::DOUBLE / count(*) * 100 FROM e GROUP BY ALL
+      UNION ALL SELECT model, 'words', 'none', 'split', split, count(*), sum(hit)::DOUBLE / count(*) * 100 FROM e GROUP BY ALL)"""
+
+
+@query(_ALL_RUNS)
+def evaluate_runs(src: Source) -> DataFrame:
+    """One table of predictions for three families of data sets, evaluated in one job."""
+    keep = ["model", "prediction", "answer", "category", "split"]
+    choices = src.view(FX.MCQ).select(*keep, "l2_category", *"ABCD", F.lit("choices").alias("dataset"))
+    yes_no = src.view(FX.YES_NO).select("model", "prediction", "answer", "category", "l2_category", F.lit("yes-no").alias("dataset"))
+    golds = F.to_json(F.array("category", "model"))
+    words = src.view(FX.VQA).withColumn("answer", golds).select(*keep, F.lit("words").alias("dataset"))
+    table = choices.unionByName(yes_no, allowMissingColumns=True).unionByName(words, allowMissingColumns=True)
+    report = EV.evaluate_runs(table, {"choices": "choice", "yes-no": "yes_no", "words": "vqa_exact"})
+    report = report.withColumn("split", F.when(F.col("level") == "split", "none").otherwise(F.col("split")))
+    return report.withColumn("score", F.round("score", 9))

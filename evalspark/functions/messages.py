@@ -138,6 +138,11 @@ def video_message(
     return F.concat(F.array(part("text", F.lit(system))), media, F.array(part("text", frame_text), part("text", ask)))
 
 
+def pack_text(questions: Column) -> Column:
+    """All questions of a video (``map<index, question>``) as one JSON object to be answered in kind."""
+    return F.concat(F.lit("Questions: \n"), F.to_json(questions), F.lit("\nAnswers: \n"))
+
+
 def media_type(c: Column | str) -> Column:
     """``image``/``video`` by file name ending, ``text`` for anything else."""
     ending = F.lower(F.regexp_extract(T.col(c), "^\\S*\\.([A-Za-z0-9]+)$", 1))

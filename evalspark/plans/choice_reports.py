@@ -17,7 +17,8 @@ RUN = ("model", "dataset")
 
 
 def with_split(df: DataFrame) -> DataFrame:
-    return df if "split" in df.columns else df.withColumn("split", F.lit("none"))
+    """Rows without a split belong to ``none``."""
+    return df.withColumn("split", F.coalesce("split", F.lit("none")) if "split" in df.columns else F.lit("none"))
 
 
 def accuracy(df: DataFrame, by: Sequence[str] = RUN, l2: str | None = "l2_category", category: str | None = "category") -> DataFrame:

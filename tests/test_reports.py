@@ -14,6 +14,7 @@ from evalspark.functions import messages as M
 from evalspark.operators import scorers as SC
 from evalspark.plans import answer_reports as AR
 from evalspark.plans import choice_reports as R
+from evalspark.plans import evaluate as EV
 from evalspark.plans import grouping as G
 from evalspark.plans import judged_reports as JR
 from evalspark.plans import run_reports as RR
@@ -134,6 +135,38 @@ def test_leaderboard(spark):
     assert RR.leaderboard(reports, metrics).first().asDict() == {"model": "m1", "a": 50.0, "b": 7.0, "c": None}
 
 
+def test_specs_score_prompt_and_report(spark):
+    rows = [("m", "d", 1, "What?", "red", "blue", "A", "Answer: B or Answer: A", "c", "x.jpg")]
+    df = spark.createDataFrame(rows, "model string, dataset string, index bigint, question string, A string, B string, answer string, prediction string, category string, image_path string")
+    report = as_dict(EV.evaluate(df, "choice_tagged"), ["model", "dataset", "split", "level", "key"])
+    assert report == {("m", "d", "none", "overall", "Overall"): 1.0, ("m", "d", "none", "category", "c"): 1.0}
+    message = EV.prompts(df, "choice").first()["message"]
+    assert [p["type"] for p in message] == ["image", "text"] and message[1]["value"].startswith("Question: What?\nOptions:\nA. red\nB. blue\nPlease")
+    own = EV.BenchmarkSpec(lambda d: d.withColumn("hit", F.lit(1)), lambda d: G.level_means(d, EV.RUN, {"overall": None}, "hit"))
+    assert EV.evaluate_runs(df, {"d": own}).first()["score"] == 1.0
+
+
+@pytest.mark.parametrize("family", ["choice", "choice_open", "choice_circular", "yes_no", "yes_no_f1", "vqa_consensus", "vqa_anls", "vqa_relaxed", "ocr", "containment"])
+def test_every_text_family_runs(spark, family):
+    df = spark.createDataFrame([("m", "d", 1, "q", "red", "blue", "A", "A", "c", "l")],
+                               "model string, dataset string, index bigint, question string, A string, B string, answer string, prediction string, category string, l2_category string")
+    assert EV.evaluate(df, family).columns == EV.LONG
+
+
+def test_dialogue_takes_images_in_order(spark):
+    df = spark.createDataFrame([(["<ImageHere>a", "b<ImageHere><ImageHere>", "c"], ["x", "y", "z"], ["i1", "i2", "i3"])],
+                               "q array<string>, a array<string>, i array<string>")
+    turns = df.select(M.dialogue(F.col("q"), F.col("a"), F.col("i")).alias("d")).first()["d"]
+    assert [t["role"] for t in turns] == ["user", "assistant"] * 3
+    assert [[tuple(p) for p in t["content"]] for t in turns[::2]] == [
+        [("image", "i1"), ("text", "a")], [("text", "b"), ("image", "i2"), ("image", "i3")], [("text", "c")]]
+
+
+def test_pack_text(spark):
+    text = spark.range(1).select(M.pack_text(F.create_map(F.lit("1"), F.lit("why?"))).alias("t")).first()["t"]
+    assert text == 'Questions: \n{"1":"why?"}\nAnswers: \n'
+
+
 def test_turn_budget_keeps_whole_exchanges(spark):
     turns = F.array(*[F.struct(F.lit(r).alias("role"), F.lit("x" * n).alias("text")) for r, n in (("user", 5), ("assistant", 9), ("user", 3), ("assistant", 2))])
     size = lambda t: F.length(t["text"]).cast("bigint")
