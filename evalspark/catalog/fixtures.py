@@ -147,6 +147,12 @@ SELECT d.doc_id AS idx, d.text AS prediction, b.item_id, b.text AS ref_text, 1 A
 FROM {documents} d JOIN {benchmark} b ON (d.doc_id + 7) % (SELECT COUNT(*) FROM {benchmark}) = b.item_id
 """
 
+CAPTION_ROWS = """
+SELECT d.doc_id AS idx, d.text AS prediction, a.text AS first, b.text AS second
+FROM {documents} d JOIN {benchmark} a ON d.doc_id % (SELECT COUNT(*) FROM {benchmark}) = a.item_id
+  JOIN {benchmark} b ON (d.doc_id + 7) % (SELECT COUNT(*) FROM {benchmark}) = b.item_id
+"""
+
 IMAGES = """
 SELECT o_orderkey AS idx, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey - 1 AS STRING)
   ELSE repeat('x', 70) || CAST(o_orderkey AS STRING) END AS image

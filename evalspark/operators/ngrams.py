@@ -1,11 +1,14 @@
 """Caption metrics and covered-text matching over whole texts.
 
-N-gram counts are rows: exploded once per text, counted with a map-side combine, and joined on
-(text, n-gram) keys.  Longest common subsequences and string similarity run as small Arrow functions.
+What a row needs only itself for (clipped matches, longest common subsequences, string similarity) runs as
+small Arrow functions where the row is.  Corpus frequencies are Spark aggregates over n-gram rows.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections import Counter
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
@@ -17,7 +20,6 @@ from pyspark.sql import types as ST
 
 from evalspark import session
 from evalspark.functions import text as T
-from evalspark.plans import grouping as G
 
 MAX_ORDER = 4
 _SMALL, _TINY = 1e-9, 1e-15
@@ -69,44 +71,51 @@ def caption_texts(df: DataFrame, index: str = "idx", prediction: str = "predicti
     return hyp.unionByName(df.select(index, F.posexplode(references).alias("ref", "text")))
 
 
-def bleu(texts: DataFrame, index: str = "idx", partitions: int | None = None) -> DataFrame:
-    """Corpus BLEU-1..4 (one row): clipped n-gram precision, closest reference length, brevity penalty."""
-    texts = by_text(texts, index, partitions)
-    counts = ngram_counts(texts, [index, "ref"])
-    is_hyp = F.col("ref") == -1
-    clipped = (
-        counts.groupBy(index, "order", "gram")
-        .agg(
-            F.coalesce(F.max(F.when(is_hyp, F.col("tf"))), F.lit(0)).alias("hyp"),
-            F.coalesce(F.max(F.when(~is_hyp, F.col("tf"))), F.lit(0)).alias("best"),
-        )
-        .agg(*[
-            F.coalesce(F.sum(F.when(F.col("order") == n, F.least("hyp", "best"))), F.lit(0)).alias(f"correct{n}")
-            for n in range(1, MAX_ORDER + 1)
-        ])
-    )
-    lengths = texts.select(index, "ref", F.size(T.words("text")).alias("len")).groupBy(index).agg(
-        F.max(F.when(is_hyp, F.col("len"))).alias("hyp_len"), F.collect_list(F.when(~is_hyp, F.col("len"))).alias("refs")
-    )
-    gaps = T.let(F.col("hyp_len"), lambda h: F.transform("refs", lambda n: F.struct(F.abs(n - h).alias("gap"), n.alias("len"))))
-    totals = lengths.where((F.size("refs") > 0) & F.col("hyp_len").isNotNull()).withColumn("ref_len", F.array_min(gaps)["len"]).agg(
-        F.sum("hyp_len").alias("hyp_len"),
-        F.sum("ref_len").alias("ref_len"),
-        *[F.sum(F.greatest(F.col("hyp_len") - (n - 1), F.lit(0))).alias(f"guess{n}") for n in range(1, MAX_ORDER + 1)],
-    )
-    joined = G.merge_measures([clipped, totals])
+_CLIPPED = ST.StructType([
+    ST.StructField("hyp_len", ST.LongType()), ST.StructField("ref_len", ST.LongType()),
+    *[ST.StructField(f"correct{n}", ST.LongType()) for n in range(1, MAX_ORDER + 1)],
+])
+
+
+def _clipped(hyp: list[str], refs: list[list[str]]) -> tuple[int, ...]:
+    """Length, closest reference length (shorter of equals) and clipped matches per order of one text."""
+    closest = min((abs(len(r) - len(hyp)), len(r)) for r in refs)[1]
+    matches = []
+    for n in range(1, MAX_ORDER + 1):
+        grams = [Counter(zip(*(text[i:] for i in range(n)), strict=False)) for text in (hyp, *refs)]
+        best = functools.reduce(operator.or_, grams[1:])
+        matches.append(sum(min(count, best[gram]) for gram, count in grams[0].items() if gram in best))
+    return len(hyp), closest, *matches
+
+
+@F.pandas_udf(_CLIPPED)
+def clipped_counts(prediction: pd.Series, references: pd.Series) -> pd.DataFrame:
+    """:func:`_clipped` of every row; words are separated by white space."""
+    rows = [_clipped(p.split(), [r.split() for r in refs]) for p, refs in zip(prediction, references, strict=True)]
+    return pd.DataFrame(rows, columns=_CLIPPED.names, dtype="int64")
+
+
+def bleu(df: DataFrame, prediction: str = "prediction", references: str = "references") -> DataFrame:
+    """Corpus BLEU-1..4 (one row): clipped n-gram precision, closest reference length, brevity penalty.
+
+    Each row is counted where it is; only six sums per task are shuffled.
+    """
+    rows = df.where(F.size(references) > 0).select(clipped_counts(T.as_text(prediction), references).alias("c"))
+    guesses = [F.sum(F.greatest(F.col("c.hyp_len") - (n - 1), F.lit(0))).alias(f"guess{n}") for n in range(1, MAX_ORDER + 1)]
+    totals = rows.agg(*[F.sum(f"c.{name}").alias(name) for name in _CLIPPED.names], *guesses)
     ratio = (F.col("hyp_len") + _TINY) / (F.col("ref_len") + _SMALL)
     penalty = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
     product, scores = F.lit(1.0), []
     for n in range(1, MAX_ORDER + 1):
         product = product * ((F.col(f"correct{n}") + _TINY) / (F.col(f"guess{n}") + _SMALL))
         scores.append((F.pow(product, F.lit(1.0 / n)) * penalty * 100).alias(f"Bleu_{n}"))
-    return joined.select(*scores)
+    return totals.select(*scores)
 
 
-def cider(texts: DataFrame, index: str = "idx", partitions: int | None = None) -> DataFrame:
+def cider(df: DataFrame, index: str = "idx", prediction: str = "prediction", references: str = "references",
+          partitions: int | None = None) -> DataFrame:
     """CIDEr of every prediction (``index, cider``), with document frequencies over the references."""
-    texts = by_text(texts, index, partitions)
+    texts = by_text(caption_texts(df, index, prediction, references), index, partitions)
     counts = ngram_counts(texts, [index, "ref"], mark_texts=True)
     own_grams = counts.where("ref >= 0 and order > 0").groupBy(index, "order", "gram").agg(F.count(F.lit(1)).alias("_texts"))
     # Used by every prediction n-gram: written once, and copied to the executors only when it is small.
@@ -167,13 +176,11 @@ def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_common_subsequence(list(a), list(b)) for a, b in zip(left, right, strict=True)], dtype="int32")
 
 
-def rouge_l(texts: DataFrame, index: str = "idx", partitions: int | None = None) -> DataFrame:
+def rouge_l(df: DataFrame, index: str = "idx", prediction: str = "prediction", references: str = "references") -> DataFrame:
     """ROUGE-L (beta 1.2) of every prediction with its best recall and best precision over references."""
-    tokens = by_text(texts, index, partitions).select(index, "ref", F.split("text", " ").alias("w"))
-    hyp = tokens.where("ref = -1").select(index, F.col("w").alias("h"))
-    lcs = tokens.where("ref >= 0").join(hyp, index).select(
-        index, common_subsequence("h", "w").alias("lcs"), F.size("h").alias("hn"), F.size("w").alias("rn")
-    )
+    pairs = df.select(index, F.split(T.as_text(prediction), " ").alias("h"), F.explode(references).alias("ref"))
+    pairs = pairs.withColumn("w", F.split("ref", " "))
+    lcs = pairs.select(index, common_subsequence("h", "w").alias("lcs"), F.size("h").alias("hn"), F.size("w").alias("rn"))
     best = lcs.groupBy(index).agg(F.max(F.col("lcs") / F.col("hn")).alias("p"), F.max(F.col("lcs") / F.col("rn")).alias("r"))
     p, r, b2 = F.col("p"), F.col("r"), _BETA * _BETA
     score = F.when((p != 0) & (r != 0), (1 + b2) * p * r / (r + b2 * p)).otherwise(0.0)

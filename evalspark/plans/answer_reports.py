@@ -135,11 +135,10 @@ def recovery(blanks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def captions(texts: DataFrame, index: str = "idx", partitions: int | None = None) -> DataFrame:
-    """BLEU-1..4, ROUGE-L and CIDEr in percent, as one row."""
+def captions(df: DataFrame, index: str = "idx", partitions: int | None = None) -> DataFrame:
+    """BLEU-1..4, ROUGE-L and CIDEr in percent, as one row, of ``prediction`` against ``references``."""
     from evalspark.operators import ngrams as NG
 
-    bleu = NG.bleu(texts, index, partitions)
-    rouge = NG.rouge_l(texts, index, partitions).agg((F.avg("rouge_l") * 100).alias("ROUGE_L"))
-    cider = NG.cider(texts, index, partitions).agg((F.avg("cider") * 100).alias("CIDEr"))
-    return G.merge_measures([bleu, rouge, cider])
+    rouge = NG.rouge_l(df, index).agg((F.avg("rouge_l") * 100).alias("ROUGE_L"))
+    cider = NG.cider(df, index, partitions=partitions).agg((F.avg("cider") * 100).alias("CIDEr"))
+    return G.merge_measures([NG.bleu(df), rouge, cider])

@@ -15,6 +15,7 @@ from evalspark.operators import intervals as I
 from evalspark.operators import keys as OK
 from evalspark.operators import ngrams as NG
 from evalspark.operators import scorers as SC
+from evalspark.plans import answer_reports as AR
 from evalspark.sources import preparation as PR
 from evalspark.sources import tables as TB
 
@@ -208,17 +209,20 @@ def test_common_subsequence():
 
 
 def test_rouge_l(spark):
-    texts = spark.createDataFrame([(1, -1, "a b c d"), (1, 0, "a c"), (1, 1, "x y z w")], "idx int, ref int, text string")
+    df = spark.createDataFrame([(1, "a b c d", ["a c", "x y z w"])], "idx int, prediction string, references array<string>")
     p, r, b2 = 2 / 4, 2 / 2, 1.44
-    assert NG.rouge_l(texts).first()["rouge_l"] == pytest.approx((1 + b2) * p * r / (r + b2 * p))
+    assert NG.rouge_l(df).first()["rouge_l"] == pytest.approx((1 + b2) * p * r / (r + b2 * p))
 
 
 def test_perfect_captions(spark):
-    texts = [(i, ref, f"word{i} and some more words of text {i}") for i in range(4) for ref in (-1, 0)]
-    df = spark.createDataFrame(texts, "idx int, ref int, text string")
-    bleu = NG.bleu(df).first()
-    assert [bleu[f"Bleu_{n}"] for n in (1, 2, 3, 4)] == pytest.approx([100.0] * 4)
-    assert [r["cider"] for r in NG.cider(df).collect()] == pytest.approx([10.0] * 4)
+    texts = [f"word{i} and some more words of text {i}" for i in range(4)]
+    df = spark.createDataFrame([(i, t, [t]) for i, t in enumerate(texts)], "idx int, prediction string, references array<string>")
+    scores = AR.captions(df).first().asDict()
+    assert scores == pytest.approx({"Bleu_1": 100.0, "Bleu_2": 100.0, "Bleu_3": 100.0, "Bleu_4": 100.0, "ROUGE_L": 100.0, "CIDEr": 1000.0})
+
+
+def test_clipping_and_closest_length():
+    assert NG._clipped("the the the cat".split(), ["the cat".split(), "the the dog sat on".split()]) == (4, 5, 3, 2, 0, 0)
 
 
 def test_denotations(spark):
