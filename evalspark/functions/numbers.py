@@ -62,22 +62,23 @@ def decimals(x: Column) -> Column:
 def close_number(gold: Column, pred: Column, *, percentage: bool = True, relative: float | None = 0.01) -> Column:
     """Gold, gold/100 or gold*100 within 1 % of the prediction, or equal after rounding."""
 
-    def equal_rounded(g: Column, p: Column, p_places: Column) -> Column:
-        places = F.greatest(F.least(p_places, decimals(g)), F.lit(2))
-        return T.let(F.pow(F.lit(10.0), places), lambda scale: F.rint(p * scale) == F.rint(g * scale))
+    def equal_rounded(g: Column, p: Column) -> Column:
+        # Two or more equal decimals need a gap of at most 0.01, which is cheap to rule out first.
+        places = F.greatest(F.least(decimals(p), decimals(g)), F.lit(2))
+        same = T.let(F.pow(F.lit(10.0), places), lambda scale: F.rint(p * scale) == F.rint(g * scale))
+        return (F.abs(g - p) <= 0.0101) & same
 
-    def any_close(p: Column, p_places: Column) -> Column:
-        candidates = F.array(gold / 100, gold, gold * 100) if percentage else F.array(gold)
+    def close(g: Column, p: Column) -> Column:
         if relative is None:
-            return F.exists(candidates, lambda g: equal_rounded(g, p, p_places))
-        return F.exists(
-            candidates,
-            lambda g: (F.abs(g - p) <= relative * F.greatest(F.abs(g), F.abs(p))) | equal_rounded(g, p, p_places),
-        )
+            return equal_rounded(g, p)
+        return (F.abs(g - p) <= relative * F.greatest(F.abs(g), F.abs(p))) | equal_rounded(g, p)
+
+    def any_close(p: Column) -> Column:
+        candidates = F.array(gold / 100, gold, gold * 100) if percentage else F.array(gold)
+        return F.exists(candidates, lambda g: close(g, p))
 
     finite = ~F.isnan(pred) & ~F.isnan(gold)
-    hit = T.let(pred, lambda p: T.let(decimals(p), lambda places: any_close(p, places)))
-    return F.coalesce(F.when(finite, hit), F.lit(False))
+    return F.coalesce(F.when(finite, T.let(pred, any_close)), F.lit(False))
 
 
 def score_pair(review: Column | str) -> tuple[Column, Column]:
