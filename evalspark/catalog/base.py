@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evalspark.session import ship
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -35,6 +37,7 @@ class Query:
     oracle: str | None
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
         return self.run(Source(spark, folder.rstrip("/")))
 
 
