@@ -73,6 +73,9 @@ class Pieces:
                 if len(known) > WORDS_KEPT:
                     known.clear()
                     missing = list(set(words))
+                if "" in missing:  # a mark at the end with nothing after it
+                    missing.remove("")
+                    known[""] = len(own.encode("a ")) - len(own.encode("a"))
                 known.update(zip(missing, map(len, own.encode(missing, num_threads=1)), strict=True))
             counts.append(sum(map(known.__getitem__, words)))
         return counts
