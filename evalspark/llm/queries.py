@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, token_counts
+from evalspark.llm import byte_bpe, quality, token_counts, toxicity
 from evalspark.session import ship
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,32 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").select(*columns)
 
 
+def held_out(parts: int, part: int) -> Column:
+    """Whether a row is kept out of learning, by its id alone; rows without an id are learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
+
+
+@query()
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from two thirds of the labels."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    labels = table(spark, folder, "labels", "doc_id", "toxic").filter(~held_out(3, 1))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels))
+    return scored.select(
+        "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "n_terms", "n_edited", "n_quoted",
+    )
+
+
+@query()
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from four fifths of the labels."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    labels = table(spark, folder, "labels", "doc_id", "quality").filter(~held_out(5, 0))
+    scored = quality.score(docs, quality.learn(docs, labels))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages")
+
+
 @query()
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, counted once per distinct content."""
