@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, quality, token_counts, toxicity
+from evalspark.llm import byte_bpe, exact_dedup, mixing, quality, token_counts, toxicity
 from evalspark.session import ship
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,12 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages")
 
 
+@query()
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    return mixing.taken_words(table(spark, folder, "documents", "doc_id", "text", "source"))
+
+
 @query()
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, counted once per distinct content."""
@@ -70,6 +76,17 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+@query(r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+  doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
+FROM n
+""")
+def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of every document, up to white space."""
+    return exact_dedup.group_copies(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @query()
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again."""
