@@ -74,10 +74,12 @@ def slots(targets: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     chunks = counted.filter("n_slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK).cast("long"))).alias("chunk"))
     chunks = chunks.repartition("source_no", "chunk")
     own = F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n_slots")) - 1)
+    # A pass over a part of the blocks leaves the short last one out, if the others are enough.
+    drawn = F.when((F.col("slot") >= whole) & (F.ceil(rest / block) < n), n - 1).otherwise(n)
     made = chunks.withColumn("slot", F.explode(own)).withColumn("pass", F.floor(F.col("slot") / n).cast("long"))
     return made.select(
         F.pmod(F.xxhash64("source_no", "slot", F.lit(seed)), F.col("n_shards")).alias("shard"), "source_no", "slot", "pass",
-        _spin(F.col("slot") % n, n, F.hash("source_no", "pass"), seed).alias("block"),
+        _spin(F.col("slot") % n, drawn, F.hash("source_no", "pass"), seed).alias("block"),
         F.when(F.col("slot") < whole, F.lit(block)).otherwise(F.least(F.lit(block), rest - (F.col("slot") - whole) * block)).cast("long").alias("words"),
     )
 
