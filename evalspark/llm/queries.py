@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, exact_dedup, mixing, quality, token_counts, toxicity
+from evalspark.llm import byte_bpe, exact_dedup, fingerprints, mixing, quality, token_counts, toxicity
 from evalspark.session import ship
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,12 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+@query()
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprints.edit_report(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @query(r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
