@@ -30,6 +30,7 @@ from evalspark.session import new_table_path
 MARK = "▁"
 #: Words kept in a worker's memory between batches.
 WORDS_KEPT = 300_000
+TEXTS_AT_ONCE = 1_000
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -61,25 +62,35 @@ class Pieces:
         own = self.own
         if not self.by_word:
             return [len(x) for x in own.encode(texts, num_threads=1)]
-        counts, known = [], self._words
-        for text in texts:
-            if not text:
-                counts.append(0)
-                continue
-            text = text.replace(MARK, " ")
-            # The library puts one mark in front of a text, so a word stands here without the last of its marks.
-            words = text.split(" ") if "  " not in text and text[0] != " " and text[-1] != " " else [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
-            if missing := list(set(words) - known.keys()):
-                if len(known) > WORDS_KEPT:
-                    known.clear()
-                    missing = list(set(words))
-                if "" in missing:  # a mark at the end with nothing after it
-                    missing.remove("")
-                    known[""] = len(own.encode("a ")) - len(own.encode("a"))
-                known.update(zip(missing, map(len, own.encode(missing, num_threads=1)), strict=True))
-            counts.append(sum(map(known.__getitem__, words)))
+        counts = []
+        for begin in range(0, len(texts), TEXTS_AT_ONCE):
+            lists = [self._split(text) for text in texts[begin:begin + TEXTS_AT_ONCE]]
+            self._learn(set().union(*lists))
+            counts += [sum(map(self._words.__getitem__, words)) for words in lists]
         return counts
 
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """Words with the marks in front of them but one: the library itself puts one mark in front of what it is given."""
+        if not text:
+            return []
+        text = text.replace(MARK, " ")
+        if "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return [word[1:] for word in re.findall(" +[^ ]*", " " + text)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Counts of all these words, those not yet known in one call of the library."""
+        known = self._words
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        missing = list(words - known.keys())
+        if "" in words:  # a mark at the end with nothing after it
+            missing = [w for w in missing if w]
+            known[""] = len(self._own.encode("a ")) - len(self._own.encode("a"))
+        if missing:
+            known.update(zip(missing, map(len, self._own.encode(missing, num_threads=1)), strict=True))
+
 
 def load(spark: SparkSession, path: str | None = None):
     """The model as a broadcast; its size is that of one file and does not grow with the data."""
