@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, exact_dedup, fingerprints, mixing, quality, token_counts, toxicity
+from evalspark.llm import byte_bpe, exact_dedup, fingerprints, mixing, near_dedup, quality, token_counts, toxicity
 from evalspark.session import ship
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,12 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.group_copies(table(spark, folder, "documents", "doc_id", "text"))
 
 
+@query()
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near duplicates of every document on sets of two-word shingles."""
+    return near_dedup.group_near(table(spark, folder, "documents", "doc_id", "text"), width=2, similarity=80)
+
+
 @query()
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again."""
