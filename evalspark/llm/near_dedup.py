@@ -46,8 +46,8 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z lowered, cut at ASCII white space), one text after another, and the words of each text."""
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z lowered, cut at ASCII white space), one text after another, the words of each text, and last bytes."""
     blobs = [(t or "").encode("utf-8", "replace").lower() + b" " for t in texts]
     data = np.frombuffer(b"".join(blobs), np.uint8)
     ends = np.cumsum([len(b) for b in blobs])
@@ -61,12 +61,12 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     mixed = _scramble(_MIX[data[where]] + place * _STEP)
     hashes = np.add.reduceat(mixed, first) if len(first) else np.zeros(0, np.uint64)
     upto = np.searchsorted(begin, ends)
-    return _scramble(hashes), np.diff(upto, prepend=0)
+    return _scramble(hashes), np.diff(upto, prepend=0), data[end - 1]
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    hashes, counts = word_hashes(texts)
+    hashes, counts, _ = word_hashes(texts)
     sets, at = [], 0
     if len(hashes) >= width:
         joined = np.zeros(len(hashes) - width + 1, np.uint64)

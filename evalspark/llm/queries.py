@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, exact_dedup, fingerprints, mixing, near_dedup, quality, token_counts, toxicity
+from evalspark.llm import byte_bpe, exact_dedup, fingerprints, mixing, near_dedup, quality, repeats, token_counts, toxicity
 from evalspark.session import ship
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,13 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+@query()
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that start earlier."""
+    cut = repeats.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
