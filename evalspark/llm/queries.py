@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, exact_dedup, fingerprints, mixing, near_dedup, quality, repeats, token_counts, toxicity
+from evalspark.llm import byte_bpe, exact_dedup, fingerprints, language_model, mixing, near_dedup, quality, repeats, token_counts, toxicity
 from evalspark.session import ship
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +117,11 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document, learned from six sevenths of them."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    scored = language_model.score(docs, ~held_out(7, 2))
+    return scored.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
