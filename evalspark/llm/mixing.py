@@ -121,10 +121,17 @@ def taken_words(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The mix by document: rows of which words are taken, with those words, one space between, as text; a second pass follows the first."""
+    """The mix by document: rows of which words are taken, with what is taken as text.
+
+    A pass that takes all words of a row gives its text as it is, a pass that takes some gives those words, one space between; a
+    second pass follows the first on a line of its own.
+    """
     numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed")
-    _, pieces = mix(numbered, text=text, row=F.col("__row"), **options)
-    listed = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pass", "start", "words"))).alias("__pieces"))
-    met = numbered.join(listed.withColumnRenamed("row", "__row"), "__row").withColumn("__words", F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
-    joined = F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice("__words", (p["start"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    return met.withColumn(text, joined).select(*docs.columns)
+    rows, pieces = mix(numbered, text=text, row=F.col("__row"), **options)
+    passes = pieces.groupBy("row", "pass").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("start", "words"))).alias("pieces"))
+    whole = passes.join(rows.select("row", "size"), "row").select("row", F.struct("pass", (F.col("taken") == F.col("size")).alias("whole"), "pieces").alias("of"))
+    listed = whole.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list("of")).alias("__passes"))
+    met = numbered.join(listed, "__row").withColumn("__words", F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
+    some = lambda of: F.array_join(F.flatten(F.transform(of["pieces"], lambda p: F.slice("__words", (p["start"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    taken = F.transform("__passes", lambda of: F.when(of["whole"], F.col(text)).otherwise(some(of)))
+    return met.withColumn(text, F.array_join(taken, "\n")).select(*docs.columns)
