@@ -6,7 +6,7 @@ what they decode to.
 1. quality: documents that the classifier rejects go (score under 0.3); it learns from labels outside the held-out fifth.
 2. exact: of equal texts, up to white space, one stays.
 3. near: of each group of near duplicates (five-word shingles, similarity 0.8) one stays.
-4. mixing: sources are mixed to their target weights; a document's text becomes the words that the mix takes of it.
+4. mixing: sources are mixed to their target weights; a document's text becomes what the mix takes of it.
 5. tokens: every text is encoded and decoded.
 """
 
@@ -39,7 +39,8 @@ def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return mixing.mix_documents(docs)
+    mixed = mixing.mix_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
