@@ -332,12 +332,11 @@ def slide_report(src: Source) -> DataFrame:
 
 @query("""
     WITH p AS (SELECT doc_id, string_split_regex(text, '[.]\\s') AS pages FROM documents),
-    k AS (SELECT doc_id, pages[1:120] AS pages FROM p),
-    e AS (SELECT doc_id, len(pages) AS n, unnest(pages) AS page, unnest(range(len(pages))) AS page_no FROM k)
+    e AS (SELECT doc_id, len(pages) AS n, unnest(pages) AS page, unnest(range(len(pages))) AS page_no FROM p)
     SELECT doc_id, CAST(page_no AS INT) AS page_no, md5(page) AS digest,
       CAST(FLOOR(page_no / greatest(ceil(n / greatest(ceil(n / 20), 1)), 1)) AS INT) AS page_group FROM e""")
 def document_pages(src: Source) -> DataFrame:
-    """Page rows (first 120 of a document) and their page groups."""
+    """All page rows of a document and their page groups."""
     docs = src.table("documents").select("doc_id", F.split("text", "[.]\\s").alias("image_path"))
     pages = E.document_pages(docs)
     return pages.select("doc_id", "page_no", F.md5(F.col("page").cast("binary")).alias("digest"), "page_group")

@@ -24,22 +24,23 @@ def image_ref_resolve(src: Source) -> DataFrame:
 
 
 @query("""
-    WITH d AS (SELECT doc_id, lang, text, page_id, html FROM documents JOIN (SELECT row_number() OVER (ORDER BY page_id) - 1 AS k, page_id, html FROM pages) ON doc_id = k)
-    SELECT lang AS dataset, CASE WHEN doc_id % 2 = 0 THEN 'img/' || doc_id || '.png' ELSE 'img/' || doc_id || '_0.png' END AS path, md5(text) AS digest
-      FROM d WHERE length(to_base64(encode(text))) > 64
-    UNION ALL SELECT lang, 'img/' || doc_id || '_1.png', md5(html) FROM d WHERE doc_id % 2 = 1 AND length(to_base64(encode(html))) > 64""")
+    WITH d AS (SELECT doc_id, lang, text, page_id, html FROM documents LEFT JOIN (SELECT row_number() OVER (ORDER BY page_id) - 1 AS k, page_id, html FROM pages) ON doc_id = k)
+    SELECT lang AS dataset, CASE WHEN doc_id % 2 = 0 OR html IS NULL THEN 'img/' || doc_id || '.png' ELSE 'img/' || doc_id || '_0.png' END AS path,
+      CASE WHEN length(to_base64(encode(text))) > 64 THEN md5(text) END AS digest, length(to_base64(encode(text))) <= 64 AS payload_error FROM d
+    UNION ALL SELECT lang, 'img/' || doc_id || '_1.png', CASE WHEN length(to_base64(encode(html))) > 64 THEN md5(html) END, length(to_base64(encode(html))) <= 64
+      FROM d WHERE doc_id % 2 = 1 AND html IS NOT NULL""")
 def image_payloads(src: Source) -> DataFrame:
     """Base64 cells (one or two images) as binary rows by path."""
     first = src.table("pages").agg(F.min("page_id")).scalar()
     pages = src.table("pages").select((F.col("page_id") - first).alias("doc_id"), F.base64(F.col("html").cast("binary")).alias("second"))
-    docs = src.table("documents").join(pages, "doc_id")
+    docs = src.table("documents").join(pages, "doc_id", "left")
     one = F.base64(F.col("text").cast("binary"))
-    cell = F.when(F.col("doc_id") % 2 == 0, one).otherwise(F.to_json(F.array(one, "second")))
+    cell = F.when((F.col("doc_id") % 2 == 0) | F.col("second").isNull(), one).otherwise(F.to_json(F.array(one, "second")))
     table = docs.select(
         F.col("lang").alias("dataset"), F.regexp_replace(cell, "[\\r\\n]", "").alias("image"),
         F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image_path"),
     )
-    return PR.payload_table(table).select("dataset", "path", F.md5("content").alias("digest"))
+    return PR.payload_table(table).select("dataset", "path", F.md5("content").alias("digest"), "payload_error")
 
 
 @query("""

@@ -133,11 +133,19 @@ def pack_statistics(src: Source) -> DataFrame:
     return RR.pack_statistics(*_packs(src))
 
 
-@query("""SELECT user_id AS video, count(*) AS n, md5(string_agg(CAST(event_id AS VARCHAR) || '=' || event_type, ';' ORDER BY event_id)) AS digest
-    FROM events GROUP BY ALL""")
+@query("""SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position, event_id AS "index", event_type AS question FROM events""")
 def pack_questions(src: Source) -> DataFrame:
-    """All questions of a video as one map."""
+    """Questions of each video with their positions."""
     events = src.table("events").select(F.col("user_id").alias("video"), F.col("event_id").alias("index"), F.col("event_type").alias("question"))
-    packs = E.pack_questions(events)
+    return E.pack_questions(events)
+
+
+@query("""WITH q AS (SELECT user_id, event_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 50 AS pack FROM events)
+    SELECT user_id AS video, pack, count(*) AS n, md5(string_agg(CAST(event_id AS VARCHAR) || '=' || event_type, ';' ORDER BY event_id)) AS digest
+    FROM q GROUP BY ALL""")
+def pack_prompts(src: Source) -> DataFrame:
+    """Fifty questions of a video to a map."""
+    events = src.table("events").select(F.col("user_id").alias("video"), F.col("event_id").alias("index"), F.col("event_type").alias("question"))
+    packs = E.pack_maps(E.pack_questions(events), ["video"], F.floor(F.col("position") / 50))
     listed = F.transform(F.map_entries("questions"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return packs.select("video", F.size("questions").cast("bigint").alias("n"), F.md5(F.array_join(listed, ";").cast("binary")).alias("digest"))
+    return packs.select("video", "pack", F.size("questions").cast("bigint").alias("n"), F.md5(F.array_join(listed, ";").cast("binary")).alias("digest"))

@@ -62,7 +62,7 @@ def dimension_scores(reply: Column | str) -> Column:
 def dimension_value(scores: Column, name: str) -> Column:
     """Whole part of one dimension's score clipped to 0-10, NULL when absent or not a number."""
     def clipped(value: Column) -> Column:
-        usable = ~F.isnan(value) & (F.abs(value) < 1e15)
-        return F.when(usable, F.greatest(F.least(value.cast("bigint"), F.lit(10)), F.lit(0)))
+        inside = F.greatest(F.least(value, F.lit(10.0)), F.lit(0.0))
+        return F.when(value.isNotNull() & ~F.isnan(value), inside.cast("bigint"))
 
     return T.let(F.try_element_at(scores, F.lit(name)), lambda text: T.let(N.parse_float(text), clipped))

@@ -79,11 +79,11 @@ def list_or_empty(c: Column | str) -> Column:
     return F.coalesce(F.from_json(col(c), "array<string>"), F.array().cast("array<string>"))
 
 
-def clean_punctuation(c: Column | str) -> Column:
+def clean_punctuation(c: Column | str, removals: int | None = None) -> Column:
     """Delete or blank the listed marks, then drop periods that no digit follows.
 
     A mark is deleted when it stands next to a space anywhere in the text or when the text holds a
-    digit-comma-digit run; otherwise it becomes a space.  Only the first 32 periods are dropped.
+    digit-comma-digit run; otherwise it becomes a space.  ``removals`` limits how many periods are dropped.
     """
     text = col(c)
     marks = "".join(K.PUNCTUATION_MARKS)
@@ -91,7 +91,7 @@ def clean_punctuation(c: Column | str) -> Column:
     beside_space = F.array_join(F.regexp_extract_all(text, F.lit(f"{one}(?= )|(?<= ){one}"), F.lit(0)), "")
     deleted = F.when(text.rlike("\\d,\\d"), marks).otherwise(beside_space)
     out = F.translate(F.call_function("translate", text, deleted, F.lit("")), marks, " " * len(marks))
-    return F.array_join(F.split(out, "\\.(?!\\d)", K.PERIOD_REMOVALS + 1), "")
+    return F.array_join(F.split(out, "\\.(?!\\d)", -1 if removals is None else removals + 1), "")
 
 
 def normalise_words(c: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark import constants as K
+from evalspark.operators.order import blocks_of, number_rows
 from evalspark.functions import documents as DOC
 from evalspark.functions import text as T
 
@@ -45,50 +46,46 @@ def explode_list(df: DataFrame, items: Column | str, name: str, pos: str | None
     return df.select("*", F.posexplode(items).alias(pos, name))
 
 
-def document_pages(df: DataFrame, pages: str = "image_path", groups: int | None = None) -> DataFrame:
-    """One row per page (first 120 only) with its number and page group."""
-    kept = df.withColumn("_pages", F.slice(pages, 1, K.MAX_DOCUMENT_PAGES))
+def document_pages(df: DataFrame, pages: str = "image_path", groups: int | None = None, max_pages: int | None = None) -> DataFrame:
+    """One row per page with its number and page group; all pages, or the first ``max_pages`` where a benchmark asks for that."""
+    kept = df.withColumn("_pages", F.col(pages) if max_pages is None else F.slice(pages, 1, max_pages))
     rows = kept.withColumn("_n", F.size("_pages")).select(
         *[c for c in df.columns if c != pages], "_n", F.posexplode("_pages").alias("page_no", "page")
     )
     return rows.withColumn("page_group", DOC.page_group(F.col("page_no"), F.col("_n"), groups)).drop("_n")
 
 
-def pack_questions(df: DataFrame, by: Sequence[str] = ("video",), index: str = "index", question: str = "question",
-                   pack_size: int = 1000) -> DataFrame:
-    """One map ``index -> question`` per video.
+def pack_questions(df: DataFrame, by: Sequence[str] = ("video",), index: str = "index", question: str = "question") -> DataFrame:
+    """Questions of each video in order: ``by, position, index, question``, with dense positions from 0.
 
-    A video with more than ``pack_size`` questions is asked in several packs, so that no group has to fit
-    one task; every question is in exactly one pack.
+    The shape is the same at every size; which of them one prompt holds is up to the caller's pack key (:func:`pack_maps`).
     """
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    slot = F.pmod(F.xxhash64(index), F.ceil(F.col("_n") / pack_size)).cast("int")
-    entry = F.struct(F.col(index).cast("string").alias("key"), F.col(question).alias("value"))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), entry.alias("e"))))
-    return (
-        df.join(sizes, list(by))
-        .groupBy(*by, slot.alias("pack"))
-        .agg(F.map_from_entries(F.transform(ordered, lambda x: x["e"])).alias("questions"))
-    )
+    numbered = number_rows(df, list(by), index, "_row")
+    first = numbered.groupBy(*by).agg(F.min("_row").alias("_first"))
+    return numbered.join(first, list(by)).select(*by, (F.col("_row") - F.col("_first")).alias("position"), F.col(index).alias("index"), F.col(question).alias("question"))
+
+
+def pack_maps(questions: DataFrame, by: Sequence[str], pack: Column) -> DataFrame:
+    """One map ``index -> question`` per value of ``pack``, a key whose groups the caller keeps small enough for a prompt."""
+    entry = F.struct(F.col("index").cast("string").alias("key"), F.col("question").alias("value"))
+    ordered = F.array_sort(F.collect_list(F.struct("position", entry.alias("e"))))
+    return questions.groupBy(*by, pack.alias("pack")).agg(F.map_from_entries(F.transform(ordered, lambda x: x["e"])).alias("questions"))
 
 
 def running_sum(
-    df: DataFrame, by: Sequence[str], order: str, values: dict[str, Column], block: int = 4096, levels: int = 2
+    df: DataFrame, by: Sequence[str], order: str, values: dict[str, Column], blocks: int | None = None
 ) -> DataFrame:
-    """Sums over the earlier rows of a group (the row itself excluded), in ``levels`` levels.
+    """Sums over the earlier rows of a group (the row itself excluded).
 
-    Rows are cut into blocks of ``order``; block totals are summed first, rows within a block second, so a
-    very long group is spread over its blocks (two levels: millions of rows, three: billions).
+    Rows are cut into blocks between quantiles of ``order``, so blocks hold about as many rows whatever the values of
+    ``order`` are; block totals are summed first, rows within a block second, and a very long group is spread
+    over its blocks.  ``order`` must be unique within a group.
     """
     totals = {f"_t_{k}": F.sum(v) for k, v in values.items()}
-    tagged = df.withColumn("_block", F.floor(F.col(order) / block))
-    blocks = tagged.groupBy(*by, "_block").agg(*[v.alias(k) for k, v in totals.items()])
-    if levels > 2:
-        sums = running_sum(blocks.withColumnRenamed("_block", "_b"), by, "_b", {f"_s{k}": F.col(k) for k in totals}, block, levels - 1)
-        offsets = sums.select(*by, F.col("_b").alias("_block"), *[F.col(f"_s{k}").alias(k) for k in totals])
-    else:
-        earlier_blocks = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = blocks.select(*by, "_block", *[F.coalesce(F.sum(k).over(earlier_blocks), F.lit(0)).alias(k) for k in totals])
+    tagged = df.withColumn("_block", blocks_of(df, order, blocks))
+    summed = tagged.groupBy(*by, "_block").agg(*[v.alias(k) for k, v in totals.items()])
+    earlier_blocks = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = summed.select(*by, "_block", *[F.coalesce(F.sum(k).over(earlier_blocks), F.lit(0)).alias(k) for k in totals])
     earlier_rows = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = tagged.withColumns({f"_i_{k}": F.coalesce(F.sum(v).over(earlier_rows), F.lit(0)) for k, v in values.items()})
     joined = inner.join(offsets, [*by, "_block"])

@@ -18,14 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from evalspark import session
 from evalspark.functions import text as T
 
 MAX_ORDER = 4
 _SMALL, _TINY = 1e-9, 1e-15
 _SIGMA = 6.0
 _BETA = 1.2
-_BROADCAST_GRAMS = 500_000
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -118,10 +116,7 @@ def cider(df: DataFrame, index: str = "idx", prediction: str = "prediction", ref
     texts = by_text(caption_texts(df, index, prediction, references), index, partitions)
     counts = ngram_counts(texts, [index, "ref"], mark_texts=True)
     own_grams = counts.where("ref >= 0 and order > 0").groupBy(index, "order", "gram").agg(F.count(F.lit(1)).alias("_texts"))
-    # Used by every prediction n-gram: written once, and copied to the executors only when it is small.
-    frequency = session.materialise(own_grams.groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df")), "gram-frequency")
-    if frequency.count() <= _BROADCAST_GRAMS:
-        frequency = F.broadcast(frequency)
+    frequency = own_grams.groupBy("order", "gram").agg(F.count(F.lit(1)).alias("df"))
     log_docs = F.log(texts.where("ref = -1").agg(F.count(F.lit(1)).alias("n")).scalar().cast("double"))
     weight = F.col("tf") * (log_docs - F.log(F.coalesce("df", F.lit(1)).cast("double")))
     weighted = counts.join(frequency, ["order", "gram"], "left").withColumn("w", weight)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions import text as T
+from evalspark.operators.order import number_rows
 
 PAYLOAD_LENGTH = 64
 
@@ -35,7 +36,10 @@ def image_key(index: Column | str, image: Column | str) -> Column:
 
 
 def payload_table(table: DataFrame, image: str = "image", path: str = "image_path") -> DataFrame:
-    """Binary payloads by path: ``dataset, path, content``; several images get a numbered path each."""
+    """Binary payloads by path: ``dataset, path, content, payload_error``; several images get a numbered path each.
+
+    A cell too short to be a payload (see ``PAYLOAD_LENGTH``) has no content and the error mark.
+    """
     images = T.to_list(image)
     paths = T.to_list(path)
     stem = F.regexp_extract(F.get(paths, F.lit(0)), "^(.*?)(\\.[^.]*)?$", 1)
@@ -44,8 +48,8 @@ def payload_table(table: DataFrame, image: str = "image", path: str = "image_pat
     own_paths = F.when((F.size(images) > 1) & (F.size(paths) == 1), numbered).otherwise(paths)
     zipped = F.arrays_zip(own_paths.alias("path"), images.alias("image"))
     rows = table.select("dataset", F.explode_outer(zipped).alias("x"))
-    kept = rows.where(F.length("x.image") > PAYLOAD_LENGTH)
-    return kept.select("dataset", F.col("x.path").alias("path"), F.unbase64("x.image").alias("content"))
+    is_payload = F.coalesce(F.length("x.image") > PAYLOAD_LENGTH, F.lit(False))
+    return rows.select("dataset", F.col("x.path").alias("path"), F.when(is_payload, F.unbase64("x.image")).alias("content"), (~is_payload).alias("payload_error"))
 
 
 def localise_paths(table: DataFrame, index: str = "index", image: str = "image") -> DataFrame:
@@ -59,7 +63,7 @@ def concat_datasets(tables: Mapping[str, DataFrame], order: str = "index") -> Da
     """Union of data sets tagged ``sub_dataset``; ``index`` is renumbered, the old one kept.
 
     Numbering is by (table, old index) in two steps, so that no single task orders all rows: rows are
-    numbered inside blocks of one table and block offsets are added from the block counts.
+    numbered inside blocks between quantiles and block offsets are added from the block counts.
     """
     merged: DataFrame | None = None
     for place, (name, table) in enumerate(tables.items()):
@@ -70,24 +74,6 @@ def concat_datasets(tables: Mapping[str, DataFrame], order: str = "index") -> Da
     return number_rows(renamed, ["_place"], "original_index", "index").drop("_place")
 
 
-def number_rows(df: DataFrame, groups: Sequence[str], order: str, name: str, block: int = 1_000_000) -> DataFrame:
-    """Dense 0-based row numbers by (groups, order), for whole-number ``order`` columns.
-
-    Each block of ``block`` successive order values is numbered on its own; offsets come from the small
-    table of block counts.
-    """
-    from pyspark.sql import Window
-
-    tagged = df.withColumn("_block", F.floor(F.col(order) / block))
-    counts = tagged.groupBy(*groups, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*groups, "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*groups, "_block").orderBy(order)
-    numbered = tagged.withColumn("_rank", F.row_number().over(inside) - 1)
-    joined = numbered.join(offsets, [*groups, "_block"])
-    return joined.withColumn(name, F.col("_offset") + F.col("_rank")).drop("_block", "_rank", "_offset")
-
-
 def split_concat(scored: DataFrame) -> DataFrame:
     """Rows of a combined data set under their own data set name and index again."""
     return scored.drop("index", "dataset").withColumnsRenamed({"original_index": "index", "sub_dataset": "dataset"})
@@ -185,21 +171,32 @@ def options_into_question(items: DataFrame, video_id: str = "videoID") -> DataFr
 
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """SubRip files as ``video, pos, start_ms, end_ms, text``, one row per cue.
+    """SubRip files as ``video, pos, start_ms, end_ms, text``, one row per cue; :func:`broken_cues` has what does not parse.
 
-    Files are read as lines of whole cues, so that one long file is still split by Spark.
+    Line ends may be ``\\n`` or ``\\r\\n``.  A file is one row while it is cut into cues.
     """
-    cues = spark.read.option("lineSep", "\n\n").text(path).select(
-        F.regexp_extract(F.input_file_name(), "([^/]+)\\.[^./]+$", 1).alias("video"), F.col("value")
-    )
-    stamp = "(\\d+):(\\d+):(\\d+)[,.](\\d+)"
-    pattern = f"(?s)(\\d+)\\s*\\n{stamp} --> {stamp}[^\\n]*\\n(.*)"
+    cues = _cues(spark, path)
 
     def ms(first: int) -> Column:
-        h, m, s, t = (F.regexp_extract("value", pattern, first + i).cast("bigint") for i in range(4))
+        h, m, s, t = (F.regexp_extract("value", _CUE, first + i).cast("bigint") for i in range(4))
         return ((h * 60 + m) * 60 + s) * 1000 + t
 
-    return cues.where(F.col("value").rlike(pattern)).select(
-        "video", F.regexp_extract("value", pattern, 1).cast("bigint").alias("pos"), ms(2).alias("start_ms"),
-        ms(6).alias("end_ms"), F.replace(T.strip(F.regexp_extract("value", pattern, 10)), F.lit("\n"), F.lit("\\N")).alias("text"),
+    return cues.where(F.col("value").rlike(_CUE)).select(
+        "video", F.regexp_extract("value", _CUE, 1).cast("bigint").alias("pos"), ms(2).alias("start_ms"),
+        ms(6).alias("end_ms"), F.replace(T.strip(F.regexp_extract("value", _CUE, 10)), F.lit("\n"), F.lit("\\N")).alias("text"),
     )
+
+
+_STAMP = "(\\d+):(\\d+):(\\d+)[,.](\\d+)"
+_CUE = f"(?s)(\\d+)\\s*\\n{_STAMP} --> {_STAMP}[^\\n]*\\n(.*)"
+
+
+def _cues(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)\\.[^./]+$", 1).alias("video"), "value")
+    unix = F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n"))
+    return files.select("video", F.explode(F.split(unix, "\\n{2,}")).alias("value")).where(T.strip(F.col("value")) != "")
+
+
+def broken_cues(spark: SparkSession, path: str) -> DataFrame:
+    """Cues of each file that do not parse: ``video, n``."""
+    return _cues(spark, path).where(~F.col("value").rlike(_CUE)).groupBy("video").agg(F.count(F.lit(1)).alias("n"))

@@ -13,6 +13,7 @@ from evalspark.operators import circular as C
 from evalspark.operators import expand as E
 from evalspark.operators import intervals as I
 from evalspark.operators import keys as OK
+from evalspark.operators.order import number_rows
 from evalspark.operators import ngrams as NG
 from evalspark.operators import scorers as SC
 from evalspark.plans import answer_reports as AR
@@ -120,14 +121,14 @@ def test_missing_runs(spark):
     assert rows_of(got, "model", "dataset") == [("m2", "a")]
 
 
-@pytest.mark.parametrize("levels", [2, 3])
-def test_running_sum_over_a_long_group(spark, levels):
-    rows = [("hot", i, i % 7) for i in range(5000)] + [("cold", i, 1) for i in range(10)]
-    df = spark.createDataFrame(rows, "g string, pos int, v int").repartition(5)
-    got = {(r["g"], r["pos"]): r["s"] for r in E.running_sum(df, ["g"], "pos", {"s": F.col("v").cast("bigint")}, block=64, levels=levels).collect()}
+@pytest.mark.parametrize("step", [1, 10**9])
+def test_running_sum_over_a_long_group(spark, step):
+    rows = [("hot", i * step, i % 7) for i in range(5000)] + [("cold", i, 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "g string, pos bigint, v int").repartition(5)
+    got = {(r["g"], r["pos"]): r["s"] for r in E.running_sum(df, ["g"], "pos", {"s": F.col("v").cast("bigint")}, blocks=40).collect()}
     total = 0
     for i in range(5000):
-        assert got[("hot", i)] == total
+        assert got[("hot", i * step)] == total
         total += i % 7
     assert got[("cold", 9)] == 9
 
@@ -135,7 +136,7 @@ def test_running_sum_over_a_long_group(spark, levels):
 def test_row_numbers_are_dense(spark):
     rows = [(g, o) for g in range(3) for o in random.Random(g).sample(range(10**6), 500)]
     df = spark.createDataFrame(rows, "g int, o bigint").repartition(7)
-    numbered = PR.number_rows(df, ["g"], "o", "n", block=1000).orderBy("n").collect()
+    numbered = number_rows(df, ["g"], "o", "n", blocks=20).orderBy("n").collect()
     assert [r["n"] for r in numbered] == list(range(1500))
     assert [(r["g"], r["o"]) for r in numbered] == sorted(rows)
 
@@ -147,10 +148,12 @@ def test_truncated_dialogues(spark):
 
 
 def test_packs_hold_every_question_once(spark):
-    df = spark.createDataFrame([("hot", i, f"q{i}") for i in range(500)] + [("cold", 1, "q")], "video string, index int, question string")
-    packs = E.pack_questions(df, pack_size=100).collect()
-    hot = [p["questions"] for p in packs if p["video"] == "hot"]
-    assert len(hot) == 5 and sum(len(p) for p in hot) == 500 and set().union(*hot) == {str(i) for i in range(500)}
+    df = spark.createDataFrame([("hot", i * 7, f"q{i}") for i in range(1001)] + [("cold", 1, "q")], "video string, index int, question string")
+    asked = E.pack_questions(df)
+    hot = asked.where("video = 'hot'").orderBy("position").collect()
+    assert [(r["position"], r["index"]) for r in hot] == [(i, i * 7) for i in range(1001)]
+    packs = E.pack_maps(asked, ["video"], F.floor(F.col("position") / 100)).collect()
+    assert sorted(len(p["questions"]) for p in packs if p["video"] == "hot") == [1] + [100] * 10
     assert [p["questions"] for p in packs if p["video"] == "cold"] == [{"1": "q"}]
 
 
@@ -339,12 +342,17 @@ def test_headers_index_and_submission(spark):
 
 
 def test_subtitle_files(spark, tmp_path):
-    (tmp_path / "v1.srt").write_text("1\n00:00:01,000 --> 00:00:02,500\nhello\nthere\n\n2\n00:01:00,000 --> 00:01:01,000\nbye\n")
-    assert rows_of(PR.read_subtitles(spark, str(tmp_path)), "pos") == [("v1", 1, 1000, 2500, "hello\\Nthere"), ("v1", 2, 60000, 61000, "bye")]
+    text = "1\n00:00:01,000 --> 00:00:02,500\nhello\nthere\n\n2\n00:01:00,000 --> 00:01:01,000\nbye\n"
+    (tmp_path / "v1.srt").write_text(text)
+    (tmp_path / "v2.srt").write_bytes((text + "\nno stamp\n").replace("\n", "\r\n").encode())
+    cues = [(1, 1000, 2500, "hello\\Nthere"), (2, 60000, 61000, "bye")]
+    assert rows_of(PR.read_subtitles(spark, str(tmp_path)), "video", "pos") == [(v, *c) for v in ("v1", "v2") for c in cues]
+    assert rows_of(PR.broken_cues(spark, str(tmp_path)), "video") == [("v2", 1)]
 
 
 def test_document_pages(spark):
-    df = spark.createDataFrame([("d", [f"p{i}" for i in range(130)])], "doc_id string, image_path array<string>")
+    df = spark.createDataFrame([("d", [f"p{i}" for i in range(300)])], "doc_id string, image_path array<string>")
     pages = E.document_pages(df).collect()
-    assert len(pages) == 120 and {r["page_group"] for r in pages} == set(range(6))
+    assert len(pages) == 300 and {r["page_group"] for r in pages} == set(range(15))
+    assert E.document_pages(df, max_pages=120).count() == 120
     assert {r["page_group"] for r in E.document_pages(df, groups=1).collect()} == {0}
