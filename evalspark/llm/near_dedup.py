@@ -36,6 +36,8 @@ COLLISION = 1 / 3 / (1 << MANTISSA)
 MARGIN = 0.12
 #: Nodes of a band that are compared with others at a time.
 BLOCK = 512
+#: Pairs that are estimated at a time, within a task.
+PAIRS = 100_000
 _MIX = np.random.default_rng(5).integers(1, 1 << 62, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,14 +112,10 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Similarity of every left with every right row of registers."""
-    equal = np.zeros((len(left), len(right)), np.int32)
-    either = np.zeros_like(equal)
-    for i in range(left.shape[1]):
-        a, b = left[:, i][:, None], right[:, i][None, :]
-        either += (a | b) != 0
-        equal += (a == b) & (a != 0)
-    return ((equal / np.maximum(either, 1)) - COLLISION) / (1 - COLLISION)
+    """Similarity of each left row of registers with the right row at its place."""
+    equal = ((left == right) & (left != 0)).sum(1)
+    either = ((left | right) != 0).sum(1)
+    return (equal / np.maximum(either, 1) - COLLISION) / (1 - COLLISION)
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -188,27 +186,49 @@ def _again(bands: DataFrame, names: DataFrame, similarity: int) -> DataFrame:
     met = named.join(open_groups, "band")
     own = met.select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"))
     asks = met.filter(F.col("component") != F.col("main")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
-    least = similarity / 100 - MARGIN
+    # One task's share: blocks of bands, first the block's own nodes, then those that ask, streamed.
+    spread = own.unionByName(asks).select("band", "block", "asks", F.xxhash64("component").alias("component"), "node", "n_shingles", "registers")
+    sorted_rows = spread.repartition("band", "block").sortWithinPartitions("band", "block", "asks")
+    pairs = sorted_rows.mapInArrow(_close_pairs(similarity), "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def compared(key, frame):
-        import pandas as pd
 
-        left, right = frame[frame.asks], frame[~frame.asks]
-        there = np.stack([np.frombuffer(r, np.uint16) for r in right.registers]) if len(right) else np.zeros((0, BUCKETS), np.uint16)
-        out = []
-        for begin in range(0, len(left), BLOCK):
-            part = left.iloc[begin:begin + BLOCK]
-            close = estimate(np.stack([np.frombuffer(r, np.uint16) for r in part.registers]), there) >= least
-            n, m = part.n_shingles.to_numpy()[:, None], right.n_shingles.to_numpy()[None, :]
-            close &= (100 * np.minimum(n, m) >= similarity * np.maximum(n, m)) & (part.component.to_numpy()[:, None] != right.component.to_numpy()[None, :])
-            i, j = np.nonzero(close)
-            out.append(pd.DataFrame({"a": part.node.to_numpy()[i], "b": right.node.to_numpy()[j]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
-
-    # One task's share: a block of the band, and the nodes that ask, a block of them at a time.
-    spread = own.unionByName(asks).select("band", "block", "node", "n_shingles", "registers", "component", "asks")
-    pairs = spread.groupBy("band", "block").applyInPandas(compared, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _close_pairs(similarity: int):
+    least = similarity / 100 - MARGIN
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if carried is not None:
+                table = pa.concat_tables([carried, table])
+            table = table.combine_chunks()
+            if not len(table):
+                continue
+            band, block, component, n = (table.column(c).to_numpy() for c in ("band", "block", "component", "n_shingles"))
+            asks = table.column("asks").to_numpy(zero_copy_only=False)
+            own = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            group = np.cumsum(np.concatenate([[True], (band[1:] != band[:-1]) | (block[1:] != block[:-1])])) - 1
+            first = np.searchsorted(group, np.arange(group[-1] + 1))
+            there = np.bincount(group, weights=~asks).astype(np.int64)
+            # Rows carried over have asked nothing themselves; they are the open block's own nodes.
+            asking = np.flatnonzero(asks)
+            nodes = table.column("node")
+            at = 0
+            while at < len(asking):
+                upto = at + max(1, int(np.searchsorted(np.cumsum(there[group[asking[at:at + 50_000]]]), PAIRS)))
+                part = asking[at:upto]
+                at = upto
+                count = there[group[part]]
+                left = np.repeat(part, count)
+                right = np.repeat(first[group[part]], count) + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+                kept = (component[left] != component[right]) & (100 * np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]))
+                left, right = left[kept], right[kept]
+                close = estimate(own[left], own[right]) >= least
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(left[close])).combine_chunks(), nodes.take(pa.array(right[close])).combine_chunks()], ["a", "b"])
+            carried = table.filter(pa.array((group == group[-1]) & ~asks))
+
+    return compared
 
 
 def group_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: int = 80) -> DataFrame:
