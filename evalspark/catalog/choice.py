@@ -147,6 +147,8 @@ def nested_dimension_report(src: Source) -> DataFrame:
 
 
 # ------------------------------------------------------------------ circular
+#: Step between the rotations of a question in the fixture, whose indices pass a million.
+_OFFSET = 1_000_000_000_000
 _TOKENS = {c: f"string_split(replace({c}, ',', ' '), ' ')" for c in "CD"}
 _LOWER = {c: f"string_split(replace(lower({c}), ',', ' '), ' ')" for c in "CD"}
 
@@ -176,7 +178,7 @@ def circular_expand(src: Source) -> DataFrame:
 
 
 @query(with_view(FX.CIRCULAR, "," + S.infer("fx", S.ABCD) + """,
-    g AS (SELECT *, idx % 1000000 AS gid, CAST(FLOOR(idx / 1000000) AS BIGINT) AS rolling,
+    g AS (SELECT *, idx % 1000000000000 AS gid, CAST(FLOOR(idx / 1000000000000) AS BIGINT) AS rolling,
           opt IS NOT NULL AND opt <> answer AS wrong FROM inferred),
     f AS (SELECT model, gid, count(*) AS n, count(*) FILTER (opt IS NULL) AS n_open, min(CASE WHEN wrong THEN rolling END) AS fw FROM g GROUP BY ALL)
     SELECT f.model, f.gid AS idx, CAST(fw IS NULL AND n_open = 0 AS INT) AS hit, f.n, f.n_open,
@@ -187,11 +189,11 @@ def circular_expand(src: Source) -> DataFrame:
 def circular_score(src: Source) -> DataFrame:
     rows = src.view(FX.CIRCULAR)
     scored = OK.attach_answers(rows.drop("answer"), rows, ["idx"])
-    return C.score_circular(scored, ABCD, by=("model",), index="idx")
+    return C.score_circular(scored, ABCD, by=("model",), index="idx", offset=_OFFSET)
 
 
 @query(with_view(FX.CIRCULAR, "," + S.infer("fx", S.ABCD) + """,
-    g AS (SELECT *, idx % 1000000 AS gid, opt IS NOT NULL AND opt <> answer AS wrong FROM inferred),
+    g AS (SELECT *, idx % 1000000000000 AS gid, opt IS NOT NULL AND opt <> answer AS wrong FROM inferred),
     f AS (SELECT model, category, gid, bool_or(wrong) AS w, count(*) FILTER (opt IS NULL) AS n_open FROM g GROUP BY ALL),
     h AS (SELECT model, category, CAST(NOT w AND n_open = 0 AS INT) AS hit FROM f)
     SELECT model, 'none' AS split, 'overall' AS level, 'Overall' AS key, count(*) AS n, sum(hit)::DOUBLE / count(*) AS score FROM h GROUP BY ALL
@@ -199,19 +201,19 @@ def circular_score(src: Source) -> DataFrame:
 def circular_accuracy_report(src: Source) -> DataFrame:
     rows = src.view(FX.CIRCULAR)
     scored = OK.attach_answers(rows.drop("answer"), rows, ["idx"])
-    groups = C.score_circular(scored, ABCD, by=("model", "category"), index="idx")
+    groups = C.score_circular(scored, ABCD, by=("model", "category"), index="idx", offset=_OFFSET)
     return R.accuracy(groups, by=("model",), l2=None)
 
 
 @query(with_view(FX.CIRCULAR, """,
-    e AS (SELECT model, idx, idx % 1000000 AS gid, coalesce(nullif(regexp_extract(prediction, 'Answer: ([A-D])', 1), ''), prediction) AS p FROM fx),
+    e AS (SELECT model, idx, idx % 1000000000000 AS gid, coalesce(nullif(regexp_extract(prediction, 'Answer: ([A-D])', 1), ''), prediction) AS p FROM fx),
     l AS (SELECT *, lag(p) OVER (PARTITION BY model, gid ORDER BY idx) AS q FROM e),
     v AS (SELECT model, gid, coalesce(bool_and(regexp_matches(p, '^[A-Z]$') AND regexp_matches(q, '^[A-Z]$')) FILTER (q IS NOT NULL), true) AS ok,
       coalesce(bool_and((ascii(p) - ascii(q) + 4) % 4 = 1) FILTER (regexp_matches(p, '^[A-Z]$') AND regexp_matches(q, '^[A-Z]$')), true) AS good
       FROM l GROUP BY ALL)
     SELECT model, count(*) FILTER (ok) AS n, avg(CAST(good AS INT)) FILTER (ok) AS score FROM v GROUP BY ALL"""))
 def circular_consistency(src: Source) -> DataFrame:
-    flags = C.rotation_flags(src.view(FX.CIRCULAR), by=("model",), index="idx", extract=lambda c: A.last_option_tag(c))
+    flags = C.rotation_flags(src.view(FX.CIRCULAR), by=("model",), index="idx", extract=lambda c: A.last_option_tag(c), offset=_OFFSET)
     return R.consistency(flags, by=("model",))
 
 

@@ -28,7 +28,7 @@ FROM {events}
 """
 
 CIRCULAR = """
-SELECT p_partkey + r * 1000000 AS idx, p_brand AS category, p_brand AS model,
+SELECT p_partkey * 1009 + r * 1000000000000 AS idx, p_brand AS category, p_brand AS model,
   substr('ABCD', CAST((p_partkey + r) % 4 AS INT) + 1, 1) AS answer, 'one' AS A, 'two' AS B, 'three' AS C, 'four' AS D,
   CASE WHEN p_partkey % 7 = r THEN 'not sure'
        WHEN p_partkey % 9 = 5 AND r = 2 THEN substr('ABCD', CAST((p_partkey + r + 1) % 4 AS INT) + 1, 1)

@@ -38,6 +38,11 @@ def rotation_offset(table: DataFrame, index: str = "index") -> Column:
     return F.greatest(F.lit(K.ROTATION_OFFSET), F.pow(F.lit(10.0), digits).cast("bigint"))
 
 
+def offset_above(table: DataFrame, index: str = "index") -> int:
+    """:func:`rotation_offset` as a number, to be handed to expansion and scoring alike."""
+    return int(table.select(rotation_offset(table, index)).first()[0] or K.ROTATION_OFFSET)
+
+
 def expand_rotations(table: DataFrame, index: str = "index", offset: Column | int | None = None) -> DataFrame:
     """Each question with every rotation of its options; copies refer to the source row's image.
 
@@ -71,15 +76,19 @@ def score_circular(
     index: str = "index",
     gold: str = "gt",
     opt: Column | None = None,
+    offset: int = K.ROTATION_OFFSET,
 ) -> DataFrame:
     """One row per question group: 1 when every rotation's letter equals its answer, else 0.
 
+    ``offset`` is the step between the indices of a question's rotations, the one its expansion used
+    (:func:`offset_above`); every index below it is a question of its own.
+
     Columns ``hit``, ``n``, ``n_open`` (rows without a letter) and ``log``.  The log names the first wrong
     rotation: rows of a group are first reduced per index, so the window sees one row per rotation.
     """
     inferred = A.infer_option("prediction", options) if opt is None else opt
     wrong = F.col("_opt").isNotNull() & ~F.col("_opt").eqNullSafe(F.col(gold))
-    base = predictions.withColumn("_opt", inferred).withColumn("gid", OK.main_key(index))
+    base = predictions.withColumn("_opt", inferred).withColumn("gid", OK.main_key(index, offset))
     detail = F.struct(gold, T.as_text("prediction").alias("p"), "_opt")
     per_index = base.groupBy(*by, "gid", index).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -95,7 +104,7 @@ def score_circular(
         F.sum("open_rows").alias("n_open"),
         F.sum("wrong_rows").alias("n_wrong"),
         first_wrong.alias("first_wrong"),
-        F.bool_or(F.col(index) < K.ROTATION_OFFSET).alias("has_main"),
+        F.bool_or(F.col(index) < offset).alias("has_main"),
     )
     miss = F.col("first_wrong")
     log = (
@@ -120,7 +129,8 @@ def undecided_groups(scored: DataFrame) -> DataFrame:
 
 
 def rotation_flags(
-    predictions: DataFrame, by: Sequence[str] = (), index: str = "index", pos: str | None = None, extract=None
+    predictions: DataFrame, by: Sequence[str] = (), index: str = "index", pos: str | None = None, extract=None,
+    offset: int = K.ROTATION_OFFSET,
 ) -> DataFrame:
     """Per question group: do the letters of successive rotations advance by one (mod 4)?
 
@@ -130,16 +140,16 @@ def rotation_flags(
     pick = (lambda c: c) if extract is None else extract
     order = index if pos is None else pos
     rows = OK.last_wins(predictions.select(*by, index, "prediction", *([pos] if pos else [])), [*by, index], order)
-    rows = rows.select(*by, index, OK.main_key(index).alias("gid"), pick(F.col("prediction")).alias("p"))
+    rows = rows.select(*by, index, OK.main_key(index, offset).alias("gid"), pick(F.col("prediction")).alias("p"))
     window = Window.partitionBy(*by, "gid").orderBy(index)
     lagged = rows.withColumn("q", F.lag("p").over(window)).withColumn("q_index", F.lag(index).over(window))
-    both = (F.col(index) - F.col("q_index") == K.ROTATION_OFFSET) & (F.col("p") != "") & (F.col("q") != "")
+    both = (F.col(index) - F.col("q_index") == offset) & (F.col("p") != "") & (F.col("q") != "")
     letters = F.col("p").rlike("^[A-Z]\\z") & F.col("q").rlike("^[A-Z]\\z")
     step = F.pmod(F.ascii("p") - F.ascii("q"), F.lit(4)) == 1
     return (
         lagged.groupBy(*by, "gid")
         .agg(
-            F.bool_or(F.col(index) < K.ROTATION_OFFSET).alias("has_main"),
+            F.bool_or(F.col(index) < offset).alias("has_main"),
             F.coalesce(F.bool_and(F.when(both, letters)), F.lit(True)).alias("valid"),
             F.coalesce(F.bool_and(F.when(both & letters, step)), F.lit(True)).alias("consistent"),
         )

@@ -356,3 +356,39 @@ def test_document_pages(spark):
     assert len(pages) == 300 and {r["page_group"] for r in pages} == set(range(15))
     assert E.document_pages(df, max_pages=120).count() == 120
     assert {r["page_group"] for r in E.document_pages(df, groups=1).collect()} == {0}
+
+
+def test_rotations_of_large_indices_stay_apart(spark):
+    rows = [(5, "q", "w", "x", "y", "z", "A"), (1_000_005, "q", "w", "x", "y", "z", "C")]
+    table = spark.createDataFrame(rows, "index bigint, question string, A string, B string, C string, D string, answer string")
+    offset = C.offset_above(table)
+    asked = C.expand_rotations(table, offset=offset)
+    answered = asked.withColumns({"prediction": F.col("answer"), "gt": F.col("answer")})
+    options = {c: c for c in "ABCD"}
+    got = C.score_circular(answered, options, offset=offset).orderBy("index").collect()
+    assert [(r["index"], r["hit"], r["n"]) for r in got] == [(5, 1, 4), (1_000_005, 1, 4)]
+    flags = C.rotation_flags(answered, offset=offset).orderBy("gid").collect()
+    assert [(r["gid"], r["valid"], r["consistent"]) for r in flags] == [(5, True, True), (1_000_005, True, True)]
+
+
+def test_workers_need_no_path(tmp_path):
+    """Queries with Python functions from another folder, with nothing on the path but what the entry module adds."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("entry_module", "{root}/__spark_entry__.py")
+module = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(module)
+from evalspark import session
+spark = session.builder("elsewhere").master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+for name in ("table_denotation", "pack_answers", "caption_bleu", "math_subject_report"):
+    assert module.queries()[name](spark, "/root/testdata/sf0.001").count() > 0, name
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-2000:]
