@@ -6,6 +6,7 @@ from evalspark.catalog import (  # noqa: F401  (importing registers the queries)
     judged,
     preparation,
     prompts,
+    replies,
     runs,
     texts,
     video,
