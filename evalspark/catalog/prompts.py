@@ -75,25 +75,35 @@ def prompt_vqa(src: Source) -> DataFrame:
     )
 
 
-_CASES = """CASE idx % 6 WHEN 0 THEN 'MMMU_x' WHEN 1 THEN 'plain' WHEN 2 THEN 'ChartQA_x' WHEN 3 THEN 'HallusionBench' WHEN 4 THEN 'MMVet' ELSE 'other' END"""
-_KINDS = """CASE idx % 6 WHEN 0 THEN 'MCQ' WHEN 1 THEN 'MCQ' WHEN 2 THEN 'VQA' WHEN 3 THEN 'Y/N' WHEN 4 THEN 'VQA' ELSE 'VQA' END"""
-_BODY = f"{_HINT} || 'Question: ' || question || {_NL} || CASE WHEN {_PRESENT} THEN 'Options:' || {_NL} || {_OPTION_LINES} ELSE '' END"
-
-
-@query(with_view(FX.MCQ, f""", c AS (SELECT *, {_CASES} AS ds, {_KINDS} AS kind FROM fx)
-    SELECT idx, CASE idx % 6
-      WHEN 0 THEN 'image=i | text=' || {S.lit(P._COT_OPTIONS)} || {_BODY} WHEN 1 THEN 'image=i | text=' || {_BODY} || {S.lit(K.LETTER_ONLY)}
-      WHEN 2 THEN 'image=i | text=' || {S.lit(P._COT_SHORT)} || question WHEN 3 THEN 'image=i | text=' || question || ' Yes or No?'
-      WHEN 4 THEN 'text=' || {S.lit(P._DETAIL)} || ' | image=i | text=' || question ELSE 'text=' || {S.lit(P._SHORT)} || ' | image=i | text=' || question END AS step_prompt,
-      CASE WHEN kind = 'MCQ' THEN 'image=i | text=' || {_BODY} || {S.lit(K.MCQ_SELECT["en"])} WHEN kind = 'Y/N' THEN 'image=i | text=' || question || {S.lit(K.YES_NO_SUFFIX)}
-      ELSE 'image=i | text=' || question || {S.lit(K.SHORT_WORDS_SUFFIX)} END AS short_prompt FROM c"""))
+_CASES = """CASE idx % 8 WHEN 0 THEN 'MMMU_x' WHEN 1 THEN 'plain' WHEN 2 THEN 'ChartQA_x' WHEN 3 THEN 'HallusionBench' WHEN 4 THEN 'MMVet' WHEN 5 THEN 'OCRBench'
+  WHEN 6 THEN 'MMStar' ELSE 'other' END"""
+_KINDS = """CASE idx % 8 WHEN 0 THEN 'MCQ' WHEN 1 THEN 'MCQ' WHEN 2 THEN 'VQA' WHEN 3 THEN 'Y/N' WHEN 4 THEN 'VQA' WHEN 5 THEN 'VQA' WHEN 6 THEN 'MCQ' ELSE 'Y/N' END"""
+#: Every third row has no options; every fifth question is in Chinese.
+_ASKED = "*, CASE WHEN idx % 5 = 0 THEN '问题 ' ELSE '' END || question AS q, " + ", ".join(f"CASE WHEN idx % 3 > 0 THEN {c} END AS {c}1" for c in "ABCD")
+_LINES1 = " || ".join(f"coalesce('{c}. ' || {c}1 || chr(10), '')" for c in "ABCD")
+_LABELLED = f"{_HINT} || 'Question: ' || q || {_NL} || CASE WHEN idx % 3 > 0 THEN 'Options:' || {_NL} || {_LINES1} ELSE '' END"
+_STEP = "Read the following question carefully, solve it step by step, and then output the final answer in the format of \"Answer: single number or single word or phrase\".\n\n"
+_PICK = "Carefully read the following multichoice question, solve it step by step and finally pick the option associated with the correct answer in the format of \"Answer: selected option\n\n"
+_OCR = "Carefully observe the image and answer the OCR-related questions below. \n\n"
+
+
+@query(with_view(FX.MCQ, f""", c AS (SELECT {_ASKED}, {_CASES} AS ds, {_KINDS} AS kind FROM fx)
+    SELECT idx, CASE
+      WHEN ds IN ('MMMU_x', 'MMStar') THEN 'image=i | text=' || CASE WHEN idx % 3 > 0 THEN {S.lit(_PICK)} ELSE {S.lit(_STEP)} END || {_HINT} || q || {_NL} || CASE WHEN idx % 3 > 0 THEN {_LINES1} ELSE '' END
+      WHEN ds = 'plain' AND idx % 3 > 0 THEN 'image=i | text=' || {_LABELLED} || {S.lit(K.LETTER_ONLY)}
+      WHEN ds = 'plain' THEN 'text=Carefully read the following question. Answer the question directly. | image=i | text=' || {_LABELLED}
+      WHEN ds = 'ChartQA_x' THEN 'image=i | text=' || {S.lit(_STEP)} || q WHEN ds = 'OCRBench' THEN 'image=i | text=' || {S.lit(_OCR)} || q
+      WHEN ds = 'HallusionBench' THEN 'image=i | text=' || q || ' Yes or No?'
+      WHEN ds = 'MMVet' THEN 'text=Answer this question in detail. | image=i | text=' || q ELSE 'image=i | text=' || q END AS step_prompt,
+      'image=i | text=' || CASE WHEN kind = 'MCQ' THEN regexp_replace({_LABELLED} || CASE WHEN idx % 3 = 0 THEN '' WHEN idx % 5 = 0 AND ds <> 'MMMU_x' THEN {S.lit(K.MCQ_SELECT["cn"])} ELSE {S.lit(K.MCQ_SELECT["en"])} END, '\\s+$', '')
+        WHEN ds = 'HallusionBench' THEN q || {S.lit(K.YES_NO_SUFFIX)} WHEN kind = 'VQA' AND ds <> 'MMVet' THEN q || {S.lit(K.SHORT_WORDS_SUFFIX)} ELSE q END AS short_prompt FROM c"""))
 def prompt_policies(src: Source) -> DataFrame:
-    """The same rows under two prompt policies."""
-    rows = _mcq(src).withColumns({"ds": F.expr(_CASES), "kind": F.expr(_KINDS)})
-    images = F.array(F.lit("i"))
+    """The same rows under two prompt policies, with and without options, in two languages."""
+    rows = src.spark.sql(f"SELECT {_ASKED}, {_CASES} AS ds, {_KINDS} AS kind FROM {{fx}}", fx=_mcq(src))
+    images, options = F.array(F.lit("i")), {c: f"{c}1" for c in "ABCD"}
 
     def message(policies: tuple[P.PromptPolicy, ...]):
-        return M.as_text_log(P.policy_message(policies, "ds", "kind", "question", ABCD, images, "hint"))
+        return M.as_text_log(P.policy_message(policies, "ds", "kind", "q", options, images, "hint"))
 
     return rows.select("idx", message(P.STEP_BY_STEP_POLICIES).alias("step_prompt"), message(P.SHORT_ANSWER_POLICIES).alias("short_prompt"))
 

@@ -112,51 +112,54 @@ def document_judge(question: Column | str, prediction: Column | str) -> Column:
 class PromptPolicy:
     """How one family of data sets is asked.
 
-    ``names``: substrings of data set names (empty: any); ``kinds``: task kinds; ``system``: separate first
-    text; ``prefix``/``suffix``: around the question text; ``with_options``: include the option lines.
+    ``names``: substrings of data set names (empty: any); ``without``: names that are left out; ``exact``: ``names`` are whole names;
+    ``kinds``: task kinds; ``system``: separate first text; ``prefix``/``suffix``: around the text; ``with_options``: a choice text, with
+    ``labels`` for question and options or without, and with other texts for rows that have no options.
     """
 
     names: tuple[str, ...] = ()
     kinds: tuple[str, ...] = ()
+    without: tuple[str, ...] = ()
+    exact: bool = False
     system: str = ""
     prefix: str = ""
     suffix: str = ""
     with_options: bool = False
+    labels: bool = True
     system_without_options: str = ""
+    prefix_without_options: str = ""
     suffix_cn: str = ""
+    trimmed: bool = False
 
     def applies(self, dataset: Column, kind: Column) -> Column:
-        named = T.contains_any(dataset, list(self.names)) if self.names else F.lit(True)
+        if self.names:
+            named = dataset.isin(list(self.names)) if self.exact else T.contains_any(dataset, list(self.names))
+        else:
+            named = F.lit(True)
+        if self.without:
+            named = named & ~T.contains_any(dataset, list(self.without))
         return named & (kind.isin(list(self.kinds)) if self.kinds else F.lit(True))
 
 
-_DIRECT = "Carefully read the following question. Answer the question directly."
-_SHORT = "Answer the question using a single word or phrase."
-_DETAIL = "Answer this question in detail."
-_COT_OPTIONS = (
-    "Carefully read the following multichoice question, solve it step by step and finally pick the option associated "
-    'with the correct answer in the format of "Answer: selected option\n\n'
-)
-_COT_SHORT = (
-    "Read the following question carefully, solve it step by step, and then output the final answer in the format of "
-    '"Answer: single number or single word or phrase".\n\n'
-)
-_COT_NAMES = ("MMMU", "MathVista", "MMStar", "ChartQA")
-
 # First matching row wins.
 STEP_BY_STEP_POLICIES: tuple[PromptPolicy, ...] = (
-    PromptPolicy(names=_COT_NAMES, kinds=("MCQ",), prefix=_COT_OPTIONS, with_options=True),
-    PromptPolicy(names=_COT_NAMES, kinds=("VQA", "Y/N"), prefix=_COT_SHORT),
-    PromptPolicy(kinds=("MCQ",), suffix=K.LETTER_ONLY, with_options=True, system_without_options=_DIRECT),
+    PromptPolicy(names=K.STEP_BY_STEP_SETS, kinds=("MCQ",), prefix=K.STEP_BY_STEP_OPTIONS, prefix_without_options=K.STEP_BY_STEP_SHORT, with_options=True, labels=False),
+    PromptPolicy(names=K.STEP_BY_STEP_SETS, kinds=("Y/N",), prefix=K.STEP_BY_STEP_SHORT),
+    PromptPolicy(names=("OCRBench",), kinds=("VQA",), prefix=K.STEP_BY_STEP_OCR),
+    PromptPolicy(names=K.STEP_BY_STEP_SETS, kinds=("VQA",), prefix=K.STEP_BY_STEP_SHORT),
+    PromptPolicy(names=K.STEP_BY_STEP_SETS),
+    PromptPolicy(kinds=("MCQ",), suffix=K.LETTER_ONLY, with_options=True, system_without_options=K.DIRECT_ANSWER),
     PromptPolicy(names=("HallusionBench",), suffix=K.YES_OR_NO_QUESTION),
-    PromptPolicy(names=("MMVet",), kinds=("VQA",), system=_DETAIL),
-    PromptPolicy(kinds=("VQA",), system=_SHORT),
+    PromptPolicy(names=("LLaVABench",), kinds=("VQA",)),
+    PromptPolicy(names=("MMVet",), kinds=("VQA",), system=K.DETAILED_ANSWER),
+    PromptPolicy(kinds=("VQA",), system=K.SHORT_ANSWER),
     PromptPolicy(),
 )
 SHORT_ANSWER_POLICIES: tuple[PromptPolicy, ...] = (
-    PromptPolicy(kinds=("MCQ",), suffix=K.MCQ_SELECT["en"], suffix_cn=K.MCQ_SELECT["cn"], with_options=True),
-    PromptPolicy(kinds=("Y/N",), suffix=K.YES_NO_SUFFIX),
-    PromptPolicy(kinds=("VQA",), suffix=K.SHORT_WORDS_SUFFIX),
+    PromptPolicy(names=("MMMU",), suffix=K.MCQ_SELECT["en"], with_options=True, trimmed=True),
+    PromptPolicy(kinds=("MCQ",), suffix=K.MCQ_SELECT["en"], suffix_cn=K.MCQ_SELECT["cn"], with_options=True, trimmed=True),
+    PromptPolicy(names=("HallusionBench", "POPE"), exact=True, kinds=("Y/N",), suffix=K.YES_NO_SUFFIX),
+    PromptPolicy(kinds=("VQA",), without=("MMVet",), suffix=K.SHORT_WORDS_SUFFIX),
     PromptPolicy(),
 )
 
@@ -176,19 +179,23 @@ def policy_message(
     out = None
     for rule in policies:
         if rule.with_options:
-            plain = M.mcq_text(question, options, hint, instruction="")
+            marks = {} if rule.labels else {"header": "", "question_label": ""}
+            plain = M.mcq_text(question, options, hint, instruction="", **marks)
             suffix = F.lit(rule.suffix)
             if rule.suffix_cn:
                 suffix = F.when(T.has_cjk(plain), rule.suffix_cn).otherwise(rule.suffix)
             body = F.concat(plain, F.when(present, suffix).otherwise(""))
+            if rule.trimmed:
+                body = F.regexp_replace(body, "\\s+\\z", "")
             system = F.when(~present, rule.system_without_options).otherwise(rule.system)
+            prefix = F.when(present, rule.prefix).otherwise(rule.prefix_without_options)
         else:
             body = F.concat(question, F.lit(rule.suffix))
-            system = F.lit(rule.system)
+            system, prefix = F.lit(rule.system), F.lit(rule.prefix)
         head = F.when(system != "", F.array(M.part("text", system))).otherwise(
             F.slice(F.array(M.part("text", F.lit(""))), 1, 0)
         )
-        message = F.concat(head, M.base_message(images, F.concat(F.lit(rule.prefix), body)))
+        message = F.concat(head, M.base_message(images, F.concat(prefix, body)))
         test = rule.applies(dataset, kind)
         out = F.when(test, message) if out is None else out.when(test, message)
     return out

@@ -45,7 +45,7 @@ def judge_failed(dataset: Column) -> Column:
     return (
         F.when(F.contains(dataset, F.lit("MMVet")), F.contains(log, F.lit("All 5 retries failed.")))
         .when(F.contains(dataset, F.lit("MathVista")), F.contains(res, F.lit(K.FAIL_MESSAGE)))
-        .when(F.contains(dataset, F.lit("pair")), F.col("gpt4_score") == -1)
+        .when(dataset == "LLaVABench", F.col("gpt4_score") == -1)
         .otherwise(F.contains(log, F.lit(K.FAIL_MESSAGE)))
     )
 

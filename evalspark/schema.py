@@ -110,16 +110,16 @@ def dataset_kind(df: DataFrame, registry: DataFrame, parts: dict[str, Sequence[s
 # Task kind and data set name -> judge model, first match wins (names are substrings).
 JUDGE_RULES: tuple[tuple[tuple[str, ...], tuple[str, ...], str], ...] = (
     (("MCQ", "Y/N"), (), "chatgpt-0125"),
-    ((), ("MMVet",), "gpt-4-turbo"),
+    ((), ("MMVet", "LLaVABench", "MMBench-Video"), "gpt-4-turbo"),
     ((), ("MathVista", "MathVerse", "MathVision", "DynaMath", "VL-RewardBench", "LogicVista", "MOAT"), "gpt-4o-mini"),
     ((), ("MMLongBench", "MMDU", "DUDE", "SLIDEVQA"), "gpt-4o"),
 )
 
 
-def judge_for(dataset: Column, kind: Column) -> Column:
-    """Judge name of a run, NULL when none is needed."""
+def judge_for(dataset: Column, kind: Column, rules: tuple[tuple[tuple[str, ...], tuple[str, ...], str], ...] = JUDGE_RULES) -> Column:
+    """Judge name of a run by the first rule that fits, NULL when none is needed."""
     out = F.lit(None).cast("string")
-    for kinds, names, judge in reversed(JUDGE_RULES):
+    for kinds, names, judge in reversed(rules):
         test = kind.isin(list(kinds)) if kinds else F.lit(True)
         if names:
             named = F.lit(False)
