@@ -15,6 +15,7 @@ from evalspark.operators import circular as C
 from evalspark.operators import keys as OK
 from evalspark.operators import scorers as SC
 from evalspark.plans import choice_reports as R
+from evalspark.sources import preparation as PR
 
 ABCD = {c: c for c in "ABCD"}
 _SCORED = S.infer("fx", S.ABCD) + ", sc AS (SELECT *, CAST(coalesce(opt, 'Z') = answer AS INT) AS hit FROM inferred)"
@@ -279,3 +280,16 @@ def yesno_pair_report(src: Source) -> DataFrame:
 def yesno_hallucination_report(src: Source) -> DataFrame:
     report = R.hallucination(src.view(FX.PACKED_KEYS), by=(), index="idx")
     return report.select("level", "key", "n", *[F.round(c, 6).alias(c) for c in ("aAcc", "fAcc", "qAcc", "mean_acc")])
+
+
+@query(with_view(FX.MCQ, "," + S.infer("fx", S.ABCD) + """, sc AS (SELECT *, CAST(coalesce(opt, 'Z') = answer AS INT) AS hit FROM inferred)
+    SELECT split AS dataset, model, 'none' AS split, 'overall' AS level, 'Overall' AS key, count(*) AS n, sum(hit)::DOUBLE / count(*) AS score FROM sc GROUP BY ALL"""))
+def concat_evaluation(src: Source) -> DataFrame:
+    """Two data sets evaluated as one combined set, and reported under their own names and indices again."""
+    rows = src.view(FX.MCQ).withColumnRenamed("idx", "index")
+    parts = {name: rows.where(F.col("split") == name).drop("split", "prediction", "model") for name in ("dev", "test")}
+    merged = PR.concat_datasets(parts).withColumn("dataset", F.lit("both"))
+    predictions = rows.select("index", "model", "prediction", F.col("split").alias("sub_dataset"))
+    answered = merged.join(predictions.withColumnRenamed("index", "original_index"), ["original_index", "sub_dataset"])
+    own = PR.split_concat(SC.score_options(answered.withColumn("gt", F.col("answer")), ABCD))
+    return R.accuracy(own, by=("dataset", "model"), l2=None, category=None)

@@ -163,3 +163,24 @@ def evaluate_runs(src: Source) -> DataFrame:
     report = EV.evaluate_runs(table, {"choices": "choice", "yes-no": "yes_no", "words": "vqa_exact"})
     report = report.withColumn("split", F.when(F.col("level") == "split", "none").otherwise(F.col("split")))
     return report.withColumn("score", F.round("score", 9))
+
+
+_JUDGED_RUNS = """
+SELECT event_id AS idx, 'm' || CAST(user_id % 4 AS STRING) AS model,
+  CASE event_id % 4 WHEN 0 THEN 'MMVet' WHEN 1 THEN 'MathVista_MINI' WHEN 2 THEN 'LLaVABench' ELSE 'other' END AS dataset,
+  CASE WHEN event_id % 13 = 0 THEN 'Failed to obtain answer via API.' ELSE event_type END AS prediction,
+  CASE event_id % 5 WHEN 0 THEN 'tried, All 5 retries failed.' WHEN 1 THEN 'x Failed to obtain answer via API. y' WHEN 2 THEN NULL ELSE 'fine' END AS log,
+  CASE WHEN event_id % 3 = 0 THEN 'Failed to obtain answer via API.' ELSE '3' END AS res,
+  CASE WHEN event_id % 7 = 0 THEN -1 ELSE 5 END AS gpt4_score
+FROM {events}
+"""
+
+
+@query(with_view(_JUDGED_RUNS, """ SELECT model, dataset, count(*) FILTER (contains(prediction, 'Failed to obtain answer via API.')) AS failed, count(*) AS total,
+      count(*) FILTER (CASE dataset WHEN 'MMVet' THEN contains(coalesce(log, ''), 'All 5 retries failed.') WHEN 'MathVista_MINI' THEN contains(res, 'Failed to obtain answer via API.')
+        WHEN 'LLaVABench' THEN gpt4_score = -1 ELSE contains(coalesce(log, ''), 'Failed to obtain answer via API.') END) AS judge_failed,
+      (count(*) FILTER (contains(prediction, 'Failed to obtain answer via API.')))::DOUBLE / count(*) * 100 AS failed_pct
+    FROM fx GROUP BY ALL"""))
+def judged_failure_scan(src: Source) -> DataFrame:
+    """Failed predictions and failed judge calls per run, each data set by its own column."""
+    return R.failure_scan(src.view(_JUDGED_RUNS), judged=True)
