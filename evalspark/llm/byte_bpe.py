@@ -75,10 +75,10 @@ def _encoder(vocabulary):
         import numpy as np
 
         own = vocabulary.value
-        found = [own.ids(text or "") for text in texts.to_pylist()]
+        found = [own.ids(text.as_py() or "") for text in texts]
         offsets = np.zeros(len(found) + 1, dtype=np.int32)
         np.cumsum([len(x) for x in found], out=offsets[1:])
-        values = np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int32)
+        values = np.concatenate([*found, np.zeros(0, np.uint32)]).view(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
     return encode_texts
@@ -138,7 +138,8 @@ def decode(encoded: DataFrame, vocabulary, ids: str = "ids", output: str = "deco
 
     @F.arrow_udf("binary")
     def decode_ids(lists: pa.Array) -> pa.Array:
+        # One text's ids at a time become Python numbers.
         own = vocabulary.value
-        return pa.array([own.join(x or []) for x in lists.to_pylist()], pa.binary())
+        return pa.array([own.join(x.values.to_pylist() if x.is_valid else []) for x in lists], pa.binary())
 
     return encoded.withColumn(output, decode_ids(ids))
