@@ -180,14 +180,14 @@ def components(links: DataFrame) -> DataFrame:
 
 def _again(bands: DataFrame, names: DataFrame, similarity: int) -> DataFrame:
     """Pairs of different components that share a band with several of them and whose estimate is close enough."""
-    named = bands.join(names, "node", "left").select("band", "node", "n_shingles", "registers", F.coalesce("component", "node").alias("component"))
+    named = bands.join(names, "node", "left").select("band", "band_no", "node", "n_shingles", "registers", F.coalesce("component", "node").alias("component"))
     groups = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("node", "component")).alias("first"), F.count("*").alias("n"))
     open_groups = groups.filter("least <> most").select("band", F.col("first.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     met = named.join(open_groups, "band")
     own = met.select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"))
     asks = met.filter(F.col("component") != F.col("main")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
     # One task's share: blocks of bands, first the block's own nodes, then those that ask, streamed.
-    spread = own.unionByName(asks).select("band", "block", "asks", F.xxhash64("component").alias("component"), "node", "n_shingles", "registers")
+    spread = own.unionByName(asks).select("band", "block", "asks", "band_no", F.xxhash64("component").alias("component"), "node", "n_shingles", "registers")
     sorted_rows = spread.repartition("band", "block").sortWithinPartitions("band", "block", "asks")
     pairs = sorted_rows.mapInArrow(_close_pairs(similarity), "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -205,7 +205,7 @@ def _close_pairs(similarity: int):
             table = table.combine_chunks()
             if not len(table):
                 continue
-            band, block, component, n = (table.column(c).to_numpy() for c in ("band", "block", "component", "n_shingles"))
+            band, block, component, n, number = (table.column(c).to_numpy() for c in ("band", "block", "component", "n_shingles", "band_no"))
             asks = table.column("asks").to_numpy(zero_copy_only=False)
             own = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
             group = np.cumsum(np.concatenate([[True], (band[1:] != band[:-1]) | (block[1:] != block[:-1])])) - 1
@@ -225,6 +225,10 @@ def _close_pairs(similarity: int):
                 kept = (component[left] != component[right]) & (100 * np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]))
                 left, right = left[kept], right[kept]
                 close = estimate(own[left], own[right]) >= least
+                left, right = left[close], right[close]
+                # A pair that an earlier band brings together as well is left to that band.
+                equal = ((own[left] == own[right]) & (own[left] != 0)).reshape(len(left), BANDS, BUCKETS // BANDS).all(2)
+                close = ~equal.any(1) | (equal.argmax(1) >= number[left])
                 yield pa.RecordBatch.from_arrays([nodes.take(pa.array(left[close])).combine_chunks(), nodes.take(pa.array(right[close])).combine_chunks()], ["a", "b"])
             carried = table.filter(pa.array((group == group[-1]) & ~asks))
 
@@ -239,7 +243,7 @@ def group_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     # One row per node; which of equal rows is taken makes no difference.
     single = nodes.groupBy("node").agg(F.min(own_id).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     single = materialise(single, "nodes")
-    bands = single.select("node", "n_shingles", "registers", F.explode("bands").alias("band"))
+    bands = single.select("node", "n_shingles", "registers", F.posexplode("bands").alias("band_no", "band"))
     thin = single.select("node", F.explode("bands").alias("band"))
     first = thin.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("band", "first")
     shared = materialise(bands.join(first, "band"), "shared-bands")
@@ -249,7 +253,7 @@ def group_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     texts = _texts_of(docs, signed, single, key, text, width) if found.groupBy("__key").count().filter("count > 1").limit(1).count() else texts.select("node", text)
     links = materialise(confirm(materialise(stars, "stars"), texts, text, width, similarity), "links")
     names = components(links)
-    more = materialise(_again(shared.select("band", "node", "n_shingles", "registers"), names, similarity), "pairs")
+    more = materialise(_again(shared.select("band", "band_no", "node", "n_shingles", "registers"), names, similarity), "pairs")
     if not more.isEmpty():
         links = materialise(links.unionByName(confirm(more, texts, text, width, similarity)), "links")
         names = components(links)
