@@ -60,6 +60,8 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the Python workers, once per application; they need no path of the driver."""
+    # Whole texts in batches of this many rows fit a worker.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", SETTINGS["spark.sql.execution.arrow.maxRecordsPerBatch"])
     context = spark.sparkContext
     if getattr(context, "_evalspark_shipped", False):
         return

@@ -34,11 +34,9 @@ def py_punctuation(text):
     out = "".join(
         ch if ch not in K.PUNCTUATION_MARKS else ("" if grouped or ch + " " in text or " " + ch in text else " ") for ch in text
     )
-    kept, dropped = [], 0
+    kept = []
     for i, ch in enumerate(out):
-        if ch == "." and not out[i + 1 : i + 2].isdigit() and dropped < 32:
-            dropped += 1
-        else:
+        if ch != "." or out[i + 1 : i + 2].isdigit():
             kept.append(ch)
     return "".join(kept)
 
