@@ -106,7 +106,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         "row", "source_no", "size", begin.alias("begin"),
         F.explode(F.sequence(F.floor(begin / block).cast("long"), F.floor((begin + F.col("size") - 1) / block).cast("long"))).alias("block"),
     )
-    met = spans.join(slots(targets, block, shard, seed), ["source_no", "block"])
+    # Both sides grow with the data, though the slots are counted out from a small table: never a broadcast.
+    met = spans.join(slots(targets, block, shard, seed).hint("merge"), ["source_no", "block"])
     start = F.greatest(F.col("block") * block - F.col("begin"), F.lit(0))
     end = F.least(F.col("block") * block + F.col("words") - F.col("begin"), F.col("size"))
     pieces = met.withColumn("start", start).withColumn("n", end - start).filter("n > 0")
