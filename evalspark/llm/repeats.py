@@ -5,7 +5,7 @@ strings have equal anchors at equal places, so a string's earlier copies are fou
 strings mostly share one anchor; they are a run, one row.
 
 1. Rows (anchor, digest of all bytes of the run, place) are sorted by anchor and digest.  Anchors that stand alone end here.  A run
-   whose digest also stands earlier is wholly repeated.
+   whose digest also stands earlier is wholly repeated; equal runs of one slice of texts are reduced to the earliest before the shuffle.
 2. Where an anchor has different runs (beginnings and ends of passages, edits), each one's bytes are fetched and the runs of an
    anchor are put in suffix order.  The previous and the next suffix in that order with a smaller place (previous and next smaller
    positions) give the longest earlier match of each string (the longest previous factor); from 100 bytes on it is repeated.
@@ -120,9 +120,17 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, blobs = batch.column("row").to_numpy(), [t.encode() for t in batch.column("body").to_pylist()]
         for first, last in _slices(blobs):
             text, anchor, digest, start, count = anchor_runs(blobs[first:last])
-            for begin in range(0, len(text), 50_000):
+            row, run = rows[first:last][text], start * 128 + count
+            # All but the earliest of equal runs are known to be repeated here already: they need no anchor, and go anywhere.
+            order = np.lexsort((run, row, digest, anchor))
+            anchor, digest, row, run = anchor[order], digest[order], row[order], run[order]
+            if len(run):
+                known = np.flatnonzero(np.concatenate([[False], (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1])]))
+                anchor[known], digest[known] = _scramble(row[known].astype(np.uint64) * np.uint64(_BASE) + run[known].astype(np.uint64)), 0
+                run[known] = -run[known]
+            for begin in range(0, len(run), 50_000):
                 cut = slice(begin, begin + 50_000)
-                yield pa.RecordBatch.from_arrays([_signed(anchor[cut]), _signed(digest[cut]), _signed(rows[first:last][text[cut]]), _signed(start[cut] * 128 + count[cut])], ["anchor", "digest", "row", "run"])
+                yield pa.RecordBatch.from_arrays([_signed(anchor[cut]), _signed(digest[cut]), _signed(row[cut]), _signed(run[cut])], ["anchor", "digest", "row", "run"])
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +140,13 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(batch):
             continue
         data = np.stack([batch.column(c).to_numpy() for c in ("anchor", "digest", "row", "run")])
+        known = data[3] < 0
+        if known.any():
+            own = np.abs(data[:, known])
+            yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(data[2, known]), pa.array(own[3] // 128), pa.array(own[3] % 128), pa.array(np.zeros(own.shape[1], bool))], ["anchor", "row", "start", "n", "open"])
+            data = data[:, ~known]
+            if not data.shape[1]:
+                continue
         whole = data if before is None else np.concatenate([before[:, None], data], axis=1)
         same_anchor = whole[0, 1:] == whole[0, :-1]
         same_run = same_anchor & (whole[1, 1:] == whole[1, :-1])
