@@ -178,12 +178,15 @@ def components(links: DataFrame) -> DataFrame:
             return names
 
 
-def _again(bands: DataFrame, names: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of different components that share a band with several of them and whose estimate is close enough."""
-    named = bands.join(names, "node", "left").select("band", "band_no", "node", "n_shingles", "registers", F.coalesce("component", "node").alias("component"))
+def _again(bands: DataFrame, nodes: DataFrame, names: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of different components that share a band with several of them and whose estimate is close enough.
+
+    Registers are fetched for nodes of such bands only.
+    """
+    named = bands.join(names, "node", "left").select("band", "band_no", "node", F.coalesce("component", "node").alias("component"))
     groups = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("node", "component")).alias("first"), F.count("*").alias("n"))
     open_groups = groups.filter("least <> most").select("band", F.col("first.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    met = named.join(open_groups, "band")
+    met = named.join(open_groups, "band").join(nodes, "node")
     own = met.select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"))
     asks = met.filter(F.col("component") != F.col("main")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
     # One task's share: blocks of bands, first the block's own nodes, then those that ask, streamed.
@@ -243,7 +246,7 @@ def group_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     # One row per node; which of equal rows is taken makes no difference.
     single = nodes.groupBy("node").agg(F.min(own_id).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     single = materialise(single, "nodes")
-    bands = single.select("node", "n_shingles", "registers", F.posexplode("bands").alias("band_no", "band"))
+    bands = single.select("node", F.posexplode("bands").alias("band_no", "band"))
     thin = single.select("node", F.explode("bands").alias("band"))
     first = thin.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("band", "first")
     shared = materialise(bands.join(first, "band"), "shared-bands")
@@ -253,7 +256,7 @@ def group_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     texts = _texts_of(docs, signed, single, key, text, width) if found.groupBy("__key").count().filter("count > 1").limit(1).count() else texts.select("node", text)
     links = materialise(confirm(materialise(stars, "stars"), texts, text, width, similarity), "links")
     names = components(links)
-    more = materialise(_again(shared.select("band", "band_no", "node", "n_shingles", "registers"), names, similarity), "pairs")
+    more = materialise(_again(shared.select("band", "band_no", "node"), single.select("node", "n_shingles", "registers"), names, similarity), "pairs")
     if not more.isEmpty():
         links = materialise(links.unionByName(confirm(more, texts, text, width, similarity)), "links")
         names = components(links)
