@@ -3,9 +3,10 @@
 A paragraph (line) is hashed into a wide vector of lanes, as the sum of the vectors of its clauses (cut after ``.,;:!?``); a document's
 vector is the sum of its paragraphs' vectors, modulo powers of two.  Sums do not depend on order, and a paragraph is inserted or
 deleted by adding or subtracting its vector (``combine``).  A clause adds to three dense lanes (its count and two wide hashes, for
-equality) and to one of 16 sparse lanes of one of 12 levels; each level is chosen half as often as the one before.  Likeness of two
-vectors is the share of equal lanes among those either one occupies, from the first level on that is sparse enough for the larger
-count; so it holds for one clause and for a million.
+equality) and to one of 1024 sparse lanes of one of 30 levels; each level is chosen half as often as the one before.  Likeness of two
+vectors is the share of equal lanes among those either one occupies, from the first level on that holds at most 256 clauses of the
+larger count.  The longest string Spark holds has 2^30 clauses and needs level 22.  Up to 256 clauses all count; beyond, 128 to 256 of
+them do, for a standard deviation of about 0.03.  Only occupied lanes are stored.
 
 The next document is found within ranges of ids whose bounds are quantiles; each range gets a copy of the next range's first row,
 so its rows, their edited texts and their vectors are made in one shuffle.
@@ -20,7 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS, LANES = 12, 16
+LEVELS, LANES = 30, 1024
+#: Clauses of the levels that are compared, at most: a quarter of a level's lanes, so that few of them share one.
+COMPARED = LANES // 4
 #: Values of sparse and dense lanes are kept modulo these powers.
 SPARSE, DENSE = 1 << 32, 1 << 31
 CLAUSE_END = r"\n|(?<=[.,;:!?]) "
@@ -68,18 +71,20 @@ def combine(left: Column, right: Column, sign: int = 1) -> Column:
 
 def as_text(vector: Column) -> Column:
     """Count, dense lanes and occupied lanes in hexadecimal digits."""
-    lanes = F.transform(vector["lanes"], lambda e: F.concat(F.lpad(F.hex(e["lane"]), 2, "0"), F.lpad(F.hex(e["value"]), 8, "0")))
+    lanes = F.transform(vector["lanes"], lambda e: F.concat(F.lpad(F.hex(e["lane"]), 4, "0"), F.lpad(F.hex(e["value"]), 8, "0")))
     return F.lower(F.concat_ws(".", F.hex(vector["n"]), F.lpad(F.hex(vector["a"]), 8, "0"), F.lpad(F.hex(vector["b"]), 8, "0"), F.array_join(lanes, "")))
 
 
 def likeness(left: Column, right: Column) -> Column:
     """Share of equal lanes among those either vector occupies (0 to 1)."""
     n = F.greatest(left["n"], right["n"])
-    level = F.greatest(F.ceil(F.log2(n / float(LANES))), F.lit(0))
+    level = F.greatest(F.ceil(F.log2(n / float(COMPARED))), F.lit(0))
     kept = lambda v: F.filter(v["lanes"], lambda e: e["lane"] >= F.least(level, F.lit(LEVELS - 1)) * LANES)
     number = lambda v: F.transform(kept(v), lambda e: e["lane"])
     either = F.size(F.array_union(number(left), number(right)))
-    share = F.size(F.array_intersect(kept(left), kept(right))) / either
+    # Lane and value as one number: arrays of numbers are intersected by hashing.
+    entry = lambda v: F.transform(kept(v), lambda e: e["lane"].cast("bigint") * SPARSE + e["value"])
+    share = F.size(F.array_intersect(entry(left), entry(right))) / either
     equal = (left["n"] == right["n"]) & (left["a"] == right["a"]) & (left["b"] == right["b"])
     return F.when(equal, 1.0).when(either > 0, share).otherwise(0.0)
 

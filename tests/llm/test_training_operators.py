@@ -317,6 +317,16 @@ def test_fingerprint_edges(spark, empty):
     assert alone.near_next == 1.0
 
 
+@pytest.mark.parametrize("n", [40, 50_000, 1_000_000])
+def test_fingerprint_likeness_of_long_texts(spark, n):
+    """Shares of common clauses, for short texts and for a million clauses."""
+    made = lambda kept: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.when(i <= kept, "c").otherwise("d"), i.cast("string"))), "\n")
+    texts = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), made(kept).alias("text")) for k, kept in (("all", n), ("most", n * 19 // 20), ("half", n // 2))))).alias("t")).select("t.*")
+    v = fingerprints.vectors(texts, ["k"], "text").groupBy().pivot("k", ["all", "most", "half"]).agg(F.first("vector"))
+    most, half = v.select(fingerprints.likeness(F.col("all"), F.col("most")), fingerprints.likeness(F.col("all"), F.col("half"))).first()
+    assert abs(most - 19 / 21) < 0.1 and abs(half - 1 / 3) < 0.1
+
+
 # 7 exact copies
 
 
