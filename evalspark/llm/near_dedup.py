@@ -32,8 +32,9 @@ from evalspark.session import materialise
 BUCKETS, BANDS, MANTISSA = 128, 32, 10
 #: Chance that two different least hashes have the same register: the same zeros (1/3) and the same bits after them.
 COLLISION = 1 / 3 / (1 << MANTISSA)
-#: Estimates so far below the wanted similarity are not looked at further: over three standard deviations of 128 registers.
-MARGIN = 0.12
+#: Estimates so far below the wanted similarity are not looked at further.  A pair of similarity 0.8 falls below 0.58 with
+#: binomial probability of about 1e-8, less than the bands miss.
+MARGIN = 0.22
 #: Nodes of a band that are compared with others at a time.
 BLOCK = 512
 #: Pairs that are estimated at a time, within a task.

@@ -411,6 +411,14 @@ def test_near_estimate():
         assert abs(near_dedup.estimate(*regs)[0] - share) < 0.15
 
 
+def test_near_estimate_keeps_pairs_at_the_threshold():
+    """Of pairs of large sets with similarity just over 0.8, the estimate may lose no more than the bands."""
+    least = 0.8 - near_dedup.MARGIN
+    for share in (0.8, 0.805, 0.81):
+        missed = sum(math.comb(128, k) * share**k * (1 - share) ** (128 - k) for k in range(math.ceil(128 * least - 1e-9)))
+        assert missed < (1 - 0.8**4) ** 32
+
+
 # 9 byte-level BPE
 
 
