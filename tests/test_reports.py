@@ -194,3 +194,11 @@ def test_registered_query_matches_its_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     q = REGISTRY[name]
     assert compare(canonical(q(spark, SMALL).toPandas()), canonical(con.execute(q.oracle).df())) == "ok"
+
+
+def test_covered_text_report_takes_every_line(spark):
+    """All lines are blanks, long ones too, and some are not found word for word."""
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    got = REGISTRY["covered_text_report"](spark, SMALL).first()
+    assert got.n == sum(line.strip() != "" for text in texts for line in (text or "").split("\n"))
+    assert 0 < got.Exact_Match < 1 and 0 < got.Jaccard < 1
