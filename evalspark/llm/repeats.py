@@ -7,8 +7,8 @@ strings mostly share one anchor; they are a run, one row.
 1. Rows (anchor, digest of all bytes of the run, place) are sorted by anchor and digest.  Anchors that stand alone end here.  A run
    whose digest also stands earlier is wholly repeated; equal runs of one slice of texts are reduced to the earliest before the shuffle.
 2. Where an anchor has different runs (beginnings and ends of passages, edits), each one's bytes are fetched and the runs of an
-   anchor are put in suffix order.  The previous and the next suffix in that order with a smaller place (previous and next smaller
-   positions) give the longest earlier match of each string (the longest previous factor); from 100 bytes on it is repeated.
+   anchor are sorted by their first 100 bytes, equal ones by place.  A string equal to the one before it is repeated; longest previous
+   factors and smaller positions are not computed.
    Strings whose rolling hash no other string of the anchor has are left out before sorting, as they have no match of that length.
 3. Anchors with very many different runs would gather in one task; their strings are grouped by content instead, which keeps the
    least place of each and is reduced before it is shuffled.
@@ -172,10 +172,9 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def longest_previous(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
-    """Whether the longest previous factor of each string, among those of its group listed before it, is at least ``length``.
+    """Whether the first ``length`` bytes of each string also stand in its group before it.
 
-    Suffix order over the first ``length`` bytes, by words of eight bytes, equal ones by place.  In that order the nearest suffix with a
-    smaller place on either side shares the longest prefix with a string among all suffixes with smaller places.
+    The strings are sorted by their first ``length`` bytes, by words of eight bytes, equal ones by place.
     """
     words = -(-length // 8)
     padded = np.concatenate([data, np.zeros(8 * words, np.uint8)])
