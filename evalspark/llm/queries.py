@@ -10,7 +10,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, exact_dedup, fingerprints, language_model, mixing, near_dedup, quality, repeats, token_counts, toxicity
+from evalspark.llm import (
+    byte_bpe,
+    exact_dedup,
+    fingerprints,
+    language_model,
+    mixing,
+    near_dedup,
+    periodic_runs,
+    piece_bpe,
+    quality,
+    repeats,
+    token_counts,
+    toxicity,
+)
 from evalspark.session import ship
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +138,52 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     scored = language_model.score(docs, ~held_out(7, 2))
     return scored.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts in which a tenth of the documents, by the digest of the id, repeat some of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(words[(a + (i - a) % p).cast("int")])), " ")
+
+    # Through a lambda, so that the words are made once and not for each word.
+    words = F.array(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return docs.withColumn("text", F.when((h % 10 == 0) & has_words, F.transform(words, planted)[0]).otherwise(F.col("text")))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeating words of every document, and what is left without them."""
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, folder, "documents", "doc_id", "text")))
+    runs = F.col("runs")
+
+    def by_exponent(a: Column, b: Column) -> Column:
+        """Greatest length / period first, compared exactly; then start, then period."""
+        sides = (b["length"] * a["period"] - a["length"] * b["period"], a["start"] - b["start"], a["period"] - b["period"])
+        return F.coalesce(*[F.when(s != 0, F.signum(s).cast("int")) for s in sides], F.lit(0))
+
+    best = F.get(F.array_sort(runs, by_exponent), F.lit(0))
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    chosen = found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("b"), lines.alias("lines"), "collapsed")
+    return chosen.select(
+        "doc_id", "n_runs", F.col("b.start").alias("start"), F.col("b.length").alias("length"), F.col("b.period").alias("period"),
+        F.expr("b.length * 1000 div b.period").alias("exponent_milli"), F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query()
+def op12_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded by pieces and decoded again."""
+    model = piece_bpe.load(spark)
+    decoded = piece_bpe.decode(piece_bpe.encode(table(spark, folder, "documents", "doc_id", "text"), model), model)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
