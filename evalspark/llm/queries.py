@@ -143,18 +143,16 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """Texts in which a tenth of the documents, by the digest of the id, repeat some of their words to the end."""
     h = F.crc32(F.col("doc_id").cast("string"))
-    g = F.floor(h / 10)
-
-    def planted(words: Column) -> Column:
-        n = F.size(words)
-        a = g % n
-        p = 1 + F.floor((n - a) / (3 + g % 8))
-        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(words[(a + (i - a) % p).cast("int")])), " ")
-
-    # Through a lambda, so that the words are made once and not for each word.
-    words = F.array(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
-    has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return docs.withColumn("text", F.when((h % 10 == 0) & has_words, F.transform(words, planted)[0]).otherwise(F.col("text")))
+    g, words = F.floor(h / 10), F.col("__words")
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    split = docs.withColumn("__words", F.when((h % 10 == 0) & has_words, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))))
+    n = F.size(words)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    # n words in all: a as they are, then the next p over and over, the last time cut short.
+    times, left = F.floor((n - a) / p).cast("int"), (n - a) % p
+    parts = F.concat(F.slice(words, F.lit(1), a), F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.slice(words, a + 1, left))
+    return split.withColumn("text", F.when(words.isNull(), F.col("text")).otherwise(F.array_join(parts, " "))).drop("__words")
 
 
 @query()
