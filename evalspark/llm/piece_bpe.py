@@ -5,15 +5,19 @@ place before a run of marks or before a line break.  Texts are cut at those plac
 corpus is segmented once, and its ids are joined back to where the chunk stood.  ``Pieces`` checks the property when the
 model is loaded; for a vocabulary without it a whole text is one chunk.
 
-1. ``cut``: texts are taken together in slices of a few MB.  A slice lists its distinct chunks, most frequent first, and keeps
-   each text as the places of its chunks in that list.  A text longer than a slice is cut into parts at chunk boundaries.
-   The slices are written to the shared folder, so that their numbers hold when executors are lost.
-2. ``chunk_table``: one row per distinct chunk with its ids.  A chunk comes at most once from a slice, so a word that every text
-   holds is no hot key: its rows are one of thousands from each slice.
-3. The ids go back to the slices by one join on the chunk, and into the texts by place, slice by slice.  Parts of long texts
-   are put together last.
+1. ``asked``: texts are taken together in slices of many MB.  A slice lists its distinct chunks, most frequent first, deals
+   them to buckets by digest, and asks each bucket with one packed row.
+2. ``answered``: a bucket's requests are adjacent in one task, whatever slices they come from.  Its table of distinct chunks is filled
+   from them; each chunk is segmented when it is first met, and every request gets the ids of its chunks, packed.  A word that every text holds
+   comes once from a slice, so there is no hot key.  A table has at most ``TABLE`` chunks and is begun anew beyond; with more text, take more buckets.
+3. ``placed``: each text as the places of its chunks in the slice's list, packed.  A second reading makes them, so that they need not be written
+   first; ids and places meet slice by slice, and the ids go to their places.  A slice is named by its first row and its chunks: if a second
+   reading differs (an input that is not the same each time it is read), its ids are missing and the job fails instead of mixing them up.
 
-What moves: each slice's chunks (to be made distinct, and to be joined), their ids and the packed places; never the texts.
+A text longer than a slice is cut into parts at chunk boundaries, which are slices of their own and are put together last.
+What moves: distinct chunks of slices, their ids, and packed places, all compressed; never the texts.
+
+``docs`` is read twice: give it as a table, or checkpointed.
 
 Cases: null and empty texts have no ids and decode to the empty text; repeated rows each get their row; an empty table gives an
 empty table; columns of other names pass through, columns named like an output are replaced.  The text column itself is left
@@ -22,6 +26,8 @@ behind (``decode`` gives it back), so that it need not travel.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +42,9 @@ from evalspark.session import materialise
 
 MARK = "▁"
 #: Bytes of text in a slice; parts of a longer text have no more unless one chunk does.
-SLICE = 4_000_000
+SLICE = 16_000_000
+#: Distinct chunks in a bucket's table.
+TABLE = 500_000
 _BREAKS = "( +|\n)"
 
 
@@ -118,117 +126,208 @@ def _parts(lengths: np.ndarray, size: int) -> list[tuple[int, int]]:
     return found
 
 
-def cut(docs: DataFrame, model, text: str = "text", size: int = SLICE) -> DataFrame:
-    """Packed slices: the other columns of ``docs``, and the columns below; one row per part of a text.
+def _gathered(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.Table]:
+    """Rows of several batches together, about ``size`` bytes of text each; a text longer than that is alone."""
+    held, total = [], 0
+    for batch in batches:
+        bytes_of = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        for begin, stop in _parts(bytes_of, size):
+            here = int(bytes_of[begin:stop].sum())
+            if held and total + here > size:
+                yield pa.Table.from_batches(held)
+                held, total = [], 0
+            held.append(batch.slice(begin, stop - begin))
+            total += here
+    if held:
+        yield pa.Table.from_batches(held)
 
-    ``__row``, ``__part``, ``__parts``: the text, the part of it, and how many there are; ``__slice``: the first text of the slice, which with
-    the part names the slice; ``__count``, ``__places``: chunks of the part, as places in the slice's list; ``__chunks``: that list, in
-    one row of each slice.
-    """
-    named = docs.withColumn("__row", F.monotonically_increasing_id())
-    kept = [f for f in named.schema if f.name != text]
-    schema = ST.StructType([
-        *kept, *[ST.StructField(c, ST.LongType()) for c in ("__part", "__parts", "__slice", "__count")],
-        ST.StructField("__places", ST.BinaryType()), ST.StructField("__chunks", ST.ArrayType(ST.StringType())),
-    ])
-    names = [f.name for f in kept]
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        for batch in batches:
-            texts = pc.fill_null(batch.column(text), "").cast(pa.large_string())
-            bytes_of = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-            for begin, stop in _parts(bytes_of, size):
-                rows = batch.slice(begin, stop - begin).select(names)
-                part = texts.slice(begin, stop - begin)
-                said = np.flatnonzero(bytes_of[begin:stop] > 0)
-                lists = own.chunks(part.take(pa.array(said)))
-                flat, of = lists.flatten(), np.repeat(said, lists.value_lengths().to_numpy(zero_copy_only=False))
-                if own.by_chunk:  # a text begins with a mark, so nothing stands in front of its first chunk
-                    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-                    flat, of = flat.filter(pa.array(real)), of[real]
-                # One slice, unless a single text is longer than that.
-                ranges = [(0, len(flat))] if len(rows) > 1 or not len(flat) else _parts(pc.binary_length(flat).to_numpy(zero_copy_only=False), size)
-                for number, (first, last) in enumerate(ranges):
-                    yield _slice(rows, flat.slice(first, last - first), of[first:last], number, len(ranges))
-
-    def _slice(rows: pa.RecordBatch, flat: pa.Array, of: np.ndarray, part: int, parts: int) -> pa.RecordBatch:
+class Slice:
+    """Some rows, or a part of one: their chunks as places in a list of distinct ones, most frequent first."""
+
+    def __init__(self, rows: pa.Table, flat: pa.Array, of: np.ndarray, part: int, parts: int):
         encoded = flat.dictionary_encode()
         places = encoded.indices.to_numpy(zero_copy_only=False)
         order = np.argsort(-np.bincount(places, minlength=len(encoded.dictionary)), kind="stable")
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        bounds = np.searchsorted(of, np.arange(len(rows) + 1))
-        places = rank[places]
-        n = len(rows)
-        own = {
-            "__part": pa.array([part] * n, pa.int64()), "__parts": pa.array([parts] * n, pa.int64()),
-            "__slice": pa.array([rows.column("__row")[0].as_py()] * n, pa.int64()),
-            "__count": pa.array(np.diff(bounds), pa.int64()),
-            "__places": pa.array([_pack(places[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-            "__chunks": pa.array([encoded.dictionary.take(pa.array(order)).to_pylist(), *[None] * (n - 1)], pa.list_(pa.string())),
-        }
-        return pa.RecordBatch.from_arrays([*rows.columns, *own.values()], [*rows.schema.names, *own])
-
-    return named.mapInArrow(packed, schema)
-
-
-def chunk_table(asked: DataFrame, model) -> DataFrame:
-    """``chunk, ids``: every distinct chunk of ``asked``, segmented once."""
+        self.rows, self.part, self.parts = rows, part, parts
+        self.places, self.bounds = rank[places], np.searchsorted(of, np.arange(len(rows) + 1))
+        self.chunks = [c.encode() for c in encoded.dictionary.take(pa.array(order)).to_pylist()]
+        name = hashlib.blake2b(f"{rows.column('__row')[0].as_py()} {part} ".encode(), digest_size=16)
+        name.update(b"\n ".join(self.chunks))
+        self.name = name.digest()
+
+    def buckets(self, count: int) -> np.ndarray:
+        return np.fromiter((zlib.crc32(c) % count for c in self.chunks), np.uint16, len(self.chunks))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], own: Pieces, text: str, size: int) -> Iterator[Slice]:
+    for rows in _gathered(batches, text, size):
+        texts = pc.fill_null(rows.column(text), "").cast(pa.large_string()).combine_chunks()
+        said = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+        lists = own.chunks(texts.take(pa.array(said)))
+        flat, of = lists.flatten(), np.repeat(said, lists.value_lengths().to_numpy(zero_copy_only=False))
+        if own.by_chunk:  # a text begins with a mark, so nothing stands in front of its first chunk
+            real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+            flat, of = flat.filter(pa.array(real)), of[real]
+        # One slice, unless a single text is longer than that.
+        ranges = [(0, len(flat))] if len(rows) > 1 or not len(flat) else _parts(pc.binary_length(flat).to_numpy(zero_copy_only=False), size)
+        for part, (first, last) in enumerate(ranges):
+            yield Slice(rows, flat.slice(first, last - first), of[first:last], part, len(ranges))
+
+
+def _squeeze(*parts: bytes) -> bytes:
+    return pa.compress(b"".join(parts), "zstd", asbytes=True)
+
+
+def _spread(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, "zstd", asbytes=True)
+
+
+def asked(named: DataFrame, model, text: str, size: int, buckets: int) -> DataFrame:
+    """``slice, bucket, count, size, chunks``: what each slice asks each bucket for, in the order of its places."""
+
+    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _slices(batches, model.value, text, size):
+            of = own.buckets(buckets)
+            order = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of, minlength=buckets))
+            rows = []
+            for bucket in np.unique(of).tolist():
+                chunks = [own.chunks[i] for i in order[ends[bucket - 1] if bucket else 0:ends[bucket]].tolist()]
+                packed = _pack(np.fromiter(map(len, chunks), np.int64, len(chunks))) + b"".join(chunks)
+                rows.append((own.name, bucket, len(chunks), len(packed), _squeeze(packed)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slice", "bucket", "count", "size", "chunks"]
+            )
+
+    return named.mapInArrow(requests, "slice binary, bucket long, count long, size long, chunks binary")
+
+
+def _unpack_lengths(data: bytes, count: int) -> tuple[np.ndarray, int]:
+    lengths = _unpack(data, count)
+    used, left = count, lengths >> 7
+    while left.any():
+        used, left = used + int((left > 0).sum()), left >> 7
+    return lengths, used
+
+
+def answered(requests: DataFrame, model) -> DataFrame:
+    """``slice, bucket, count, size, ids``: each request with the ids of its chunks; a bucket's distinct chunks are segmented once."""
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, table, at = model.value, {}, None
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                if row["bucket"] != at or len(table) > TABLE:
+                    table, at = {}, row["bucket"]
+                data = _spread(row["chunks"], row["size"])
+                lengths, begin = _unpack_lengths(data, row["count"])
+                ends = (np.cumsum(lengths) + begin).tolist()
+                chunks = [data[a:b] for a, b in zip([begin, *ends[:-1]], ends, strict=True)]
+                new = [c for c in dict.fromkeys(chunks) if c not in table]
+                table.update(zip(new, (np.array(ids, np.uint32).tobytes() for ids in own.segment([c.decode() for c in new])), strict=True))
+                found = [table[c] for c in chunks]
+                # Numbers of ids, then the ids with all low bytes first.
+                many = np.fromiter(map(len, found), np.int64, len(found)) // 4
+                planes = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 4).T.tobytes()
+                packed = _pack(many) + planes
+                rows.append((row["slice"], row["bucket"], row["count"], len(packed), _squeeze(packed)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slice", "bucket", "count", "size", "ids"]
+            )
+
+    together = requests.repartition("bucket").sortWithinPartitions("bucket")
+    return together.mapInArrow(answers, "slice binary, bucket long, count long, size long, ids binary")
+
+
+def placed(named: DataFrame, model, text: str, size: int, buckets: int) -> DataFrame:
+    """The other columns of each row, ``__part``, ``__parts``, ``__slice``, and its chunks as places; the slice's first row has the places' buckets."""
+    kept = [f for f in named.schema if f.name != text]
+    schema = ST.StructType([
+        *kept, ST.StructField("__part", ST.LongType()), ST.StructField("__parts", ST.LongType()), ST.StructField("__slice", ST.BinaryType()),
+        ST.StructField("__count", ST.LongType()), ST.StructField("__places", ST.BinaryType()),
+        ST.StructField("__chunks", ST.LongType()), ST.StructField("__buckets", ST.BinaryType()),
+    ])
+    names = [f.name for f in kept]
 
-    @F.arrow_udf("array<int>")
-    def segmented(chunks: pa.Array) -> pa.Array:
-        return pa.array(model.value.segment(chunks.to_pylist()), pa.list_(pa.int32()))
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _slices(batches, model.value, text, size):
+            n = len(own.rows)
+            columns = {
+                "__part": pa.array([own.part] * n, pa.int64()), "__parts": pa.array([own.parts] * n, pa.int64()),
+                "__slice": pa.array([own.name] * n, pa.binary()), "__count": pa.array(np.diff(own.bounds), pa.int64()),
+                "__places": pa.array([_pack(own.places[a:b]) for a, b in zip(own.bounds[:-1], own.bounds[1:], strict=True)], pa.binary()),
+                "__chunks": pa.array([len(own.chunks), *[None] * (n - 1)], pa.int64()),
+                "__buckets": pa.array([_squeeze(own.buckets(buckets).tobytes()), *[None] * (n - 1)], pa.binary()),
+            }
+            table = pa.table([*own.rows.select(names).columns, *columns.values()], [*names, *columns])
+            yield from table.combine_chunks().to_batches()
 
-    return asked.select("chunk").distinct().withColumn("ids", segmented("chunk"))
+    return named.mapInArrow(places, schema)
 
 
 def _join_back(key: tuple, parts: pa.Table, answers: pa.Table) -> pa.Table:
-    """Ids of a slice's parts: those of their chunks, one after the other."""
-    names = [c for c in parts.column_names if not c.startswith("__") or c in ("__row", "__part")]
-    lists = answers.column("ids").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    place = answers.column("__place").to_numpy()
-    size = np.zeros(len(place), dtype=np.int64)
-    begin = np.zeros(len(place), dtype=np.int64)
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-    size[place], begin[place] = lengths, np.cumsum(lengths) - lengths
-    values, found, offsets = lists.flatten().to_numpy(zero_copy_only=False), [np.zeros(0, np.int32)], [0]
+    """Ids of a slice's rows: those of their chunks, one after the other."""
+    names = [c for c in parts.column_names if not c.startswith("__") or c in ("__row", "__part", "__parts")]
+    if not len(parts):  # a slice of the other kind, or one that was read differently before
+        return parts.select(names).append_column("ids", pa.array([], pa.list_(pa.int32())))
+    first = pc.drop_null(parts.column("__buckets"))[0].as_py()
+    total = pc.drop_null(parts.column("__chunks"))[0].as_py()
+    buckets = np.frombuffer(_spread(first, 2 * total), np.uint16)
+    size, begin, values, held = np.full(total, -1, np.int64), np.zeros(total, np.int64), [np.zeros(0, np.int32)], 0
+    order = np.argsort(buckets, kind="stable")
+    ends = np.cumsum(np.bincount(buckets, minlength=1))
+    for answer in answers.to_pylist():
+        bucket = answer["bucket"]
+        data = _spread(answer["ids"], answer["size"])
+        many, used = _unpack_lengths(data, answer["count"])
+        ids = np.frombuffer(data, np.uint8, offset=used).reshape(4, -1).T
+        ids = np.ascontiguousarray(ids).view(np.int32).ravel()
+        at = order[ends[bucket - 1] if bucket else 0:ends[bucket]]
+        size[at], begin[at] = many, held + np.cumsum(many) - many
+        values.append(ids)
+        held += len(ids)
+    if (size < 0).any():
+        raise RuntimeError("a slice was read differently the second time; give docs as a table or checkpointed")
+    every, found, offsets = np.concatenate(values), [np.zeros(0, np.int32)], [0]
     for packed, count in zip(parts.column("__places").to_pylist(), parts.column("__count").to_pylist(), strict=True):
         at = _unpack(packed, count)
         many = size[at]
         ends = np.cumsum(many)
-        total = int(ends[-1]) if count else 0
-        found.append(values[np.repeat(begin[at] - ends + many, many) + np.arange(total)])
-        offsets.append(offsets[-1] + total)
+        n = int(ends[-1]) if count else 0
+        found.append(every[np.repeat(begin[at] - ends + many, many) + np.arange(n)])
+        offsets.append(offsets[-1] + n)
     ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
     return parts.select(names).append_column("ids", ids)
 
 
-def encode(docs: DataFrame, model, text: str = "text", size: int = SLICE) -> DataFrame:
-    """Every row with ``ids``, the ids of its whole text as the library gives them, in the place of the text."""
-    docs = docs.drop("ids")
-    slices = materialise(cut(docs, model, text, size), "slices")
-    key = ["__slice", "__part"]
-    asked = slices.filter("__chunks is not null").select(*key, "__parts", F.posexplode("__chunks").alias("__place", "chunk"))
-    answers = asked.join(chunk_table(asked, model), "chunk").select(*key, "__parts", "__place", "ids")
-    others = [c for c in docs.columns if c != text]
-    kept = ST.StructType([f for f in slices.schema if f.name in {*others, "__row", "__part"}]).add("ids", ST.ArrayType(ST.IntegerType()))
-
-    def joined(parts: DataFrame, found: DataFrame) -> DataFrame:
-        # Both come from the slices: renamed, their columns can be told apart.
-        own = found.select(*key, "__place", "ids").toDF("s", "p", "__place", "ids")
-        return parts.drop("__chunks").groupBy(*key).cogroup(own.groupBy("s", "p")).applyInArrow(_join_back, kept)
-
-    if slices.filter("__parts > 1").isEmpty():
-        return joined(slices, answers).select(*others, "ids")
-    answers = materialise(answers, "chunk-ids")
-    whole = joined(slices.filter("__parts = 1"), answers.filter("__parts = 1"))
-    cut_up = joined(slices.filter("__parts > 1"), answers.filter("__parts > 1"))
+def encode(docs: DataFrame, model, text: str = "text", size: int = SLICE, buckets: int | None = None) -> DataFrame:
+    """Every row with ``ids``, the ids of its whole text as the library gives them, in the place of the text.
+
+    ``buckets``: of the table of distinct chunks; four for each shuffle partition by default, at least 64 and at most 16,384.
+    """
+    buckets = buckets or min(max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 16_384)
+    named = docs.drop("ids").withColumn("__row", F.monotonically_increasing_id())
+    others = [c for c in docs.columns if c not in (text, "ids")]
+    answers = answered(asked(named, model, text, size, buckets), model)
+    rows = placed(named, model, text, size, buckets)
+    kept = ST.StructType([f for f in rows.schema if f.name in {*others, "__row", "__part", "__parts"}]).add("ids", ST.ArrayType(ST.IntegerType()))
+    joined = rows.groupBy("__slice").cogroup(answers.groupBy("slice")).applyInArrow(_join_back, kept)
+    if docs.filter(F.octet_length(text) >= size).isEmpty():
+        return joined.select(*others, "ids")
+    # Parts of the texts longer than a slice meet; all other texts are whole as they are.
+    joined = materialise(joined, "ids")
     in_order = F.array_sort(F.collect_list(F.struct("__part", "ids")))
-    put = cut_up.groupBy("__row").agg(*[F.first(c).alias(c) for c in others], F.flatten(in_order["ids"]).alias("ids"))
-    return whole.select(*others, "ids").unionByName(put.select(*others, "ids"))
+    long = joined.filter("__parts > 1").groupBy("__row")
+    put = long.agg(*[F.first(c).alias(c) for c in others], F.flatten(in_order["ids"]).alias("ids"))
+    return joined.filter("__parts = 1").select(*others, "ids").unionByName(put.select(*others, "ids"))
 
 
 def decode(encoded: DataFrame, model, ids: str = "ids", output: str = "decoded") -> DataFrame:
