@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark import constants as K
-from evalspark.operators.order import blocks_of, number_rows
 from evalspark.functions import documents as DOC
 from evalspark.functions import text as T
+from evalspark.operators.order import blocks_of, join_groups, number_within
 
 
 def uniform_frames(n_frames: Column | str, k: int) -> Column:
@@ -60,9 +60,8 @@ def pack_questions(df: DataFrame, by: Sequence[str] = ("video",), index: str = "
 
     The shape is the same at every size; which of them one prompt holds is up to the caller's pack key (:func:`pack_maps`).
     """
-    numbered = number_rows(df, list(by), index, "_row")
-    first = numbered.groupBy(*by).agg(F.min("_row").alias("_first"))
-    return numbered.join(first, list(by)).select(*by, (F.col("_row") - F.col("_first")).alias("position"), F.col(index).alias("index"), F.col(question).alias("question"))
+    numbered = number_within(df, list(by), index, "position")
+    return numbered.select(*by, "position", F.col(index).alias("index"), F.col(question).alias("question"))
 
 
 def pack_maps(questions: DataFrame, by: Sequence[str], pack: Column) -> DataFrame:
@@ -88,7 +87,7 @@ def running_sum(
     offsets = summed.select(*by, "_block", *[F.coalesce(F.sum(k).over(earlier_blocks), F.lit(0)).alias(k) for k in totals])
     earlier_rows = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = tagged.withColumns({f"_i_{k}": F.coalesce(F.sum(v).over(earlier_rows), F.lit(0)) for k, v in values.items()})
-    joined = inner.join(offsets, [*by, "_block"])
+    joined = join_groups(inner, offsets, [*by, "_block"])
     return joined.select(*df.columns, *[(F.col(f"_i_{k}") + F.col(f"_t_{k}")).alias(k) for k in values])
 
 

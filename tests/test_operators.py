@@ -13,7 +13,7 @@ from evalspark.operators import circular as C
 from evalspark.operators import expand as E
 from evalspark.operators import intervals as I
 from evalspark.operators import keys as OK
-from evalspark.operators.order import number_rows
+from evalspark.operators.order import block_in, number_rows, number_within
 from evalspark.operators import ngrams as NG
 from evalspark.operators import scorers as SC
 from evalspark.plans import answer_reports as AR
@@ -141,6 +141,28 @@ def test_row_numbers_are_dense(spark):
     assert [(r["g"], r["o"]) for r in numbered] == sorted(rows)
 
 
+def test_numbers_within_groups(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, *range(40)]), i) for g, n in (("hot", 3000), (None, 50), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, o bigint, i int").repartition(7)
+    got = number_within(df, ["g"], "o", "n", ties=["i"], blocks=20, total="all").collect()
+    for g in ("hot", None, "one"):
+        of = sorted((r for r in got if r["g"] == g), key=lambda r: (r["o"] is not None, r["o"] or 0, r["i"]))
+        assert [r["n"] for r in of] == list(range(sum(x[0] == g for x in rows))) and {r["all"] for r in of} == {len(of)}
+
+
+def test_block_in_counts_bounds(spark):
+    bounds = [-5, 0, 3, 3_000_000_000, 4_000_000_000]
+    df = spark.createDataFrame([(x,) for x in [None, -6, -5, -1, 0, 2, 3, 4, 3_000_000_000, 5_000_000_000]], "x bigint")
+    got = [r[0] for r in df.select(block_in(F.col("x"), bounds)).collect()]
+    assert got == [0, 0, 1, 1, 2, 2, 3, 3, 4, 5]
+
+
+def test_packs_need_no_single_task(spark):
+    df = spark.range(2000).select(F.concat(F.lit("v"), F.col("id") % 500).alias("video"), F.col("id").alias("index"), F.lit("q").alias("question"))
+    assert "SinglePartition" not in E.pack_questions(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_truncated_dialogues(spark):
     sizes = [("user", 5), ("assistant", 9), ("user", 3), ("assistant", 2)]
     df = spark.createDataFrame([(1, i, r, "x" * n) for i, (r, n) in enumerate(sizes)], "conv_id int, turn bigint, role string, text string")
