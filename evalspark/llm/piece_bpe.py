@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +43,9 @@ from evalspark.session import materialise
 
 MARK = "▁"
 #: Bytes of text in a slice; parts of a longer text have no more unless one chunk does.
-SLICE = 16_000_000
+SLICE = 8_000_000
 #: Distinct chunks in a bucket's table.
 TABLE = 500_000
-_BREAKS = "( +|\n)"
 
 
 class Pieces:
@@ -83,10 +83,14 @@ class Pieces:
         """The chunks of each text; texts have neither nulls nor empty ones."""
         if not self.own or not self.by_chunk:
             return pa.LargeListArray.from_arrays(pa.array(np.arange(len(texts) + 1)), texts)
+        # A character that no text has stands in front of each chunk; between the spaces of a run it goes again.
         cut = next(chr(c) for c in range(0xF8FF, 0xDFFF, -1) if not pc.any(pc.match_substring(texts, chr(c))).as_py())
         nothing, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
         marked = pc.binary_join_element_wise(nothing, pc.replace_substring(texts, MARK, " "), space)
-        return pc.split_pattern(pc.replace_substring_regex(marked, _BREAKS, cut + "\\1"), cut)
+        marked = pc.replace_substring(pc.replace_substring(marked, " ", cut + " "), "\n", cut + "\n")
+        while pc.any(pc.match_substring(marked, f" {cut} ")).as_py():
+            marked = pc.replace_substring(marked, f" {cut} ", "  ")
+        return pc.split_pattern(marked, cut)
 
 
 def load(spark: SparkSession, path: str | None = None):
@@ -230,7 +234,7 @@ def answered(requests: DataFrame, model) -> DataFrame:
                 ends = (np.cumsum(lengths) + begin).tolist()
                 chunks = [data[a:b] for a, b in zip([begin, *ends[:-1]], ends, strict=True)]
                 new = [c for c in dict.fromkeys(chunks) if c not in table]
-                table.update(zip(new, (np.array(ids, np.uint32).tobytes() for ids in own.segment([c.decode() for c in new])), strict=True))
+                table.update(zip(new, (array("I", ids).tobytes() for ids in own.segment([c.decode() for c in new])), strict=True))
                 found = [table[c] for c in chunks]
                 # Numbers of ids, then the ids with all low bytes first.
                 many = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -281,31 +285,30 @@ def _join_back(key: tuple, parts: pa.Table, answers: pa.Table) -> pa.Table:
     first = pc.drop_null(parts.column("__buckets"))[0].as_py()
     total = pc.drop_null(parts.column("__chunks"))[0].as_py()
     buckets = np.frombuffer(_spread(first, 2 * total), np.uint16)
-    size, begin, values, held = np.full(total, -1, np.int64), np.zeros(total, np.int64), [np.zeros(0, np.int32)], 0
     order = np.argsort(buckets, kind="stable")
     ends = np.cumsum(np.bincount(buckets, minlength=1))
+    # The ids of all chunks bucket after bucket, and at which of these each place is.
+    many, values, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for answer in answers.to_pylist():
-        bucket = answer["bucket"]
         data = _spread(answer["ids"], answer["size"])
-        many, used = _unpack_lengths(data, answer["count"])
+        lengths, used = _unpack_lengths(data, answer["count"])
         ids = np.frombuffer(data, np.uint8, offset=used).reshape(4, -1).T
-        ids = np.ascontiguousarray(ids).view(np.int32).ravel()
-        at = order[ends[bucket - 1] if bucket else 0:ends[bucket]]
-        size[at], begin[at] = many, held + np.cumsum(many) - many
-        values.append(ids)
-        held += len(ids)
-    if (size < 0).any():
+        many.append(lengths)
+        values.append(np.ascontiguousarray(ids).view(np.int32).ravel())
+        at.append(order[ends[answer["bucket"] - 1] if answer["bucket"] else 0:ends[answer["bucket"]]])
+    where = np.full(total, -1, np.int64)
+    found = np.concatenate(at)
+    where[found] = np.arange(len(found))
+    if len(found) != total or (where < 0).any():
         raise RuntimeError("a slice was read differently the second time; give docs as a table or checkpointed")
-    every, found, offsets = np.concatenate(values), [np.zeros(0, np.int32)], [0]
-    for packed, count in zip(parts.column("__places").to_pylist(), parts.column("__count").to_pylist(), strict=True):
-        at = _unpack(packed, count)
-        many = size[at]
-        ends = np.cumsum(many)
-        n = int(ends[-1]) if count else 0
-        found.append(every[np.repeat(begin[at] - ends + many, many) + np.arange(n)])
-        offsets.append(offsets[-1] + n)
-    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
-    return parts.select(names).append_column("ids", ids)
+    table = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(many))])), pa.array(np.concatenate(values)))
+    counts = parts.column("__count").to_numpy()
+    places = [_unpack(packed, n) for packed, n in zip(parts.column("__places").to_pylist(), counts.tolist(), strict=True)]
+    ids = table.take(pa.array(where[np.concatenate(places)]))
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    offsets = ids.offsets.to_numpy()[bounds] if len(ids) else bounds
+    lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), ids.flatten())
+    return parts.select(names).append_column("ids", lists)
 
 
 def encode(docs: DataFrame, model, text: str = "text", size: int = SLICE, buckets: int | None = None) -> DataFrame:
@@ -337,6 +340,6 @@ def decode(encoded: DataFrame, model, ids: str = "ids", output: str = "decoded")
     def decoded(lists: pa.Array) -> pa.Array:
         # One text's ids at a time become Python numbers.
         own = model.value.own
-        return pa.array([own.decode(x.values.to_pylist()) if x.is_valid and len(x) else "" for x in lists], pa.string())
+        return pa.array([own.decode(x.values.to_numpy().tolist()) if x.is_valid and len(x) else "" for x in lists], pa.string())
 
     return encoded.withColumn(output, decoded(ids))

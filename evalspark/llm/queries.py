@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm import (
     byte_bpe,
+    conversations,
     exact_dedup,
     fingerprints,
     language_model,
@@ -24,6 +25,7 @@ from evalspark.llm import (
     token_counts,
     toxicity,
 )
+from evalspark.operators.order import join_groups
 from evalspark.session import ship
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +187,27 @@ def op12_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def with_faults(rows: DataFrame) -> DataFrame:
+    """Conversations of which some rows are dropped, emptied, cut short, repeated or given to the user, by the digest of their place."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in rows.columns}
+    fault = F.crc32(F.concat(text["conv_id"], F.lit(":"), text["turn"])) % 20
+    changed = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text["text"], "[.!?]", "")).otherwise(text["text"])
+    return rows.filter(fault != 0).select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(text["role"]).alias("role"), changed.alias("text"),
+        F.when(fault == 3, 2).otherwise(1).cast("long").alias("copies"),
+    )
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    repaired, report = conversations.repair(with_faults(rows))
+    known = join_groups(rows.select("conv_id").distinct(), report, ["conv_id"], "left")
+    known = join_groups(known, conversations.digests(repaired), ["conv_id"], "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return known.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
