@@ -27,7 +27,6 @@ behind (``decode`` gives it back), so that it need not travel.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -157,13 +156,33 @@ class Slice:
         rank[order] = np.arange(len(order))
         self.rows, self.part, self.parts = rows, part, parts
         self.places, self.bounds = rank[places], np.searchsorted(of, np.arange(len(rows) + 1))
-        self.chunks = [c.encode() for c in encoded.dictionary.take(pa.array(order)).to_pylist()]
-        name = hashlib.blake2b(f"{rows.column('__row')[0].as_py()} {part} ".encode(), digest_size=16)
-        name.update(b"\n ".join(self.chunks))
-        self.name = name.digest()
+        chunks = encoded.dictionary.take(pa.array(order)).cast(pa.large_binary())
+        _, starts, data = chunks.buffers()
+        self.n, self.bytes = len(chunks), data or pa.py_buffer(b"")
+        self.starts = np.frombuffer(starts, np.int64)[chunks.offset:chunks.offset + self.n + 1] if self.n else np.zeros(1, np.int64)
+        self.name = hashlib.blake2b(b"%d %d " % (rows.column("__row")[0].as_py(), part) + self.starts.tobytes() + memoryview(self.bytes), digest_size=16).digest()
 
     def buckets(self, count: int) -> np.ndarray:
-        return np.fromiter((zlib.crc32(c) % count for c in self.chunks), np.uint16, len(self.chunks))
+        """The bucket of each chunk: its bytes as digits, modulo 2 ** 64, then mixed."""
+        if not self.n:
+            return np.zeros(0, np.uint16)
+        lengths = np.diff(self.starts)
+        data = np.frombuffer(self.bytes, np.uint8)[self.starts[0]:self.starts[-1]].astype(np.uint64) + np.uint64(1)
+        place = np.arange(len(data)) - np.repeat(self.starts[:-1] - self.starts[0], lengths)
+        digits = np.cumprod(np.full(int(lengths.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        sums = np.add.reduceat(data * digits[place], self.starts[:-1] - self.starts[0])
+        return ((sums ^ sums >> np.uint64(32)) % np.uint64(count)).astype(np.uint16)
+
+    def dealt(self, count: int) -> Iterator[tuple[int, int, bytes]]:
+        """Of each bucket its number, and its chunks in the order of their places: how many, and their lengths and bytes."""
+        of = self.buckets(count)
+        order = np.argsort(of, kind="stable")
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(self.starts), self.bytes]).take(pa.array(order))
+        starts, data = np.frombuffer(chunks.buffers()[1], np.int64)[:self.n + 1], memoryview(chunks.buffers()[2] or b"")
+        ends = np.cumsum(np.bincount(of, minlength=count))
+        for bucket in np.unique(of).tolist():
+            first, last = int(ends[bucket - 1]) if bucket else 0, int(ends[bucket])
+            yield bucket, last - first, _pack(np.diff(starts[first:last + 1])) + bytes(data[starts[first]:starts[last]])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], own: Pieces, text: str, size: int) -> Iterator[Slice]:
@@ -194,14 +213,7 @@ def asked(named: DataFrame, model, text: str, size: int, buckets: int) -> DataFr
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _slices(batches, model.value, text, size):
-            of = own.buckets(buckets)
-            order = np.argsort(of, kind="stable")
-            ends = np.cumsum(np.bincount(of, minlength=buckets))
-            rows = []
-            for bucket in np.unique(of).tolist():
-                chunks = [own.chunks[i] for i in order[ends[bucket - 1] if bucket else 0:ends[bucket]].tolist()]
-                packed = _pack(np.fromiter(map(len, chunks), np.int64, len(chunks))) + b"".join(chunks)
-                rows.append((own.name, bucket, len(chunks), len(packed), _squeeze(packed)))
+            rows = [(own.name, bucket, n, len(packed), _squeeze(packed)) for bucket, n, packed in own.dealt(buckets)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -268,7 +280,7 @@ def placed(named: DataFrame, model, text: str, size: int, buckets: int) -> DataF
                 "__part": pa.array([own.part] * n, pa.int64()), "__parts": pa.array([own.parts] * n, pa.int64()),
                 "__slice": pa.array([own.name] * n, pa.binary()), "__count": pa.array(np.diff(own.bounds), pa.int64()),
                 "__places": pa.array([_pack(own.places[a:b]) for a, b in zip(own.bounds[:-1], own.bounds[1:], strict=True)], pa.binary()),
-                "__chunks": pa.array([len(own.chunks), *[None] * (n - 1)], pa.int64()),
+                "__chunks": pa.array([own.n, *[None] * (n - 1)], pa.int64()),
                 "__buckets": pa.array([_squeeze(own.buckets(buckets).tobytes()), *[None] * (n - 1)], pa.binary()),
             }
             table = pa.table([*own.rows.select(names).columns, *columns.values()], [*names, *columns])
