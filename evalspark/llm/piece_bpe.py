@@ -198,6 +198,9 @@ def _slices(batches: Iterator[pa.RecordBatch], own: Pieces, text: str, size: int
         ranges = [(0, len(flat))] if len(rows) > 1 or not len(flat) else _parts(pc.binary_length(flat).to_numpy(zero_copy_only=False), size)
         for part, (first, last) in enumerate(ranges):
             yield Slice(rows, flat.slice(first, last - first), of[first:last], part, len(ranges))
+        # A worker that waits for its next task keeps no memory of this slice.
+        del rows, texts, lists, flat, of
+        pa.default_memory_pool().release_unused()
 
 
 def _squeeze(*parts: bytes) -> bytes:
@@ -320,6 +323,8 @@ def _join_back(key: tuple, parts: pa.Table, answers: pa.Table) -> pa.Table:
     bounds = np.concatenate([[0], np.cumsum(counts)])
     offsets = ids.offsets.to_numpy()[bounds] if len(ids) else bounds
     lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), ids.flatten())
+    del ids, table, values, many, places
+    pa.default_memory_pool().release_unused()
     return parts.select(names).append_column("ids", lists)
 
 
@@ -352,6 +357,7 @@ def decode(encoded: DataFrame, model, ids: str = "ids", output: str = "decoded")
     def decoded(lists: pa.Array) -> pa.Array:
         # One text's ids at a time become Python numbers.
         own = model.value.own
+        pa.default_memory_pool().release_unused()
         return pa.array([own.decode(x.values.to_numpy().tolist()) if x.is_valid and len(x) else "" for x in lists], pa.string())
 
     return encoded.withColumn(output, decoded(ids))
