@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from evalspark.catalog import REGISTRY
 HEADLINE = [
     "mcq_accuracy_report", "circular_score", "circular_expand", "yesno_hallucination_report", "yesno_pair_report", "vqa_consensus", "vqa_anls",
     "doc_report", "table_denotation", "math_task_skill_report", "multilabel_report", "duration_cube", "shard_merge", "subtitle_interval_join",
-    "caption_bleu", "caption_cider", "covered_text_report", "concat_datasets", "prompt_mcq",
+    "caption_bleu", "caption_cider", "covered_text", "concat_datasets", "prompt_mcq",
 ]
 
 
@@ -47,8 +48,8 @@ def main() -> None:
         start = time.perf_counter()
         run(REGISTRY[name](spark, folder))
         times[name] = round(time.perf_counter() - start, 3)
-        if os.environ.get("BENCH_VERBOSE"):
-            print(name, times[name], flush=True)
+        # Each time as it is taken, so that one slow query does not lose the others; the one JSON line goes to the standard output.
+        print(name, times[name], file=sys.stderr, flush=True)
     scale = re.search(r"sf([0-9.]+)", folder)
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,

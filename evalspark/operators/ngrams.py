@@ -1,4 +1,4 @@
-"""Caption metrics and covered-text matching over whole texts.
+"""Caption metrics over whole texts.
 
 What a row needs only itself for (clipped matches, longest common subsequences, string similarity) runs as
 small Arrow functions where the row is.  Corpus frequencies are Spark aggregates over n-gram rows.
@@ -10,7 +10,6 @@ import functools
 import operator
 from collections import Counter
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -180,126 +179,3 @@ def rouge_l(df: DataFrame, index: str = "idx", prediction: str = "prediction", r
     p, r, b2 = F.col("p"), F.col("r"), _BETA * _BETA
     score = F.when((p != 0) & (r != 0), (1 + b2) * p * r / (r + b2 * p)).otherwise(0.0)
     return best.select(index, score.alias("rouge_l"))
-
-
-# ------------------------------------------------------------------ covered text
-def tokenise(c: Column | str, language: Column | str = "en") -> Column:
-    """Words and single marks; for Chinese, single characters."""
-    text = T.col(c)
-    language = F.lit(language) if isinstance(language, str) else language
-    western = F.regexp_extract_all(text, F.lit("(?U)\\w+|[^\\w\\s]"), F.lit(0))
-    eastern = F.regexp_extract_all(text, F.lit("(?U)[a-zA-Z0-9]+|[^\\s]"), F.lit(0))
-    return F.when(language == "zh", eastern).otherwise(western)
-
-
-def _best_window(hay: list[str], needle: list[str], needle_text: str, joint: str) -> tuple[float, int]:
-    """Most similar window of ``hay`` (first of equals) among those sharing a token with the needle.
-
-    The shared-character count bounds the similarity from above; windows are tried in order of that bound
-    and the search ends when the bound falls below the best similarity found.
-    """
-    n, k = len(hay), len(needle)
-    if not 0 < k <= n:
-        return 0.0, -1
-    wanted = set(needle)
-    shares = np.fromiter((w in wanted for w in hay), dtype=np.int64, count=n)
-    shared = np.concatenate(([0], np.cumsum(shares)))
-    starts = np.flatnonzero(shared[k:] > shared[:-k])
-    if starts.size == 0:
-        return 0.0, -1
-    alphabet = {ch: i for i, ch in enumerate(sorted(set(needle_text)))}
-    have = np.zeros((n + 1, len(alphabet)), dtype=np.int32)
-    for i, word in enumerate(hay, 1):
-        for ch in word:
-            at = alphabet.get(ch)
-            if at is not None:
-                have[i, at] += 1
-    np.cumsum(have, axis=0, out=have)
-    need = np.zeros(len(alphabet), dtype=np.int32)
-    for ch in needle_text:
-        need[alphabet[ch]] += 1
-    window = have[starts + k] - have[starts]
-    if joint in alphabet:
-        window[:, alphabet[joint]] += len(joint) * (k - 1)
-    lengths = np.concatenate(([0], np.cumsum([len(w) for w in hay])))
-    sizes = lengths[starts + k] - lengths[starts] + len(joint) * (k - 1)
-    bounds = 2.0 * np.minimum(window, need).sum(axis=1) / (sizes + len(needle_text))
-    matcher = SequenceMatcher(None, "", needle_text)
-    best, where = 0.0, -1
-    for j in np.argsort(-bounds, kind="stable"):
-        if bounds[j] < best - 1e-12:
-            break
-        start = int(starts[j])
-        matcher.set_seq1(joint.join(hay[start : start + k]))
-        ratio = matcher.ratio()
-        if ratio > best or (ratio == best and ratio > 0 and start < where):
-            best, where = ratio, start
-    return best, where
-
-
-@F.pandas_udf(ST.StructType([ST.StructField("sim", ST.DoubleType()), ST.StructField("start", ST.IntegerType())]))
-def best_window(hay: pd.Series, needle: pd.Series, needle_text: pd.Series, joint: pd.Series) -> pd.DataFrame:
-    """Similarity and 0-based start of the best window; start -1 when no window shares a token."""
-    found = [
-        _best_window(list(h), list(n), t, j) for h, n, t, j in zip(hay, needle, needle_text, joint, strict=True)
-    ]
-    return pd.DataFrame({"sim": [s for s, _ in found], "start": pd.array([w for _, w in found], dtype="int32")})
-
-
-def covered_text(df: DataFrame, index: str = "idx", prediction: str = "prediction", answers: str = "answers",
-                 language: str | Column = "en", partitions: int | None = None) -> DataFrame:
-    """One row per blank: best matching window and its precision, recall, F1, Jaccard, ROUGE-1, exact match.
-
-    The search costs far more time than its input has bytes; ``partitions`` spreads blanks over that many
-    tasks where the input has fewer.
-    """
-    language = F.lit(language) if isinstance(language, str) else language
-    pieces = F.split(T.as_text(prediction), "Assistant: ")
-    rows = df.withColumn("_reply", F.element_at(pieces, -1)).select(
-        index, "_reply", F.posexplode_outer(answers).alias("blank", "crossed_text"), language.alias("_lang")
-    ).where(F.col("crossed_text").isNotNull())
-    if partitions is not None:
-        rows = rows.repartition(partitions, index, "blank")
-    tokens = rows.select(
-        index, "blank", "crossed_text", (~T.is_refusal("_reply")).alias("_ok"),
-        F.when(F.col("_lang") == "zh", "").otherwise(" ").alias("_joint"),
-        tokenise("_reply", F.col("_lang")).alias("_hay"), tokenise("crossed_text", F.col("_lang")).alias("_need"),
-    )
-    # Refused replies carry an empty text into the similarity search; their rows stay.
-    hay = F.when(F.col("_ok"), F.col("_hay")).otherwise(F.slice("_hay", 1, 0))
-    found = tokens.withColumn("_hay", hay).withColumn("_best", best_window("_hay", "_need", "crossed_text", "_joint"))
-    window = F.slice("_hay", F.col("_best.start") + 1, F.size("_need"))
-    placed = found.withColumn("_window", F.when(F.col("_best.start") >= 0, window)).withColumns({
-        "_common": F.size(F.array_intersect("_window", "_need")),
-        "_pred": F.size(F.array_distinct("_window")),
-        "_ref": F.size(F.array_distinct("_need")),
-    })
-    common = F.col("_common").cast("double")
-    precision, recall = common / F.col("_pred"), common / F.col("_ref")
-    overlap = multiset_overlap(F.col("_window"), F.col("_need"))
-    rouge1 = 2.0 * overlap / (F.size("_window") + F.size("_need"))
-    exact = F.forall(F.zip_with("_window", "_need", lambda a, b: a == b), lambda x: x)
-    measures = {
-        "max_sim_val": F.col("_best.sim"),
-        "precision": precision,
-        "recall": recall,
-        "f1": F.when(common > 0, 2 * precision * recall / (precision + recall)),
-        "jaccard": common / (F.col("_pred") + F.col("_ref") - F.col("_common")),
-        "rouge1": rouge1,
-        "exact_match": exact.cast("double"),
-    }
-    best_text = F.when(F.col("_joint") == "", F.array_join("_window", "")).otherwise(F.array_join("_window", " "))
-    return placed.select(
-        index, "blank", "crossed_text", F.coalesce(best_text, F.lit("")).alias("max_sim_string"),
-        *[F.coalesce(F.when(F.col("_window").isNotNull(), v), F.lit(0.0)).alias(k) for k, v in measures.items()],
-    )
-
-
-def multiset_overlap(a: Column, b: Column) -> Column:
-    """Number of common items counted with repeats."""
-    distinct = F.array_distinct(a)
-    each = F.transform(
-        distinct,
-        lambda w: F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))),
-    )
-    return F.aggregate(each, F.lit(0), lambda acc, x: acc + x).cast("double")

@@ -10,6 +10,7 @@ from evalspark import constants as K
 from evalspark.functions import denotations as D
 from evalspark.operators import batch as B
 from evalspark.operators import circular as C
+from evalspark.operators import covered as CV
 from evalspark.operators import expand as E
 from evalspark.operators import intervals as I
 from evalspark.operators import keys as OK
@@ -179,26 +180,62 @@ def test_packs_hold_every_question_once(spark):
     assert [p["questions"] for p in packs if p["video"] == "cold"] == [{"1": "q"}]
 
 
-def brute_best(hay, needle_tokens, needle):
+def brute_best(hay, needle_tokens, needle, joint=" "):
     best, where = 0.0, -1
     k = len(needle_tokens)
-    for i in range(len(hay) - k + 1):
+    for i in range(len(hay) - k + 1 if k else 0):
         window = hay[i : i + k]
         if set(window) & set(needle_tokens):
-            ratio = SequenceMatcher(None, " ".join(window), needle).ratio()
+            ratio = SequenceMatcher(None, joint.join(window), needle).ratio()
             if ratio > best:
                 best, where = ratio, i
     return best, where
 
 
-def test_best_window_equals_exhaustive_search():
+@pytest.mark.parametrize("joint", [" ", ""])
+def test_best_window_equals_exhaustive_search(joint):
+    """Blanks on both sides of 200 characters, altered, cut short and strange ones, in replies with copies of themselves."""
     rng = random.Random(11)
-    vocabulary = ["an", "anan", "the", "thean", "or", "ore", "x", "is", "."]
+    syllables = ["th", "in", "er", "on", "re", "qu", "x", "zo", "he", "an", "é"]
     for _ in range(150):
-        hay = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 40))]
-        need = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 6))]
-        needle = " ".join(need)
-        assert NG._best_window(hay, need, needle, " ") == pytest.approx(brute_best(hay, need, needle))
+        vocabulary = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(rng.choice([5, 30, 200]))] + [".", ","]
+        hay = [rng.choice(vocabulary) for _ in range(rng.randint(0, 140))]
+        k = rng.choice([1, 2, 3, 8, 20, 60, 100])
+        start = rng.randrange(len(hay) + 1)
+        need = [w if rng.random() < 0.8 else rng.choice(vocabulary) for w in hay[start:start + k]] or rng.choices(vocabulary, k=k)
+        needle = rng.choice([joint.join(need), " ".join(need) + "?"])
+        assert CV.Reply(hay, joint).best(need, needle) == brute_best(hay, need, needle, joint)
+
+
+def test_blocks_of_long_texts_equal_the_matcher():
+    """Long starts, too: characters that are all rare, and copies with some of them changed."""
+    rng = random.Random(12)
+    for kinds in (4, 30, 400, 5000):
+        for _ in range(12):
+            needle = "".join(chr(200 + rng.randrange(kinds)) for _ in range(rng.randint(200, 700)))
+            text = list(needle * 2)
+            for _ in range(rng.randint(0, 60)):
+                text[rng.randrange(len(text))] = chr(200 + rng.randrange(kinds))
+            reply = CV.Reply(text, "")
+            seeds = CV.Seeds(reply.text, CV.np.frombuffer(needle.encode("utf-32-le"), CV.np.uint32), reply.places)
+            for _ in range(6):
+                begin = rng.randrange(len(text) - 10)
+                end = rng.randint(begin + 1, len(text))
+                matched = sum(b.size for b in SequenceMatcher(None, reply.whole[begin:end], needle).get_matching_blocks())
+                assert seeds.matched(begin, end, 0) == matched and seeds.matched(begin, end, matched) == matched
+                ends = CV.np.array([begin]), CV.np.array([end])
+                assert seeds.bound(*ends)[0] >= matched
+
+
+def test_common_subsequences_of_many_windows():
+    rng = random.Random(13)
+    text = CV.np.array([rng.randrange(6) for _ in range(400)], dtype=CV.np.uint32)
+    for size in (1, 5, 63, 64, 65, 128, 150, 199):
+        needle = CV.np.array([rng.randrange(7) for _ in range(size)], dtype=CV.np.uint32)
+        begins = CV.np.array([rng.randrange(380) for _ in range(60)])
+        ends = CV.np.array([rng.randint(b, 400) for b in begins.tolist()])
+        many = CV.common_subsequences(text, begins, ends, needle).tolist()
+        assert many == [lcs(text[b:e].tolist(), needle.tolist()) for b, e in zip(begins.tolist(), ends.tolist())]
 
 
 def test_covered_text(spark):
@@ -206,15 +243,38 @@ def test_covered_text(spark):
         [(1, "x Assistant: the quick brown fox jumps", ["quick brown", "lazy dog"]), (2, "Sorry, no", ["quick"]), (3, "quick", ["quick brown fox"])],
         "idx int, prediction string, answers array<string>",
     )
-    got = {(r["idx"], r["blank"]): r for r in NG.covered_text(df).collect()}
+    got = {(r["idx"], r["blank"]): r for r in CV.covered_text(df).collect()}
     assert got[(1, 0)]["exact_match"] == 1.0 and got[(1, 0)]["jaccard"] == 1.0 and got[(1, 0)]["rouge1"] == 1.0
     assert got[(1, 1)]["max_sim_string"] == "" and got[(1, 1)]["f1"] == 0.0
     assert got[(2, 0)]["max_sim_val"] == 0.0 and got[(3, 0)]["max_sim_val"] == 0.0 and len(got) == 4
 
 
+def test_covered_lines_equal_exhaustive_search(spark):
+    """Lines of real documents with changed words, every window of every line aligned."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect() if r.text and len(r.text) < 900][:25]
+    rows = []
+    for i, text in enumerate(docs):
+        other = docs[i - 1].split() or ["?"]
+        lines = [x.strip().split(" ") for x in text.split("\n") if x.strip()]
+        rows.append((i, text, [" ".join(other[n % len(other)] if n % 5 == min(4, len(ws) - 1) else w for n, w in enumerate(ws)) for ws in lines]))
+    df = spark.createDataFrame(rows, "idx int, prediction string, answers array<string>")
+    got = {(r.idx, r.blank): r for r in CV.covered_text(df).collect()}
+    tokens = {r.x: r.t for r in spark.createDataFrame([(x,) for _, text, lines in rows for x in {text, *lines}], "x string").withColumn("t", CV.tokenise("x")).collect()}
+    assert len(got) == sum(len(lines) for _, _, lines in rows)
+    for i, text, lines in rows:
+        for n, line in enumerate(lines):
+            sim, where = brute_best(tokens[text], tokens[line], line)
+            window = tokens[text][where:where + len(tokens[line])] if where >= 0 else []
+            r = got[i, n]
+            assert (r.max_sim_val, r.max_sim_string) == (sim, " ".join(window)), (i, n)
+            both = len(set(window) & set(tokens[line]))
+            assert r.jaccard == (both / len(set(window) | set(tokens[line])) if window else 0.0)
+            assert r.exact_match == float(bool(window) and window == tokens[line])
+
+
 def test_covered_text_chinese(spark):
     df = spark.createDataFrame([(1, "今天天气很好", ["天气"])], "idx int, prediction string, answers array<string>")
-    row = NG.covered_text(df, language="zh").first()
+    row = CV.covered_text(df, language="zh").first()
     assert row["max_sim_string"] == "天气" and row["exact_match"] == 1.0
 
 
