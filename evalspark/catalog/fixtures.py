@@ -129,7 +129,7 @@ FROM {orders}
 
 SUBTITLES = """
 SELECT event_id AS pos, user_id % 20 AS video, (event_id * 37) % 100000 AS start_ms,
-  (event_id * 37) % 100000 + 500 + (event_id % 5) * 400 AS end_ms,
+  (event_id * 37) % 100000 + CASE WHEN event_id % 997 = 996 THEN 360000000 ELSE 500 + (event_id % 5) * 400 END AS end_ms,
   CASE WHEN event_id % 19 = 0 THEN ' ' ELSE event_type || chr(92) || 'N' || CAST(event_id % 7 AS STRING) END AS text
 FROM {events}
 """
@@ -153,6 +153,14 @@ FROM {documents} d JOIN {benchmark} a ON d.doc_id % (SELECT COUNT(*) FROM {bench
   JOIN {benchmark} b ON (d.doc_id + 7) % (SELECT COUNT(*) FROM {benchmark}) = b.item_id
 """
 
+CAPTION_RUNS = """
+SELECT m.model, d.lang AS dataset, d.doc_id AS idx, a.text AS first, b.text AS second,
+  CASE m.model WHEN 'echo' THEN d.text ELSE substr(b.text, 1, CAST(10 + d.doc_id % 90 AS INT)) || ' ' || substr(a.text, 20, 60) || ' ' || substr(d.text, 1, 100) END AS prediction
+FROM {documents} d JOIN {benchmark} a ON d.doc_id % (SELECT COUNT(*) FROM {benchmark}) = a.item_id
+  JOIN {benchmark} b ON (d.doc_id + 7) % (SELECT COUNT(*) FROM {benchmark}) = b.item_id
+  JOIN (SELECT 'echo' AS model UNION ALL SELECT 'mixed' AS model) m ON 1 = 1
+"""
+
 IMAGES = """
 SELECT o_orderkey AS idx, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey - 1 AS STRING)
   ELSE repeat('x', 70) || CAST(o_orderkey AS STRING) END AS image

@@ -1,8 +1,9 @@
 """Interval join of points in time with spans: the first span, in file order, that holds a point.
 
-Spans are cut into aligned blocks (powers of a base, as few as possible) and reduced to one row per block
-before points look their enclosing blocks up.  Both sides meet in an equi-join whose right side has one
-row per key, so no pairs are produced and a busy video spreads over as many keys as it has blocks.
+Spans are cut along a tree of aligned blocks (sizes are powers of a base) into as few blocks as possible: at most ``base - 1`` on either side
+at each level.  The tree is as high as the longest span needs, so a span of days is cut into some dozens of blocks like one of
+seconds.  Blocks are reduced to one row each, with the text of the first span, before points look their enclosing blocks up: an equi-join whose
+right side has one row per key, so no pairs are produced, and a busy video spreads over as many keys as it has blocks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from evalspark.functions import text as T
 
 _BASE = 4
-_LEVELS = 7
 
 
 def _blocks(low: Column, high: Column, base: int, levels: int) -> Column:
@@ -40,6 +40,14 @@ def _at_level(blocks: Column, level: int) -> Column:
     return F.transform(blocks, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
 
 
+def levels_for(longest: int | None, base: int = _BASE) -> int:
+    """Height of the tree for spans of up to ``longest`` whole numbers."""
+    levels = 1
+    while base ** levels < (longest or 0):
+        levels += 1
+    return levels
+
+
 def first_covering(
     points: DataFrame,
     spans: DataFrame,
@@ -51,19 +59,20 @@ def first_covering(
     pos: str = "pos",
     value: str = "text",
     base: int = _BASE,
-    levels: int = _LEVELS,
 ) -> DataFrame:
     """Points with ``value`` of the first span (least ``pos``) with ``start < time < end``; NULL when none.
 
     Times are whole numbers (milliseconds) and ``pos`` is unique within ``by``.  Output columns: those of ``points``, plus ``value``.
     """
-    covered = spans.select(*by, pos, (F.col(start) + 1).alias("_lo"), (F.col(end) - 1).alias("_hi"))
+    longest = spans.agg(F.max(F.col(end) - F.col(start) - 1)).first()[0]
+    levels = levels_for(longest, base)
+    covered = spans.select(*by, F.struct(F.col(pos).alias("pos"), F.col(value).alias("value")).alias("_first"), (F.col(start) + 1).alias("_lo"), (F.col(end) - 1).alias("_hi"))
     blocks = (
         covered.where(F.col("_lo") <= F.col("_hi"))
         # The outer form keeps Spark from computing the blocks once more for a filter it would infer.
         .withColumn("_b", F.explode_outer(_blocks(F.col("_lo"), F.col("_hi"), base, levels)))
         .groupBy(*by, "_b.level", "_b.block")
-        .agg(F.min(pos).alias(pos))
+        .agg(F.min("_first").alias("_first"))
     )
     times = points.select(*by, time).distinct()
     enclosing = F.array(*[
@@ -74,10 +83,10 @@ def first_covering(
         .select(*by, time, "_b.level", "_b.block")
         .join(blocks, [*by, "level", "block"], "inner")
         .groupBy(*by, time)
-        .agg(F.min(pos).alias(pos))
+        .agg(F.min("_first").alias("_first"))
+        .select(*by, time, F.col("_first.value").alias(value))
     )
-    looked_up = first.join(spans.select(*by, pos, value), [*by, pos]).select(*by, time, value)
-    return points.join(looked_up, [*by, time], "left").select(*points.columns, value)
+    return points.join(first, [*by, time], "left").select(*points.columns, value)
 
 
 def frame_subtitles(frames: DataFrame, subtitles: DataFrame, by: Sequence[str] = ("video",), **columns: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalspark import constants as K
 from evalspark.functions import text as T
+from evalspark.operators import captions as C
 from evalspark.plans import grouping as G
 
 RUN = ("model", "dataset")
@@ -135,10 +136,13 @@ def recovery(blanks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def captions(df: DataFrame, index: str = "idx", partitions: int | None = None) -> DataFrame:
-    """BLEU-1..4, ROUGE-L and CIDEr in percent, as one row, of ``prediction`` against ``references``."""
-    from evalspark.operators import ngrams as NG
+def captions(df: DataFrame, by: Sequence[str] = RUN, index: str = "idx") -> DataFrame:
+    """BLEU-1..4, ROUGE-L and CIDEr in percent, one row per run, of ``prediction`` against ``references``.
 
-    rouge = NG.rouge_l(df, index).agg((F.avg("rouge_l") * 100).alias("ROUGE_L"))
-    cider = NG.cider(df, index, partitions=partitions).agg((F.avg("cider") * 100).alias("CIDEr"))
-    return G.merge_measures([NG.bleu(df), rouge, cider])
+    Rows are known by ``by`` and ``index`` together: two models may answer the same index.
+    """
+    keys = [*by, index]
+    counted = C.caption_grams(df, keys)
+    rouge = C.rouge_l(df, keys).groupBy(*by).agg((F.avg("rouge_l") * 100).alias("ROUGE_L"))
+    cider = C.cider(counted, keys, by).groupBy(*by).agg((F.avg("cider") * 100).alias("CIDEr"))
+    return G.merge_measures([C.bleu(counted, by), rouge, cider], by)

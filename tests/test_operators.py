@@ -1,5 +1,6 @@
 """Operators against brute force on small inputs, including very uneven groups."""
 
+import math
 import random
 from difflib import SequenceMatcher
 
@@ -9,13 +10,13 @@ from pyspark.sql import functions as F
 from evalspark import constants as K
 from evalspark.functions import denotations as D
 from evalspark.operators import batch as B
+from evalspark.operators import captions as CA
 from evalspark.operators import circular as C
 from evalspark.operators import covered as CV
 from evalspark.operators import expand as E
 from evalspark.operators import intervals as I
 from evalspark.operators import keys as OK
 from evalspark.operators.order import block_in, number_rows, number_within
-from evalspark.operators import ngrams as NG
 from evalspark.operators import scorers as SC
 from evalspark.plans import answer_reports as AR
 from evalspark.sources import preparation as PR
@@ -42,7 +43,7 @@ def test_first_covering_span_is_exact(spark):
     assert {r["id"]: r["text"] for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("base,levels", [(2, 3), (4, 7), (8, 2)])
+@pytest.mark.parametrize("base,levels", [(2, 8), (4, 4), (8, 3), (4, 2)])
 def test_blocks_cover_exactly(spark, base, levels):
     ranges = [(lo, lo + n) for lo in range(0, 40, 3) for n in (0, 1, 5, 16, 63, 200)]
     df = spark.createDataFrame(ranges, "lo bigint, hi bigint")
@@ -51,6 +52,20 @@ def test_blocks_cover_exactly(spark, base, levels):
         assert sorted(covered) == list(range(r["lo"], r["hi"] + 1))
 
 
+def test_spans_of_any_length(spark):
+    """Spans of 100 hours beside short ones: few pieces, and the first in file order."""
+    day = 86_400_000
+    spans = [(i, "v", i * 977, i * 977 + (360_000_000 if i % 10 == 3 else 1500), f"t{i}") for i in range(200)] + [(200, "v", 5, 5, "empty")]
+    points = [(i, "v", i * 7919 % (4 * day)) for i in range(2000)]
+    frames = spark.createDataFrame(points, "id int, video string, t_ms bigint")
+    lines = spark.createDataFrame(spans, "pos int, video string, start_ms bigint, end_ms bigint, text string")
+    expected = {p: next((s[4] for s in spans if s[2] < t < s[3]), None) for p, _, t in points}
+    assert {r["id"]: r["text"] for r in I.first_covering(frames, lines, ["video"]).collect()} == expected
+    levels = I.levels_for(360_000_000)
+    most = lines.select(F.max(F.size(I._blocks(F.col("start_ms") + 1, F.col("end_ms") - 1, 4, levels)))).first()[0]
+    assert levels == 15 and most < 2 * 3 * levels
+
+
 def test_rotations(spark):
     table = spark.createDataFrame(
         [(1, "w", "x", "y", "z", "B", "p"), (2, "w", "x", "y", None, "C", "p"), (3, "w", "x", None, None, "A", "p"),
@@ -286,28 +301,46 @@ def lcs(a, b):
     return table[-1][-1]
 
 
-def test_common_subsequence():
+def test_common_subsequence(spark):
+    """Also references over one, two and three numbers of bits, and carries through all of them."""
     rng = random.Random(2)
-    for _ in range(200):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 90))] for _ in range(2))
-        assert NG._common_subsequence(a, b) == lcs(a, b)
+    pairs = [[[rng.choice("abcd" if rng.random() < 0.5 else "abcdefghijklmnop") for _ in range(rng.choice([0, 1, 30, 61, 62, 63, 124, 125, 190]))] for _ in range(2)] for _ in range(80)]
+    pairs += [[["a"] * 200, ["a"] * 187], [["a", "b"] * 80, ["b", "a"] * 70]]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    got = {r.i: r.n for r in df.select("i", CA.common_subsequence(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {i: lcs(a, b) for i, (a, b) in enumerate(pairs)}
 
 
 def test_rouge_l(spark):
     df = spark.createDataFrame([(1, "a b c d", ["a c", "x y z w"])], "idx int, prediction string, references array<string>")
     p, r, b2 = 2 / 4, 2 / 2, 1.44
-    assert NG.rouge_l(df).first()["rouge_l"] == pytest.approx((1 + b2) * p * r / (r + b2 * p))
+    assert CA.rouge_l(df).first()["rouge_l"] == pytest.approx((1 + b2) * p * r / (r + b2 * p))
 
 
-def test_perfect_captions(spark):
+def test_perfect_captions_by_run(spark):
+    """Two models with the same index: one says what the reference says, one nothing of it."""
     texts = [f"word{i} and some more words of text {i}" for i in range(4)]
-    df = spark.createDataFrame([(i, t, [t]) for i, t in enumerate(texts)], "idx int, prediction string, references array<string>")
-    scores = AR.captions(df).first().asDict()
-    assert scores == pytest.approx({"Bleu_1": 100.0, "Bleu_2": 100.0, "Bleu_3": 100.0, "Bleu_4": 100.0, "ROUGE_L": 100.0, "CIDEr": 1000.0})
-
-
-def test_clipping_and_closest_length():
-    assert NG._clipped("the the the cat".split(), ["the cat".split(), "the the dog sat on".split()]) == (4, 5, 3, 2, 0, 0)
+    rows = [("good", "d", i, t, [t]) for i, t in enumerate(texts)] + [("bad", "d", i, "nothing like it", [t]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "model string, dataset string, idx int, prediction string, references array<string>")
+    scores = {r["model"]: r.asDict() for r in AR.captions(df).collect()}
+    assert all(scores["good"][f"Bleu_{n}"] == pytest.approx(100.0) for n in (1, 2, 3, 4))
+    assert scores["good"]["ROUGE_L"] == pytest.approx(100.0) and scores["good"]["CIDEr"] == pytest.approx(1000.0)
+    assert scores["bad"]["ROUGE_L"] == 0.0 and scores["bad"]["CIDEr"] == 0.0 and scores["bad"]["Bleu_1"] < 1e-6
+
+
+def test_clipping_and_closest_length(spark):
+    df = spark.createDataFrame([(1, "the the the cat", ["the cat", "the the dog sat on"])], "idx int, prediction string, references array<string>")
+    # 4 words, the closer of 2 and 5 is 5; "the" twice and "cat" once, "the the" and "the cat" once each.
+    got = CA.bleu(CA.caption_grams(df)).first()
+    penalty = math.exp(1 - 5 / 4)
+    assert got["Bleu_1"] == pytest.approx(100 * penalty * 3 / 4) and got["Bleu_2"] == pytest.approx(100 * penalty * math.sqrt(3 / 4 * 2 / 3))
+
+
+def test_gram_profile(spark):
+    df = spark.createDataFrame([(1, "a b a b", ["", "x"]), (2, None, ["a a a"])], "idx int, prediction string, references array<string>")
+    got = {(r.ref, r.order): (r.grams, r.total, r.most) for r in CA.gram_profile(CA.caption_grams(df)).collect()}
+    words = {k: v for k, v in got.items() if k[1] == 1}
+    assert got[-1, 2] == (2, 3, 2) and words[0, 1] == (1, 3, 3) and words[1, 1] == (1, 1, 1) and (1, 2) not in got
 
 
 def test_denotations(spark):
