@@ -216,20 +216,31 @@ def multi_turn_generation(src: Source) -> DataFrame:
     return B.multi_turn(src.table("conversations"), _count_turns)
 
 
-@query(with_view(FX.MCQ, "," + S.infer("fx", S.ABCD) + """, sc AS (SELECT *, CAST(coalesce(opt, 'Z') = answer AS INT) AS hit FROM inferred)
+#: Arrivals of a stream in three steps of ten days; some rows come a step later than their time, and a user answers a day's question again.
+_ARRIVALS = """SELECT idx AS tie, model, l2_category, answer, A, B, C, D, prediction, user_id * 100 + day(ts) AS idx, CAST(ts AS TIMESTAMP) AS ts,
+  least(1 + CAST(floor((day(ts) - 1) / 10) AS INT) + CASE WHEN idx % 50 = 7 THEN 1 ELSE 0 END, 3) AS step
+FROM ({mcq}) JOIN (SELECT event_id, user_id, ts FROM {{events}}) ON idx = event_id"""
+
+
+@query(with_view(_ARRIVALS.format(mcq=FX.MCQ).replace("{{", "{").replace("}}", "}"), "," + S.infer("fx", S.ABCD) + """,
+    m AS (SELECT step, max(epoch_us(ts)) AS top FROM fx GROUP BY step),
+    w AS (SELECT s.step, (max(m.top) // 1000) * 1000 - 86400000000 AS mark FROM (SELECT unnest([1, 2, 3]) AS step) s LEFT JOIN m ON m.step < s.step GROUP BY s.step),
+    taken AS (SELECT i.* FROM inferred i JOIN w USING (step) WHERE w.mark IS NULL OR epoch_us(i.ts) > w.mark),
+    sc AS (SELECT *, CAST(coalesce(opt, 'Z') = answer AS INT) AS hit FROM taken QUALIFY row_number() OVER (PARTITION BY model, idx ORDER BY ts DESC, tie DESC) = 1)
     SELECT model, 'overall' AS level, 'Overall' AS key, count(*) AS n, sum(hit)::DOUBLE / count(*) AS score FROM sc GROUP BY ALL
     UNION ALL SELECT model, 'l2_category', l2_category, count(*), sum(hit)::DOUBLE / count(*) FROM sc GROUP BY ALL"""))
 def stream_score(src: Source) -> DataFrame:
-    """Predictions read as a stream, scored once each, and the running report after all files."""
-    batch = src.table("events")
-    out = session.new_table_path(src.spark, "stream")
-    stream = INC.read_stream(src.spark, src.folder, batch.schema, names="events.parquet")
-    predictions = src.spark.sql(FX.MCQ, events=stream)
-    once = INC.first_arrivals(predictions, ["model", "idx"])
-
-    def scorer(rows: DataFrame) -> DataFrame:
-        return SC.score_options(rows.withColumn("gt", F.col("answer")), ABCD)
+    """Predictions read as a stream in three arrivals, scored, corrected by later answers to the same question, and the running report.
 
+    Rows more than a day behind what has arrived are left out, and a question can be answered again for a day.
+    """
+    out = session.new_table_path(src.spark, "stream")
+    arrivals = src.view(_ARRIVALS.format(mcq=FX.MCQ).replace("{{", "{").replace("}}", "}"))
     levels = {"overall": None, "l2_category": "l2_category"}
-    INC.score_stream(once, scorer, out, f"{out}/checkpoint", by=("model",), levels=levels).awaitTermination()
+    for step in (1, 2, 3):
+        arrivals.where(F.col("step") == step).drop("step").write.mode("append").parquet(f"{out}/arrived")
+        stream = INC.read_stream(src.spark, f"{out}/arrived", arrivals.drop("step").schema, files_per_batch=1_000_000)
+        scored = SC.score_options(stream.withColumn("gt", F.col("answer")), ABCD)
+        signed = INC.corrections(scored, ["model", "idx"], "ts", "tie", ["model", "l2_category", "hit"])
+        INC.sum_corrections(signed, out, f"{out}/checkpoint", by=("model",), levels=levels).awaitTermination()
     return INC.running_report(src.spark, out, by=("model",))

@@ -12,6 +12,7 @@ from evalspark import constants as K
 from evalspark.functions import answers as A
 from evalspark.functions import numbers as N
 from evalspark.functions import text as T
+from evalspark.sources.delimited import read_delimited
 
 _DELIMITED = {"csv": ",", "tsv": "\t"}
 
@@ -23,12 +24,13 @@ def suffix_of(path: str) -> str:
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: ST.StructType | str | None = None) -> DataFrame:
     """Read csv, tsv, json (one document), jsonl, parquet or orc, chosen by ending.
 
-    Give a schema for delimited text to be read in one pass; without one its columns are strings.
+    Delimited text is split over tasks, line breaks inside quotes or not; without a schema its columns are strings.  A json document
+    is one value, which one task reads; give jsonl for more.
     """
     fmt = fmt or suffix_of(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt in _DELIMITED:
-        return reader.csv(path, sep=_DELIMITED[fmt], header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
+        return read_delimited(spark, path, _DELIMITED[fmt], schema)
     if fmt == "json":
         return reader.json(path, multiLine=True)
     if fmt == "jsonl":
@@ -45,7 +47,8 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, partition_by:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt in _DELIMITED:
-        writer.csv(path, sep=_DELIMITED[fmt], header=True, quoteAll=True, quote='"', escape='"')
+        # Texts are written as they are: Spark trims them by default.
+        writer.csv(path, sep=_DELIMITED[fmt], header=True, quoteAll=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif fmt in ("json", "jsonl"):
         writer.json(path)
     elif fmt in ("parquet", "orc"):

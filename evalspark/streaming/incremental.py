@@ -2,16 +2,21 @@
 
 Each micro-batch is scored, reduced to sums and appended under its batch number; a re-run of a batch
 overwrites its own folder, so the report counts every row once.
+
+:func:`corrections` keeps the latest answer to each key for as long as the watermark allows it to be corrected: a later answer takes the sums of
+the earlier one back.  State is as large as the keys of one ``delay``, however long the stream runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evalspark.plans import grouping as G
 
@@ -30,6 +35,54 @@ def first_arrivals(stream: DataFrame, keys: Sequence[str], event_time: str | Non
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def corrections(scored: DataFrame, keys: Sequence[str], event_time: str, tie: str, columns: Sequence[str], delay_ms: int = 86_400_000) -> DataFrame:
+    """Signed rows of a scored stream: ``columns`` and ``sign``.
+
+    A key's newest answer (by ``event_time``, then the whole number ``tie``) counts 1; when a newer one comes, the earlier one counts -1.  Rows behind the
+    watermark are left out, and a key is forgotten ``delay_ms`` after its newest answer, so corrections must come within that time.
+    """
+    chosen = scored.select(*keys, event_time, tie, *[c for c in columns if c not in keys]).withWatermark(event_time, f"{delay_ms} milliseconds")
+    kinds = {f.name: f.dataType for f in chosen.schema}
+    state = ST.StructType([ST.StructField("at", ST.LongType()), ST.StructField("tie", ST.LongType()), *[ST.StructField(f"v{i}", kinds[c]) for i, c in enumerate(columns)]])
+    output = ST.StructType([*[ST.StructField(c, kinds[c]) for c in columns], ST.StructField("sign", ST.IntegerType())])
+
+    def native(value):
+        return None if value is None or value is pd.NA or value != value else value.item() if hasattr(value, "item") else value
+
+    def newest(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        before = kept.get if kept.exists else None
+        best = before
+        for frame in frames:
+            frame = frame.assign(_at=frame[event_time].astype("datetime64[us]").astype("int64"))
+            row = frame.sort_values(["_at", tie]).iloc[-1]
+            if best is None or (int(row["_at"]), int(row[tie])) > tuple(best[:2]):
+                best = (int(row["_at"]), int(row[tie]), *[native(row[c]) for c in columns])
+        if best is not before:
+            kept.update(best)
+            signed = [(*before[2:], -1)] if before is not None else []
+            yield pd.DataFrame([*signed, (*best[2:], 1)], columns=[*columns, "sign"])
+        # Never behind the watermark, which must not be passed when a time is set.
+        kept.setTimeoutTimestamp(max(best[0] // 1000, kept.getCurrentWatermarkMs()) + delay_ms)
+
+    return chosen.groupBy(*keys).applyInPandasWithState(newest, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def sum_corrections(
+    signed: DataFrame, out: str, checkpoint: str, *, by: Sequence[str] = ("model", "dataset"), levels: dict[str, str | None] | None = None, value: str = "hit",
+) -> StreamingQuery:
+    """Sums of signed rows to ``out/sums``, one folder per micro-batch, for all files that are there; a later call goes on where this one ended."""
+    levels = {"overall": None} if levels is None else levels
+
+    def write(batch: DataFrame, number: int) -> None:
+        sums = {"total": F.col(value).cast("double") * F.col("sign"), "n": F.when(F.col(value).isNotNull(), F.col("sign")).otherwise(0).cast("bigint")}
+        G.level_sums(batch, by, levels, sums).write.mode("overwrite").parquet(f"{out}/sums/batch={number}")
+
+    return signed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
 def score_stream(
     stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, *,
     by: Sequence[str] = ("model", "dataset"), levels: dict[str, str | None] | None = None, value: str = "hit",
@@ -55,7 +108,8 @@ def running_report(spark: SparkSession, out: str, by: Sequence[str] = ("model",
     """Report over all batches so far."""
     sums = spark.read.parquet(f"{out}/sums")
     totals = sums.groupBy(*by, "level", "key").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    return totals.select(*by, "level", "key", "n", F.try_divide("total", "n").alias("score"))
+    # A group whose rows were all taken back is no group.
+    return totals.where("n <> 0").select(*by, "level", "key", "n", F.try_divide("total", "n").alias("score"))
 
 
 def scored_rows(spark: SparkSession, out: str, columns: Sequence[Column | str]) -> DataFrame:

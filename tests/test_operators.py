@@ -19,8 +19,10 @@ from evalspark.operators import keys as OK
 from evalspark.operators.order import block_in, number_rows, number_within
 from evalspark.operators import scorers as SC
 from evalspark.plans import answer_reports as AR
+from evalspark.sources import delimited as DL
 from evalspark.sources import preparation as PR
 from evalspark.sources import tables as TB
+from evalspark.streaming import incremental as INC
 
 ABCD = {c: c for c in "ABCD"}
 
@@ -52,6 +54,52 @@ def test_blocks_cover_exactly(spark, base, levels):
         assert sorted(covered) == list(range(r["lo"], r["hi"] + 1))
 
 
+@pytest.mark.parametrize("split", ["128m", "2000", "300"])
+def test_delimited_text_is_split(spark, tmp_path, split):
+    """One file with line breaks, quotes, separators and empty cells inside quotes, cut anywhere: the same rows, by many tasks."""
+    rng = random.Random(6)
+    parts = ["a", "\n", '"', "\t", ",", " ", "é", "\r\n", "word", ""]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 30))) + "x", None if i % 7 == 0 else f"v{i}") for i in range(400)]
+    rows += [(400, "\n" * 3000 + "x", "long"), (401, "x", "end")]
+    df = spark.createDataFrame(rows, "id bigint, text string, other string").coalesce(1)
+    TB.write_table(df, f"{tmp_path}/one.tsv")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.set(key, split if key.endswith("tionBytes") else "1")
+        back = TB.read_table(spark, f"{tmp_path}/one.tsv", schema=df.schema)
+        assert sorted(map(tuple, back.collect())) == sorted(rows)
+        lines = DL.numbered_lines(spark, f"{tmp_path}/one.tsv")
+        assert lines.select("split").distinct().count() > 1
+        texts = TB.read_table(spark, f"{tmp_path}/one.tsv")
+        assert texts.columns == ["id", "text", "other"] and texts.count() == len(rows)
+        with pytest.raises(ValueError):
+            TB.read_table(spark, f"{tmp_path}/one.tsv", schema="id bigint, body string, other string")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_corrections_and_expiry(spark, tmp_path):
+    """A later answer replaces an earlier one, late rows are left out, and old keys leave the state."""
+    day = 86_400
+    rows = [[("m", i, 0, i, 1) for i in range(50)], [("m", 49, 100, 60, 0), ("m", 100, 5 * day, 61, 1), ("m", 100, 5 * day, 62, 0)],
+            [("m", 7, 200, 70, 0), ("m", 100, 5 * day - 10, 71, 1), ("m", 101, 20 * day, 72, 1)], [("m", 102, 20 * day, 73, 1)]]
+    held = []
+    for step in rows:
+        df = spark.createDataFrame(step, "model string, idx bigint, s bigint, tie bigint, hit int").select("*", F.timestamp_seconds(F.col("s") + 10**9).alias("ts"))
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = INC.read_stream(spark, f"{tmp_path}/in", df.schema, files_per_batch=1000)
+        signed = INC.corrections(stream, ["model", "idx"], "ts", "tie", ["model", "hit"], delay_ms=day * 1000)
+        query = INC.sum_corrections(signed, f"{tmp_path}/out", f"{tmp_path}/checkpoint", by=("model",))
+        query.awaitTermination()
+        held.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    # 50 answers; one of them corrected; one new that is corrected at once; the late correction of 7 and the older answer to 100 do not count.
+    report = INC.running_report(spark, f"{tmp_path}/out", by=("model",)).first()
+    assert (report["n"], report["score"]) == (53, 51 / 53)
+    assert held[0] == 50 and max(held[1:]) <= 3 and held[-1] <= 2
+
+
 def test_spans_of_any_length(spark):
     """Spans of 100 hours beside short ones: few pieces, and the first in file order."""
     day = 86_400_000
