@@ -139,6 +139,13 @@ SELECT c_custkey AS frame_id, c_custkey % 20 AS video, (c_custkey * 53) % 100000
 FROM {customer}
 """
 
+DIALOGUES = """
+SELECT event_id AS idx, 'm' || CAST(user_id % 3 AS STRING) AS model,
+  slice(array('What is ' || event_type || '?', 'Why for user ' || CAST(user_id AS STRING) || '?', 'And then?'), 1, CAST(1 + event_id % 3 AS INT)) AS question,
+  array(event_type, 'because', 'nothing') AS answer, array('It is ' || event_type, 'As user ' || CAST(user_id AS STRING) || ' said') AS prediction
+FROM {events}
+"""
+
 CAPTIONS = """
 SELECT d.doc_id AS idx, d.text AS prediction, b.item_id, b.text AS ref_text, 0 AS ref
 FROM {documents} d JOIN {benchmark} b ON d.doc_id % (SELECT COUNT(*) FROM {benchmark}) = b.item_id

@@ -10,6 +10,7 @@ from evalspark.catalog import fixtures as FX
 from evalspark.catalog.base import Source, query, with_view
 from evalspark.functions import text as T
 from evalspark.operators import keys as OK
+from evalspark.sources import ordered as OR
 from evalspark.sources import preparation as PR
 from evalspark.sources import tables as TB
 
@@ -223,3 +224,11 @@ def list_cells(src: Source) -> DataFrame:
     cells = src.table("documents").select("doc_id", F.to_json(F.split("text", "\n")).alias("cell"))
     items = cells.select("doc_id", T.to_list("cell").alias("items"))
     return items.select("doc_id", F.size("items").cast("bigint").alias("n"), F.md5(F.array_join("items", "#").cast("binary")).alias("digest"))
+
+
+@query(with_view(FX.MCQ, """ SELECT model, idx, prediction, row_number() OVER (ORDER BY model, idx) - 1 AS row_no FROM fx"""))
+def ordered_sink(src: Source) -> DataFrame:
+    """Predictions written in order over several files; the place of each row follows from the manifest and its place in its file."""
+    path = session.new_table_path(src.spark, "ordered")
+    OR.write_ordered(src.view(FX.MCQ).select("model", "idx", "prediction"), path, ["model", "idx"])
+    return OR.read_ordered(src.spark, path)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions import answers as A
+from evalspark.functions import prompts as P
 from evalspark.operators import circular as C
 from evalspark.operators import keys as OK
 from evalspark.operators.scorers import Options
@@ -30,6 +31,28 @@ def attach_replies(rows: DataFrame, replies: DataFrame, keys: Sequence[str], kin
     return rows.join(latest, list(keys), "left")
 
 
+def explode_dialogues(df: DataFrame, keys: Sequence[str], question: str = "question", answer: str = "answer", prediction: str = "prediction") -> DataFrame:
+    """One row per question of a dialogue: ``keys, turn, question, answer, prediction``, with turns from 0; lists that are shorter give NULL."""
+    turns = F.arrays_zip(F.col(question).alias("q"), F.col(answer).alias("a"), F.col(prediction).alias("p"))
+    rows = df.select(*keys, F.size(question).alias("_n"), F.posexplode(turns).alias("turn", "_t")).where(F.col("turn") < F.col("_n"))
+    return rows.select(*keys, "turn", F.col("_t.q").alias("question"), F.col("_t.a").alias("answer"), F.col("_t.p").alias("prediction"))
+
+
+def dialogue_requests(turns: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a judge is asked about each turn of each dialogue."""
+    return requests(turns, "dialogue", [*keys, "turn"], P.dialogue_judge("question", "answer", "prediction"), F.lit(True))
+
+
+def pair_requests(rows: DataFrame, keys: Sequence[str], caption: str = "caption", question: str = "question", baseline: str = "answer", prediction: str = "prediction") -> DataFrame:
+    """What a judge is asked about a reply beside the baseline's."""
+    return requests(rows, "pair", keys, P.pair_judge(caption, question, baseline, prediction), F.lit(True))
+
+
+def video_requests(rows: DataFrame, keys: Sequence[str], question: str = "question", answer: str = "answer", prediction: str = "prediction") -> DataFrame:
+    """What a judge is asked about an answer that scores 0 to 3."""
+    return requests(rows, "video", keys, P.video_judge(question, answer, prediction), F.lit(True))
+
+
 def guess_letter(key: Column, letters: Column) -> Column:
     """Stable stand-in for a random pick among the options and Z, by the MD5 of the key."""
     pool = F.array_union(letters, F.array(F.lit("Z")))
