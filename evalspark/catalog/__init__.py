@@ -8,6 +8,7 @@ from evalspark.catalog import (  # noqa: F401  (importing registers the queries)
     prompts,
     replies,
     runs,
+    tables,
     texts,
     video,
 )
