@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.catalog import answers as AN
 from evalspark.catalog import fixtures as FX
 from evalspark.catalog import sqltext as S
 from evalspark.catalog.base import Source, plain, query, with_view
@@ -12,6 +13,7 @@ from evalspark.operators import expand as E
 from evalspark.operators import keys as OK
 from evalspark.plans import evaluate as EV
 from evalspark.plans import grouping as G
+from evalspark.plans import run_matrix as RM
 from evalspark.plans import run_reports as R
 
 KEYS = ["model", "dataset", "idx"]
@@ -184,3 +186,69 @@ FROM {events}
 def judged_failure_scan(src: Source) -> DataFrame:
     """Failed predictions and failed judge calls per run, each data set by its own column."""
     return R.failure_scan(src.view(_JUDGED_RUNS), judged=True)
+
+
+#: Data set -> family and task kind; a table of its own in real use, here as many rows as there are data sets.
+_DATASETS = {
+    "choices": ("choice", "MCQ"), "yes-no": ("yes_no", "Y/N"), "MMVet-like": ("judged_unit", "VQA"), "MMBench-Video-like": ("judged_integer", "Video-VQA"),
+    "consensus": ("vqa_consensus", "VQA"), "anls": ("vqa_anls", "VQA"), "exact": ("vqa_exact", "VQA"), "contained": ("containment", "VQA"),
+    "charts": ("vqa_relaxed", "VQA"), "facts": ("table_truth", "VQA"), "MMLongBench-like": ("document_anls", "VQA"), "SLIDEVQA-like": ("slides", "VQA"),
+    "finance": ("table_financial", "VQA"),
+}
+_REPLY = """CASE idx % 20 WHEN 0 THEN '0.5' WHEN 10 THEN 'fine' WHEN 1 THEN '2' ELSE 'no idea' END"""
+_MATRIX = f"""WITH a AS (SELECT *, CASE idx % 10 WHEN 0 THEN 'MMVet-like' WHEN 1 THEN 'MMBench-Video-like' ELSE 'choices' END AS dataset FROM ({plain(FX.MCQ)})),
+    b AS ({plain(FX.YES_NO)}), p AS ({plain(FX.VQA)}), o AS ({plain(FX.TYPED)}),
+    fx AS (SELECT * FROM a WHERE dataset = 'choices'), {S.infer("fx", S.ABCD)},
+    cons AS (WITH fx AS (SELECT * FROM p WHERE idx % 5 = 0), {AN._CONSENSUS} SELECT * FROM v),
+    anls AS (WITH fx AS (SELECT * FROM p WHERE idx % 5 = 1), {AN._ANLS} SELECT * FROM v),
+    exact AS (SELECT *, list_max(list_transform({AN._GOLDS}, lambda g: CAST({S.strip("lower(g)")} = {S.strip("lower(prediction)")} AS DOUBLE))) AS hit FROM p WHERE idx % 5 = 2),
+    rel AS (WITH fx AS (SELECT * FROM p WHERE idx % 5 = 4), {AN._RELAXED} SELECT * FROM v),
+    slides AS (WITH fx AS (SELECT * FROM o WHERE idx % 4 = 2), {AN._SLIDE} SELECT s.*, category FROM s JOIN o USING (idx)),
+    fin AS (SELECT model, category, table_answer AS g, CASE prediction WHEN '$1,200 million' THEN 1.2e9 WHEN '12 %' THEN 12e-2 END AS a,
+      CASE prediction WHEN '$1,200 million' THEN 1200.0 WHEN '12 %' THEN 12.0 END AS b FROM o WHERE idx % 4 = 3),
+    r AS (
+      SELECT model, 'choices' AS dataset, 'hit' AS measure, category, l2_category, CAST(coalesce(opt, 'Z') = answer AS INT)::DOUBLE AS v, 1.0 AS k FROM inferred
+      UNION ALL SELECT model, dataset, 'score', category, NULL, CASE idx % 20 WHEN 0 THEN 0.5 ELSE 0.0 END, 1.0 FROM a WHERE dataset = 'MMVet-like'
+      UNION ALL SELECT model, dataset, 'score', category, NULL, CASE idx % 20 WHEN 1 THEN 2.0 ELSE -1.0 END, 1.0 FROM a WHERE dataset = 'MMBench-Video-like'
+      UNION ALL SELECT model, 'yes-no', 'score', category, l2_category, CAST(answer = CASE idx % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' WHEN 3 THEN 'Yes' WHEN 5 THEN 'No' ELSE 'Unknown' END AS INT), 100.0 FROM b
+      UNION ALL SELECT model, 'consensus', 'hit', category, NULL, hit, 100.0 FROM cons UNION ALL SELECT model, 'anls', 'hit', category, NULL, hit, 100.0 FROM anls
+      UNION ALL SELECT model, 'exact', 'hit', category, NULL, hit, 100.0 FROM exact UNION ALL SELECT model, 'charts', 'hit', category, NULL, hit, 100.0 FROM rel
+      UNION ALL SELECT model, 'contained', 'hit', category, NULL, CAST(contains(replace(lower(trim(prediction)), '.', ''), replace(lower(trim(model)), '.', '')) AS INT), 100.0 FROM p WHERE idx % 5 = 3
+      UNION ALL SELECT model, 'facts', 'score', category, NULL, {AN._TRUTH}, 1.0 FROM o WHERE idx % 4 = 0
+      UNION ALL SELECT model, 'MMLongBench-like', 'score', category, NULL, {AN._similar("lower(task)", "lower(task || category)")}, 1.0 FROM o WHERE idx % 4 = 1
+      UNION ALL SELECT model, 'SLIDEVQA-like', m, category, NULL, v, 1.0 FROM (SELECT model, category, unnest(['anls', 'em', 'f1']) AS m, unnest([anls, em::DOUBLE, f1]) AS v FROM slides)
+      UNION ALL SELECT model, 'finance', m, category, NULL, v, 1.0 FROM (SELECT model, category, unnest(['exact_score', 'score']) AS m, unnest([CAST(coalesce(a = CAST(g AS DOUBLE), false) AS INT)::DOUBLE,
+        CAST(coalesce(a = CAST(g AS DOUBLE) OR b = CAST(g AS DOUBLE), false) AS INT)::DOUBLE]) AS v FROM fin)),
+    l AS (SELECT model, dataset, measure, 'overall' AS level, 'Overall' AS key, v, k FROM r UNION ALL SELECT model, dataset, measure, 'category', category, v, k FROM r
+      UNION ALL SELECT model, dataset, measure, 'l2_category', l2_category, v, k FROM r WHERE l2_category IS NOT NULL),
+    d AS (SELECT unnest({[name for name in _DATASETS]!r}) AS dataset, unnest({[f for f, _ in _DATASETS.values()]!r}) AS family, unnest({[k for _, k in _DATASETS.values()]!r}) AS kind)
+    SELECT model, dataset, family, CASE WHEN kind IN ('MCQ', 'Y/N') THEN 'chatgpt-0125' WHEN dataset IN ('MMVet-like', 'MMBench-Video-like') THEN 'gpt-4-turbo'
+      WHEN dataset IN ('MMLongBench-like', 'SLIDEVQA-like') THEN 'gpt-4o' END AS judge, measure, level, key, count(v) AS n, round(sum(v)::DOUBLE / nullif(count(v), 0) * any_value(k), 9) AS score
+    FROM l JOIN d USING (dataset) WHERE key IS NOT NULL GROUP BY ALL"""
+
+
+@query(_MATRIX)
+def evaluate_all_runs(src: Source) -> DataFrame:
+    """Thirteen families of data sets in one pass over one table of predictions, with the judge of each data set."""
+    keep = ["model", "dataset", "idx", "prediction", "answer", "category"]
+    choices = src.view(FX.MCQ).withColumns({
+        "dataset": F.when(F.col("idx") % 10 == 0, "MMVet-like").when(F.col("idx") % 10 == 1, "MMBench-Video-like").otherwise("choices"), "reply": F.expr(_REPLY)})
+    yes_no = src.view(FX.YES_NO).withColumn("dataset", F.lit("yes-no"))
+    kind, charts = F.col("idx") % 5, F.col("idx") % 5 == 4
+    words = src.view(FX.VQA).withColumns({
+        "dataset": F.when(kind == 0, "consensus").when(kind == 1, "anls").when(kind == 2, "exact").when(kind == 3, "contained").otherwise("charts"),
+        "answer": F.when(kind == 3, F.col("model")).when(charts, F.col("num_answer")).otherwise(F.col("answer")),
+        "prediction": F.when(charts, F.col("num_prediction")).otherwise(F.col("prediction")),
+    })
+    part = F.col("idx") % 4
+    pages = src.view(FX.TYPED).withColumns({
+        "dataset": F.when(part == 0, "facts").when(part == 1, "MMLongBench-like").when(part == 2, "SLIDEVQA-like").otherwise("finance"),
+        "prediction": F.when(part == 0, F.col("prediction")).when(part == 1, F.concat("task", "category")).when(part == 2, F.concat_ws(" ", "task", "task", "answer", "category"))
+        .otherwise(F.regexp_replace("prediction", "^Answer: ", "")),
+        "answer": F.when(part == 1, F.col("task")).when(part == 2, F.concat_ws(" ", "task", "category")).otherwise(F.col("table_answer")),
+    })
+    table = choices.select(*keep, "l2_category", *"ABCD", "reply")
+    for more in (yes_no.select(*keep, "l2_category"), words.select(*keep), pages.select(*keep)):
+        table = table.unionByName(more, allowMissingColumns=True)
+    datasets = src.spark.createDataFrame([(name, *v) for name, v in _DATASETS.items()], "dataset string, family string, kind string")
+    return RM.evaluate_all(table, datasets).withColumn("score", F.round("score", 9))

@@ -21,35 +21,42 @@ def _objects(text: str) -> Iterator[dict]:
     start = text.find("{")
     while start >= 0:
         try:
-            value, length = _DECODER.raw_decode(text[start:])
+            value, end = _DECODER.raw_decode(text, start)
             yield value
-            start = text.find("{", start + length)
+            start = text.find("{", end)
         except ValueError:
             start = text.find("{", start + 1)
 
 
-def _answers(text: str | None) -> dict[str, str] | None:
-    if text is None:
+def _only_object(text: str | None) -> dict[str, str] | None:
+    found = list(_objects(text or ""))
+    if len(found) != 1:
         return None
-    found = list(_objects(text))
-    if len(found) == 1:
-        return {str(k): v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in found[0].items()}
-    if text.count("{") != 1:
-        return None
-    out = {}
-    for line in text.split("{", 1)[1].strip().split("\n"):
-        fields = line.strip().split(": ")
-        if len(fields) > 1:
-            key, value = (f.strip().strip(_SIDE_MARKS) for f in fields[:2])
-            if key and value:
-                out[key] = value
-    return out
+    return {str(k): v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in found[0].items()}
 
 
 @F.pandas_udf(ST.MapType(ST.StringType(), ST.StringType()))
-def answer_map(texts: pd.Series) -> pd.Series:
-    """The only JSON object in a text, else its ``key: value`` lines; NULL when neither can be read."""
-    return texts.map(_answers)
+def only_object(texts: pd.Series) -> pd.Series:
+    """The only JSON object in a text; NULL when there is none, or more than one."""
+    return texts.map(_only_object)
+
+
+def named_lines(text: Column) -> Column:
+    """``name: value`` lines behind a text's only opening brace as a map, without marks around them; of a repeated name the last counts."""
+    lines = F.split(F.substring_index(text, "{", -1), "\n")
+    bare = lambda c: F.btrim(T.strip(c), F.lit(_SIDE_MARKS))
+    fields = F.transform(lines, lambda line: F.split(T.strip(line), ": "))
+    pairs = F.transform(F.filter(fields, lambda f: F.size(f) > 1), lambda f: F.struct(bare(f[0]).alias("key"), bare(f[1]).alias("value")))
+    said = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
+    last = T.let(said, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["key"] == p["key"])))
+    return F.map_from_entries(last)
+
+
+def answer_map(text: Column | str) -> Column:
+    """The only JSON object in a text, else the named lines behind its only opening brace; NULL when there is neither."""
+    text = T.col(text)
+    one_brace = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))) == 1
+    return F.coalesce(only_object(text), F.when(one_brace, named_lines(text)))
 
 
 def dimension_scores(reply: Column | str) -> Column:

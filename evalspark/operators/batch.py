@@ -40,9 +40,9 @@ def _ask(generate: Generate, accept: Accept, prompt: str | None, tries: int) ->
         except Exception as error:  # a failed call is one failed try
             reply = f"{K.FAIL_MESSAGE} {type(error).__name__}"
         if accept(reply):
-            return reply, attempt + 1, log + "Succeed"
-        log += f"Try {attempt}: output is {reply}, failed to parse.\n"
-    return "", tries, log + f"All {tries} retries failed.\n"
+            return reply, attempt + 1, log + K.SUCCEEDED_LOG
+        log += K.TRY_LOG.format(attempt=attempt, reply=reply)
+    return "", tries, log + K.TRIES_LOG.format(tries=tries)
 
 
 def apply_callable(

@@ -111,11 +111,11 @@ def score_circular(
         F.when(
             miss.isNotNull(),
             F.format_string(
-                "Failed in Prefetching Rolling %d: Answer is %s, Prediction is %s, Pre-fetched is %s. ",
+                K.ROTATION_LOG,
                 miss["rolling"], miss["detail"][gold], miss["detail"]["p"], miss["detail"]["_opt"],
             ),
         )
-        .when(F.col("n_open") == 0, "Succeed During Pre-fetching")
+        .when(F.col("n_open") == 0, K.ROTATIONS_LOG)
         .otherwise(K.NO_JUDGE_LOG)
     )
     # The hit does without the log's columns: a report that drops the log has neither window nor texts in its plan.

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -11,13 +12,16 @@ from check import canonical, compare
 from evalspark.catalog import REGISTRY
 from evalspark.catalog.base import TABLES
 from evalspark.functions import messages as M
+from evalspark.operators import replies as RP
 from evalspark.operators import scorers as SC
 from evalspark.plans import answer_reports as AR
 from evalspark.plans import choice_reports as R
 from evalspark.plans import evaluate as EV
 from evalspark.plans import grouping as G
 from evalspark.plans import judged_reports as JR
+from evalspark.plans import run_matrix as RM
 from evalspark.plans import run_reports as RR
+from evalspark.sources import ordered as OR
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -196,8 +200,47 @@ def test_registered_query_matches_its_sql(spark, name):
     assert compare(canonical(q(spark, SMALL).toPandas()), canonical(con.execute(q.oracle).df())) == "ok"
 
 
+def test_run_matrix_reads_each_table_once(spark):
+    plan = REGISTRY["evaluate_all_runs"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    read = [re.sub(r"#\d+L?", "", line[line.index("Relation ["):]) for line in plan.splitlines() if "Relation [" in line]
+    assert len(read) >= 4 and len(read) == len(set(read)), read
+
+
+def test_run_matrix_leaves_unknown_data_sets_out(spark):
+    rows = [("m", "known", "Yes", "Yes", "c"), ("m", "known", "No", "Yes", "c"), ("m", "other", "Yes", "Yes", "c"), ("n", "known", None, "No", None)]
+    df = spark.createDataFrame(rows, "model string, dataset string, prediction string, answer string, category string")
+    kinds = spark.createDataFrame([("known", "yes_no", "Y/N")], "dataset string, family string, kind string")
+    got = {(r.model, r.level, r.key): (r.n, r.score, r.judge) for r in RM.evaluate_all(df, kinds).collect()}
+    assert got == {("m", "overall", "Overall"): (2, 50.0, "chatgpt-0125"), ("m", "category", "c"): (2, 50.0, "chatgpt-0125"), ("n", "overall", "Overall"): (1, 0.0, "chatgpt-0125")}
+
+
+def test_order_is_proved_by_the_manifest(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.randrange(300), f"t{i}") for i in range(2000)] + [(None, "none")]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(5)
+    files = OR.write_ordered(df, f"{tmp_path}/t", ["k", "text"], files=6).collect()
+    assert len(files) > 1 and all(f.in_order for f in files) and sum(f.n for f in files) == len(rows)
+    got = OR.read_ordered(spark, f"{tmp_path}/t").orderBy("row_no").collect()
+    assert [r.row_no for r in got] == list(range(len(rows)))
+    assert [(r.k, r.text) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    # A manifest of files that overlap is refused.
+    df.repartition(3).sortWithinPartitions("k").write.parquet(f"{tmp_path}/u")
+    back = spark.read.parquet(f"{tmp_path}/u").select(F.col("_metadata.file_name").alias("file"), F.struct("k").alias("k"))
+    back.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("least"), F.max("k").alias("greatest")).write.parquet(OR.manifest_path(f"{tmp_path}/u"))
+    with pytest.raises(ValueError):
+        OR.read_ordered(spark, f"{tmp_path}/u")
+
+
+def test_dialogues_by_turn(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"], ["x"], ["p", "q"]), (2, [], ["x"], ["p"])], "idx int, question array<string>, answer array<string>, prediction array<string>")
+    got = RP.explode_dialogues(df, ["idx"]).orderBy("turn").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "a", "x", "p"), (1, 1, "b", None, "q"), (1, 2, "c", None, None)]
+    asked = RP.dialogue_requests(RP.explode_dialogues(df, ["idx"]), ["idx"])
+    assert asked.count() == 3 and asked.where(~F.contains("prompt", F.lit("Question: "))).isEmpty()
+
+
 def test_covered_text_report_takes_every_line(spark):
-    """All lines are blanks, long ones too, and some are not found word for word."""
+    """All lines are blanks, long ones too, and all of them are changed; few are still found word for word."""
     texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
     got = REGISTRY["covered_text_report"](spark, SMALL).first()
     assert got.n == sum(line.strip() != "" for text in texts for line in (text or "").split("\n"))
