@@ -11,7 +11,10 @@ from evalspark.catalog import fixtures as FX
 from evalspark.catalog.base import Source, query, with_view
 from evalspark.functions import answers as A
 from evalspark.functions import prompts as P
+from evalspark.operators import expand as E
 from evalspark.operators import keys as OK
+from evalspark.operators import scorers as SC
+from evalspark.sources import preparation as PR
 from evalspark.sources import tables as TB
 
 
@@ -120,3 +123,48 @@ def judge_text_digests(src: Source) -> DataFrame:
         "video": P.video_judge("question", "answer", "prediction"), "document": P.document_judge("question", "prediction"),
     }
     return src.view(FX.MCQ).select("model", "idx", *[F.md5(v.cast("binary")).alias(k) for k, v in texts.items()])
+
+
+@query("""SELECT o_orderkey AS "index", o_custkey AS k, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey - 1 AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END || '.jpg' AS image_path FROM orders""")
+def image_paths(src: Source) -> DataFrame:
+    """The file of each row's image in place of its payload: its own, or that of the row its cell names."""
+    cell = F.when(F.col("o_orderkey") % 3 == 1, (F.col("o_orderkey") - 1).cast("string")).otherwise(F.repeat(F.lit("x"), F.lit(70)))
+    return PR.localise_paths(src.table("orders").select(F.col("o_orderkey").alias("index"), F.col("o_custkey").alias("k"), cell.alias("image")))
+
+
+@query("""SELECT c_custkey, CAST(i AS INT) AS place, 'b' || (c_custkey % 5 + i) AS item FROM customer, LATERAL (SELECT unnest(range(0, 1 + c_custkey % 3)) AS i)""")
+def exploded_lists(src: Source) -> DataFrame:
+    """Items of comma lists with their places."""
+    key = F.col("c_custkey")
+    items = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), key % 3), lambda i: F.concat(F.lit("b"), key % 5 + i)), ",")
+    return E.explode_list(src.table("customer").select("c_custkey", items.alias("items")), "items", "item", "place").drop("items")
+
+
+@query("""SELECT e.event_type AS task_type, CASE e.event_type WHEN 'click' THEN NULL ELSE 'files/' || e.event_type END AS prefix, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS total
+    FROM events e GROUP BY ALL""")
+def task_map(src: Source) -> DataFrame:
+    """Items of a ``task -> list`` document beside the path prefix of their task; a task without one has none."""
+    item = F.struct(F.col("user_id").cast("string").alias("video"), F.col("event_type").alias("question"), F.col("user_id").alias("answer"), F.array("event_type").alias("candidates"))
+    # One document per user and type, as such a file holds a part of the items.
+    documents = src.table("events").groupBy("user_id", "event_type").agg(F.collect_list(item).alias("items"))
+    root = F.when(F.col("event_type") != "click", F.create_map("event_type", F.concat(F.lit("files/"), "event_type"))).otherwise(F.create_map(F.lit("none"), F.lit("files")))
+    rows = PR.task_map_table(documents.select(root.alias("root"), F.create_map("event_type", "items").alias("meta")))
+    return rows.groupBy("task_type", "prefix").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("answer").cast("bigint")).alias("total"))
+
+
+@query(with_view(FX.MCQ, """, v AS (SELECT *, CASE idx % 3 WHEN 0 THEN 8 ELSE 16 END || 'frame_' || CASE WHEN idx % 2 = 0 THEN 'pack' ELSE 'nopack' END || '_' || CASE WHEN idx % 5 = 0 THEN 'subs' ELSE 'nosubs' END AS variant FROM fx)
+    SELECT model, variant, count(*) AS n, min(idx) AS first FROM v GROUP BY ALL"""))
+def run_variants(src: Source) -> DataFrame:
+    """Results written to one folder per model, data set and variant of a video run, and read back by it."""
+    rows = src.view(FX.MCQ).select("model", "idx", "prediction", F.lit("video").alias("dataset"))
+    variant = TB.run_variant(F.when(F.col("idx") % 3 == 0, 8).otherwise(16), F.col("idx") % 2 == 0, F.col("idx") % 5 == 0)
+    path = session.new_table_path(src.spark, "variants")
+    TB.write_results(rows.withColumn("variant", variant), path)
+    return src.spark.read.parquet(path).groupBy("model", "variant").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
+
+
+@query(with_view(FX.JUDGED, f""" SELECT idx, '{",".join(d for d in K.DIALOGUE_DIMENSIONS if d not in ("Creativity", "Richness"))}' AS missing FROM fx"""))
+def missing_dimensions(src: Source) -> DataFrame:
+    """Dimensions that a judge's reply leaves out."""
+    scored = SC.score_judged_dimensions(src.view(FX.JUDGED), "dims_reply")
+    return scored.select("idx", F.array_join(SC.missing_dimensions(F.col("dims")), ",").alias("missing"))

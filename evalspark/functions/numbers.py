@@ -19,6 +19,17 @@ def parse_int(c: Column | str) -> Column:
     return F.when(bare.rlike(_INT), F.replace(bare, F.lit("_"), F.lit("")).try_cast("bigint"))
 
 
+def same_int(a: Column | str, b: Column | str) -> Column:
+    """Whether two texts are the same whole number, however long; NULL where one is none."""
+    def plain(c: Column | str) -> Column:
+        bare = F.replace(T.strip(T.col(c)), F.lit("_"), F.lit(""))
+        digits = F.ltrim(F.ltrim(bare, F.lit("+-")), F.lit("0"))
+        signed = F.when(bare.startswith("-") & (digits != ""), F.concat(F.lit("-"), digits)).otherwise(digits)
+        return F.when(T.strip(T.col(c)).rlike(_INT), signed)
+
+    return plain(a) == plain(b)
+
+
 def parse_float(c: Column | str) -> Column:
     """``float(text)``, NULL where that fails."""
     bare = T.strip(T.col(c))

@@ -227,7 +227,7 @@ def prefetch_maths(df: DataFrame) -> DataFrame:
     number = N.parse_float("prediction")
     value = (
         F.when(F.col("question_type") == "multi_choice", _maths_option("prediction"))
-        .when((F.col("answer_type") == "integer") & (N.parse_int("prediction") == N.parse_int("answer")),
+        .when((F.col("answer_type") == "integer") & (N.same_int("prediction", "answer")),
               F.nullif(N.parse_int("prediction"), F.lit(0)).cast("string"))
         .when((F.col("answer_type") == "float") & (number == N.parse_float("answer")) & (number != 0), F.col("prediction"))
     )
@@ -242,7 +242,7 @@ def score_maths(df: DataFrame, strict: bool = False) -> DataFrame:
     text_hit = (T.strip(F.col("res")) == T.strip(F.col("answer"))) if strict else (F.col("answer") == "None")
     hit = (
         F.when(F.col("question_type") == "multi_choice", _maths_option("res") == F.col("answer_option"))
-        .when(F.col("answer_type") == "integer", N.parse_int("res") == N.parse_int("answer"))
+        .when(F.col("answer_type") == "integer", N.same_int("res", "answer"))
         .when(F.col("answer_type") == "float", N.parse_float("res") == N.parse_float("answer"))
         .otherwise(text_hit)
     )

@@ -87,17 +87,23 @@ def tables(df: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
 
 
 def documents(df: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
-    """F1 over answerable rows, accuracy, and mean score per evidence source and page count (one pass)."""
-    sources = T.list_or_empty("evidence_sources")
-    pages = F.size(T.list_or_empty("evidence_pages"))
+    """F1 over answerable rows, accuracy, and mean score per evidence source and page count.
+
+    Rows are summed to distinct list cells first, so each cell is parsed once and not for each measure of each row.
+    """
+    answerable = {"_gold": F.col("answer") != K.NOT_ANSWERABLE, "_pred": F.col("pred") != K.NOT_ANSWERABLE}
+    cells = df.groupBy(*by, "evidence_sources", "evidence_pages", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in answerable.items()]).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("score").alias("_s"))
+    parsed = cells.select(*by, "_n", "_s", *answerable, T.list_or_empty("evidence_sources").alias("_sources"), F.size(T.list_or_empty("evidence_pages")).alias("_pages"))
+    pages = F.col("_pages")
     conditions = {"overall_acc": F.lit(True)}
-    conditions |= {name: F.array_contains(sources, source) for name, source in K.EVIDENCE_SOURCES.items()}
+    conditions |= {name: F.array_contains("_sources", source) for name, source in K.EVIDENCE_SOURCES.items()}
     conditions |= {"single-page": pages == 1, "multi-page": pages > 1, "unanswerable": pages == 0}
-    conditions |= {"_gold": F.col("answer") != K.NOT_ANSWERABLE, "_pred": F.col("pred") != K.NOT_ANSWERABLE}
+    conditions |= {name: F.col(name) for name in answerable}
     aggregates = []
     for name, test in conditions.items():
-        aggregates += [F.count_if(test).alias(f"n {name}"), F.sum(F.when(test, F.col("score"))).alias(f"s {name}")]
-    totals = df.groupBy(*by).agg(*aggregates)
+        aggregates += [F.coalesce(F.sum(F.when(test, F.col("_n"))), F.lit(0)).alias(f"n {name}"), F.sum(F.when(test, F.col("_s"))).alias(f"s {name}")]
+    totals = parsed.groupBy(*by).agg(*aggregates)
 
     def mean(name: str) -> Column:
         return F.coalesce(F.try_divide(F.col(f"`s {name}`"), F.col(f"`n {name}`")), F.lit(0.0))

@@ -196,3 +196,8 @@ def test_similarity_thresholds(column):
 
 def test_list_cells(column):
     assert column(T.to_list("x"), ["['a', \"b\"]", "plain", "[oops", '["x"]']) == [["a", "b"], ["plain"], ["[oops"], ["x"]]
+
+
+def test_whole_numbers_of_any_length(column):
+    pairs = [("12", "012"), ("1" * 30, "1" * 30), ("1" * 30, "1" * 29 + "2"), ("-0", "0"), ("-5", "5"), ("+7", " 7 "), ("1_000", "1000"), ("x", "x"), ("-" + "9" * 25, "-00" + "9" * 25)]
+    assert column(N.same_int("a", "b"), pairs, "a string, b string") == [True, True, False, True, False, True, True, None, True]
