@@ -8,9 +8,11 @@ chance that different hashes have equal registers), and links are confirmed on t
 
 No pairs within a group are listed.  Texts with the same set are one node.  First each node of a band is compared with the band's
 first node; linked nodes form components.  Then only bands whose nodes are still in several components are looked at again: nodes
-outside the first node's component against the band's nodes, block by block, all pairs of different components within two blocks at
-a time inside a task; only pairs whose estimate is close enough leave it and are confirmed.  Components are found by passing on the
-least name and skipping along names, one written table per round.
+outside the first node's component ask the band's nodes, block by block inside a task.  A node names its best other whose estimate is
+close enough, which is confirmed; linked components are merged, and those that still meet ask again, for four times as many others
+in each round, until none has anyone left to ask: near copies become one component in a few rounds, and every close pair of
+components that stay apart has been confirmed or refused on the full sets.  Components are found by passing on the least name and skipping
+along names, one written table per round.
 
 Cases: null texts, empty texts and texts without words have the empty set and are linked with nothing; texts of fewer words than a
 shingle have one shingle, all their words; repeated rows share a component; rows without an id count as greatest, and a component of
@@ -139,7 +141,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, text: str, width: int, similarity: int) -> DataFrame:
-    """Pairs ``a, b`` whose full sets are similar enough.  ``docs``: ``node, <text>``, one row per node."""
+    """Pairs ``a, b`` whose full sets are similar enough.  ``docs``: ``node, <text>``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +160,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, width: int, similarity
         return pa.array(out, pa.bool_())
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    full = materialise(docs.join(wanted, "node", "left_semi").select("node", F.col(text).alias("body")).mapInArrow(sets, "node binary, shingles binary"), "sets")
+    # One text of each node: of repeated rows any will do.
+    once = docs.join(wanted, "node", "left_semi").select("node", F.col(text).alias("body")).dropDuplicates(["node"])
+    full = materialise(once.mapInArrow(sets, "node binary, shingles binary"), "sets")
     first = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
     both = first.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
     return both.filter(similar("left", "right")).select("a", "b")
@@ -179,10 +183,10 @@ def components(links: DataFrame) -> DataFrame:
             return names
 
 
-def _again(bands: DataFrame, nodes: DataFrame, names: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of different components that share a band with several of them and whose estimate is close enough.
+def _again(bands: DataFrame, nodes: DataFrame, names: DataFrame, similarity: int, most: int) -> DataFrame:
+    """``a, b, more``: pairs of different components that share a band with several of them and whose estimate is close enough.
 
-    Registers are fetched for nodes of such bands only.
+    Each asking node names its ``most`` best others in each block; ``more`` tells that it has others.  Registers are fetched for nodes of such bands only.
     """
     named = bands.join(names, "node", "left").select("band", "band_no", "node", F.coalesce("component", "node").alias("component"))
     groups = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("node", "component")).alias("first"), F.count("*").alias("n"))
@@ -193,11 +197,11 @@ def _again(bands: DataFrame, nodes: DataFrame, names: DataFrame, similarity: int
     # One task's share: blocks of bands, first the block's own nodes, then those that ask, streamed.
     spread = own.unionByName(asks).select("band", "block", "asks", "band_no", F.xxhash64("component").alias("component"), "node", "n_shingles", "registers")
     sorted_rows = spread.repartition("band", "block").sortWithinPartitions("band", "block", "asks")
-    pairs = sorted_rows.mapInArrow(_close_pairs(similarity), "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = sorted_rows.mapInArrow(_close_pairs(similarity, most), "a binary, b binary, more boolean")
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
 
 
-def _close_pairs(similarity: int):
+def _close_pairs(similarity: int, most: int):
     least = similarity / 100 - MARGIN
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +232,19 @@ def _close_pairs(similarity: int):
                 right = np.repeat(first[group[part]], count) + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
                 kept = (component[left] != component[right]) & (100 * np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]))
                 left, right = left[kept], right[kept]
-                close = estimate(own[left], own[right]) >= least
-                left, right = left[close], right[close]
+                near = estimate(own[left], own[right])
                 # A pair that an earlier band brings together as well is left to that band.
                 equal = ((own[left] == own[right]) & (own[left] != 0)).reshape(len(left), BANDS, BUCKETS // BANDS).all(2)
-                close = ~equal.any(1) | (equal.argmax(1) >= number[left])
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(left[close])).combine_chunks(), nodes.take(pa.array(right[close])).combine_chunks()], ["a", "b"])
+                close = np.flatnonzero((near >= least) & (~equal.any(1) | (equal.argmax(1) >= number[left])))
+                # An asking node's best others in this block come first; ties by the other's place.
+                close = close[np.lexsort((right[close], -near[close], left[close]))]
+                left, right = left[close], right[close]
+                begins = np.flatnonzero(np.append(True, left[1:] != left[:-1])) if len(left) else np.zeros(0, np.int64)
+                size = np.diff(np.append(begins, len(left)))
+                kept = np.arange(len(left)) - np.repeat(begins, size) < most
+                more = np.repeat(size > most, size)[kept]
+                left, right = left[kept], right[kept]
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(left)).combine_chunks(), nodes.take(pa.array(right)).combine_chunks(), pa.array(more)], ["a", "b", "more"])
             carried = table.filter(pa.array((group == group[-1]) & ~asks))
 
     return compared
@@ -255,12 +266,23 @@ def group_near(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     texts = docs.select(F.col(key), F.col(text)).join(single.select("node", F.col("first.id").alias("__id")), F.col(key).eqNullSafe(F.col("__id")))
     found = signed.select(F.col(key).alias("__key"), "node").distinct()
     texts = _texts_of(docs, signed, single, key, text, width) if found.groupBy("__key").count().filter("count > 1").limit(1).count() else texts.select("node", text)
-    links = materialise(confirm(materialise(stars, "stars"), texts, text, width, similarity), "links")
+    tried = materialise(stars, "stars")
+    links = materialise(confirm(tried, texts, text, width, similarity), "links")
     names = components(links)
-    more = materialise(_again(shared.select("band", "band_no", "node"), single.select("node", "n_shingles", "registers"), names, similarity), "pairs")
-    if not more.isEmpty():
-        links = materialise(links.unionByName(confirm(more, texts, text, width, similarity)), "links")
+    # Components that still meet in a band: each node asks its best other first, and four times as many in each further round, so that near
+    # copies become one component in a few rounds and no pairs are listed among them.  It ends when no node has anyone left to ask.
+    most = 1
+    while True:
+        asked = materialise(_again(shared.select("band", "band_no", "node"), single.select("node", "n_shingles", "registers"), names, similarity, most), "pairs")
+        new = asked.select("a", "b").join(tried, ["a", "b"], "left_anti")
+        if new.isEmpty() and asked.filter("more").isEmpty():
+            break
+        new = materialise(new, "asked")
+        tried = tried.unionByName(new)
+        found = confirm(new, texts, text, width, similarity)
+        links = materialise(links.unionByName(found), "links")
         names = components(links)
+        most *= 4
     named = single.select("node", "first").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("first").alias("id"))
     by_node = named.join(ids, "component").select("node", F.col("id.id").alias("component_id"))
