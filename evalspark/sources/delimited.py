@@ -5,7 +5,7 @@ the number of quotes: a line begins a record if an even number of quotes stands
 one row each; the sums before a split say how it begins, and inside a split the lines are counted on.  A record that goes on in the next split is
 put together by the number of its first line.  Records are then parsed one by one.
 
-Both shuffles spread by split and record, so one file of any size is read by as many tasks as it has splits.  Only a record must fit a task.
+Lines are dealt by split, so one file of any size is read by as many tasks as it has splits.  Only a split and a record must fit a task.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from evalspark.operators.order import join_groups
-
 QUOTE = '"'
 
 
@@ -30,22 +28,26 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """``file, split, number, record``: whole records, the first of each file (its header) included; ``split`` and ``number`` are those of the first line."""
-    lines = numbered_lines(spark, path)
+    lines, place = numbered_lines(spark, path), ["file", "split"]
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    sums = lines.groupBy("file", "split").agg(F.sum("quotes").alias("_q"))
-    opened = sums.select("file", "split", F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("file", "split").orderBy("at")
-    counted = join_groups(lines, opened, ["file", "split"]).withColumn("_open", F.col("_before") + F.sum("quotes").over(inside) - F.col("quotes"))
-    starts = (F.col("_open") % 2 == 0).cast("long")
-    numbered = counted.withColumn("number", F.sum(starts).over(inside))
+    sums = lines.groupBy(*place).agg(F.sum("quotes").alias("_q"))
+    opened = sums.select(*place, F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*place).orderBy("at")
+    counted = lines.join(opened, place).withColumn("_open", F.col("_before") + F.sum("quotes").over(inside) - F.col("quotes"))
+    numbered = counted.withColumn("number", F.sum((F.col("_open") % 2 == 0).cast("long")).over(inside))
     # Lines at the head of a split that no start is before belong to the last record of the nearest split that has one.
-    last = numbered.groupBy("file", "split").agg(F.max("number").alias("_n"))
+    last = numbered.groupBy(*place).agg(F.max("number").alias("_n"))
     carried = F.last(F.when(F.col("_n") > 0, F.struct(F.col("split").alias("split"), F.col("_n").alias("number"))), ignorenulls=True).over(before)
-    whose = join_groups(numbered, last.select("file", "split", carried.alias("_last")), ["file", "split"])
+    whose = numbered.join(last.select(*place, "_n", carried.alias("_last")), place)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
+    # All of this is dealt by split, so lines are shuffled once; only what stands at the ends of splits moves again.
+    pieces = whose.groupBy(*place, "number").agg(joined.alias("record"), F.first("_n").alias("_n"), F.first("_last").alias("_last"))
+    inner = pieces.where((F.col("number") > 0) & (F.col("number") < F.col("_n"))).select(*place, "number", "record")
     own = F.when(F.col("number") > 0, F.struct("split", "number")).otherwise(F.col("_last"))
-    pieces = whose.select("file", own.alias("_r"), F.struct("split", "at", "line").alias("_l"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("_l")), lambda x: x["line"]), "\n")
-    return pieces.groupBy("file", F.col("_r.split").alias("split"), F.col("_r.number").alias("number")).agg(joined.alias("record"))
+    ends = pieces.where((F.col("number") == 0) | (F.col("number") == F.col("_n"))).select("file", own.alias("_r"), F.struct("split", "number", "record").alias("_p"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["record"]), "\n")
+    put = ends.groupBy("file", F.col("_r.split").alias("split"), F.col("_r.number").alias("number")).agg(whole.alias("record"))
+    return inner.unionByName(put)
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str, schema: ST.StructType | str | None = None) -> DataFrame:
