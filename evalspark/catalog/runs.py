@@ -189,7 +189,7 @@ def judged_failure_scan(src: Source) -> DataFrame:
 
 
 #: Data set -> family and task kind; a table of its own in real use, here as many rows as there are data sets.
-_DATASETS = {
+_FAMILIES = {
     "choices": ("choice", "MCQ"), "yes-no": ("yes_no", "Y/N"), "MMVet-like": ("judged_unit", "VQA"), "MMBench-Video-like": ("judged_integer", "Video-VQA"),
     "consensus": ("vqa_consensus", "VQA"), "anls": ("vqa_anls", "VQA"), "exact": ("vqa_exact", "VQA"), "contained": ("containment", "VQA"),
     "charts": ("vqa_relaxed", "VQA"), "facts": ("table_truth", "VQA"), "MMLongBench-like": ("document_anls", "VQA"), "SLIDEVQA-like": ("slides", "VQA"),
@@ -221,7 +221,7 @@ _MATRIX = f"""WITH a AS (SELECT *, CASE idx % 10 WHEN 0 THEN 'MMVet-like' WHEN 1
         CAST(coalesce(a = CAST(g AS DOUBLE) OR b = CAST(g AS DOUBLE), false) AS INT)::DOUBLE]) AS v FROM fin)),
     l AS (SELECT model, dataset, measure, 'overall' AS level, 'Overall' AS key, v, k FROM r UNION ALL SELECT model, dataset, measure, 'category', category, v, k FROM r
       UNION ALL SELECT model, dataset, measure, 'l2_category', l2_category, v, k FROM r WHERE l2_category IS NOT NULL),
-    d AS (SELECT unnest({[name for name in _DATASETS]!r}) AS dataset, unnest({[f for f, _ in _DATASETS.values()]!r}) AS family, unnest({[k for _, k in _DATASETS.values()]!r}) AS kind)
+    d AS (SELECT unnest({[name for name in _FAMILIES]!r}) AS dataset, unnest({[f for f, _ in _FAMILIES.values()]!r}) AS family, unnest({[k for _, k in _FAMILIES.values()]!r}) AS kind)
     SELECT model, dataset, family, CASE WHEN kind IN ('MCQ', 'Y/N') THEN 'chatgpt-0125' WHEN dataset IN ('MMVet-like', 'MMBench-Video-like') THEN 'gpt-4-turbo'
       WHEN dataset IN ('MMLongBench-like', 'SLIDEVQA-like') THEN 'gpt-4o' END AS judge, measure, level, key, count(v) AS n, round(sum(v)::DOUBLE / nullif(count(v), 0) * any_value(k), 9) AS score
     FROM l JOIN d USING (dataset) WHERE key IS NOT NULL GROUP BY ALL"""
@@ -250,5 +250,5 @@ def evaluate_all_runs(src: Source) -> DataFrame:
     table = choices.select(*keep, "l2_category", *"ABCD", "reply")
     for more in (yes_no.select(*keep, "l2_category"), words.select(*keep), pages.select(*keep)):
         table = table.unionByName(more, allowMissingColumns=True)
-    datasets = src.spark.createDataFrame([(name, *v) for name, v in _DATASETS.items()], "dataset string, family string, kind string")
+    datasets = src.spark.createDataFrame([(name, *v) for name, v in _FAMILIES.items()], "dataset string, family string, kind string")
     return RM.evaluate_all(table, datasets).withColumn("score", F.round("score", 9))

@@ -139,6 +139,11 @@ def test_leaderboard(spark):
     assert RR.leaderboard(reports, metrics).first().asDict() == {"model": "m1", "a": 50.0, "b": 7.0, "c": None}
 
 
+def test_missing_matrix_lists_priorities(spark):
+    rows = REGISTRY["missing_matrix"](spark, SMALL).select("dataset").distinct().collect()
+    assert {r.dataset for r in rows} <= {"1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "RUSH"}
+
+
 def test_specs_score_prompt_and_report(spark):
     rows = [("m", "d", 1, "What?", "red", "blue", "A", "Answer: B or Answer: A", "c", "x.jpg")]
     df = spark.createDataFrame(rows, "model string, dataset string, index bigint, question string, A string, B string, answer string, prediction string, category string, image_path string")
