@@ -494,6 +494,18 @@ def test_language_model_sums_to_one(spark):
         assert abs(total + unknown - 1) < 0.15  # tables moved since the totals were summed
 
 
+def test_language_model_totals_travel_packed(spark):
+    docs = spark.createDataFrame([(f"a b c w{i} w{i % 7}",) for i in range(300)], "body string")
+    counts, history, buckets = language_model.train(docs, 1)
+    sums = [language_model._sums_of(language_model.Seating(row, row.bucket)) for row in counts.toPandas().itertuples()]
+    # One row per bucket, whatever the number of restaurants.
+    assert len(sums) <= buckets
+    total = sum(sums)
+    assert (history[0].tokens, history[0].words) == tuple(total[:2])
+    assert history[0].customers[0][0] == total[2] and history[0].tables[0][0] == total[3]
+    assert history[0].customers[2].sum() == history[0].tokens == 300 * 6
+
+
 def test_language_model_edges(spark, empty):
     rows = [(1, "a b"), (2, None), (2, ""), (None, "c d e f"), (3, "a b a b"), (3, "a b a b")]
     docs = spark.createDataFrame(rows, SCHEMA)
