@@ -4,11 +4,13 @@ Each micro-batch is scored, reduced to sums and appended under its batch number;
 overwrites its own folder, so the report counts every row once.
 
 :func:`corrections` keeps the latest answer to each key for as long as the watermark allows it to be corrected: a later answer takes the sums of
-the earlier one back.  State is as large as the keys of one ``delay``, however long the stream runs.
+the earlier one back.  State is as large as the keys of one ``delay``, however long the stream runs;
+keys share a state by their hash.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -20,6 +22,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evalspark.plans import grouping as G
 
+#: Groups of keys whose newest answers are one state: a call of Python costs as much as many keys.
+BUCKETS = 4_096
+
 
 def read_stream(spark: SparkSession, path: str, schema: ST.StructType, fmt: str = "parquet", files_per_batch: int = 100,
                 names: str | None = None) -> DataFrame:
@@ -43,31 +48,38 @@ def corrections(scored: DataFrame, keys: Sequence[str], event_time: str, tie: st
     """
     chosen = scored.select(*keys, event_time, tie, *[c for c in columns if c not in keys]).withWatermark(event_time, f"{delay_ms} milliseconds")
     kinds = {f.name: f.dataType for f in chosen.schema}
-    state = ST.StructType([ST.StructField("at", ST.LongType()), ST.StructField("tie", ST.LongType()), *[ST.StructField(f"v{i}", kinds[c]) for i, c in enumerate(columns)]])
+    state = ST.StructType([ST.StructField("held", ST.BinaryType())])
     output = ST.StructType([*[ST.StructField(c, kinds[c]) for c in columns], ST.StructField("sign", ST.IntegerType())])
 
-    def native(value):
-        return None if value is None or value is pd.NA or value != value else value.item() if hasattr(value, "item") else value
+    def values(frame: pd.DataFrame, names: Sequence[str]) -> Iterator[tuple]:
+        plain = lambda c: [None if x is None or x is pd.NA or x != x else x for x in frame[c].tolist()]
+        return zip(*[plain(c) for c in names], strict=True)
 
     def newest(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        if kept.hasTimedOut:
-            kept.remove()
-            return
-        before = kept.get if kept.exists else None
-        best = before
-        for frame in frames:
-            frame = frame.assign(_at=frame[event_time].astype("datetime64[us]").astype("int64"))
-            row = frame.sort_values(["_at", tie]).iloc[-1]
-            if best is None or (int(row["_at"]), int(row[tie])) > tuple(best[:2]):
-                best = (int(row["_at"]), int(row[tie]), *[native(row[c]) for c in columns])
-        if best is not before:
-            kept.update(best)
-            signed = [(*before[2:], -1)] if before is not None else []
-            yield pd.DataFrame([*signed, (*best[2:], 1)], columns=[*columns, "sign"])
+        mark = kept.getCurrentWatermarkMs()
+        # Key -> time and number of its newest answer, until when it can be corrected, and what was counted.
+        held = pickle.loads(kept.get[0]) if kept.exists else {}
+        before = {}
+        for frame in () if kept.hasTimedOut else frames:
+            at = frame[event_time].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            for name, when, number, counted in zip(values(frame, keys), at, frame[tie].tolist(), values(frame, columns), strict=True):
+                old = held.get(name)
+                if old is None or (when, number) > old[:2]:
+                    before.setdefault(name, old)
+                    held[name] = (when, number, max(when // 1000, mark) + delay_ms, counted)
+        signed = [(*old[3], -1) for old in before.values() if old is not None] + [(*held[name][3], 1) for name in before]
         # Never behind the watermark, which must not be passed when a time is set.
-        kept.setTimeoutTimestamp(max(best[0] // 1000, kept.getCurrentWatermarkMs()) + delay_ms)
+        held = {name: x for name, x in held.items() if x[2] >= mark}
+        if held:
+            kept.update((pickle.dumps(held),))
+            kept.setTimeoutTimestamp(min(x[2] for x in held.values()))
+        elif kept.exists:
+            kept.remove()
+        if signed:
+            yield pd.DataFrame(signed, columns=[*columns, "sign"])
 
-    return chosen.groupBy(*keys).applyInPandasWithState(newest, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = chosen.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))).groupBy("_bucket")
+    return grouped.applyInPandasWithState(newest, output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sum_corrections(

@@ -100,6 +100,19 @@ def test_corrections_and_expiry(spark, tmp_path):
     assert held[0] == 50 and max(held[1:]) <= 3 and held[-1] <= 2
 
 
+def test_corrections_share_states(spark, tmp_path):
+    """Keys share a bounded number of states, as each costs a call; a bucket's keys are corrected apart."""
+    for step, hit in enumerate((1, 0)):
+        df = spark.range(0, 3 * INC.BUCKETS, 1 + step).selectExpr("'m' AS model", "id AS idx", f"id + {step * 100_000} AS tie", f"{hit} AS hit", f"timestamp_seconds({10**9 + step}) AS ts")
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        signed = INC.corrections(INC.read_stream(spark, f"{tmp_path}/in", df.schema, files_per_batch=1000), ["model", "idx"], "ts", "tie", ["model", "hit"])
+        query = INC.sum_corrections(signed, f"{tmp_path}/out", f"{tmp_path}/checkpoint", by=("model",))
+        query.awaitTermination()
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= INC.BUCKETS
+    report = INC.running_report(spark, f"{tmp_path}/out", by=("model",)).first()
+    assert (report["n"], report["score"]) == (3 * INC.BUCKETS, 0.5)
+
+
 def test_spans_of_any_length(spark):
     """Spans of 100 hours beside short ones: few pieces, and the first in file order."""
     day = 86_400_000
