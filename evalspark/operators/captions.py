@@ -1,4 +1,4 @@
-"""Caption metrics over whole texts: BLEU, ROUGE-L and CIDEr for each run, all in Spark expressions.
+"""Caption metrics over whole texts: BLEU, ROUGE-L and CIDEr for each run, in Spark expressions; repeats within a text are counted by numpy.
 
 The runs of one to four words of a text are made once, where the row is, as arrays of 64-bit digests (two different ones of a row of 100,000
 words are taken for one with a probability of about 1e-9).  BLEU and whatever of CIDEr needs only the row are sums over those arrays.  Across
@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +41,27 @@ def gram_digests(words: Column) -> Column:
     return T.let(F.transform(words, lambda w: F.xxhash64(w)), lambda ones: grown([ones]))
 
 
-def _run_lengths(items: Column, value: Column, add) -> Column:
-    """``add(value, n)`` over the lengths of runs of equal neighbours of a sorted array, from the empty one on."""
-    start = F.struct(value.alias("value"), F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("long").alias("n"))
+def gram_counts(grams: Column | str) -> Column:
+    """For each array of digests of a text: different ones, all, how often the most frequent stands, and the sum of the squares of these numbers."""
 
-    def step(state: Column, x: Column) -> Column:
-        same = x == state["last"]
-        return F.struct(
-            F.when(same, state["value"]).otherwise(add(state["value"], state["n"])).alias("value"), x.alias("last"),
-            F.when(same, state["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"),
-        )
+    @F.arrow_udf("array<struct<grams:bigint,total:bigint,most:bigint,squares:bigint>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        orders = texts.flatten()
+        sizes = pc.fill_null(pc.list_value_length(orders), 0).to_numpy(zero_copy_only=False)
+        values, order = orders.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+        sorted_by = np.lexsort((values, order))
+        values = values[sorted_by]
+        first = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (order[1:] != order[:-1])])) if len(values) else np.zeros(0, np.int64)
+        times, at = np.diff(np.append(first, len(values))), order[first]
+        most, squares = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        np.maximum.at(most, at, times)
+        np.add.at(squares, at, times * times)
+        columns = [np.bincount(at, minlength=len(sizes)), sizes.astype(np.int64), most, squares]
+        counts = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], ["grams", "total", "most", "squares"])
+        outer = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(outer)]), pa.int32()), counts)
 
-    return F.aggregate(F.array_sort(items), start, step, lambda state: add(state["value"], state["n"]))
+    return counted(grams)
 
 
 def caption_grams(df: DataFrame, keys: Sequence[str] = ("idx",), prediction: str = "prediction", references: str = "references") -> DataFrame:
@@ -133,7 +145,7 @@ def cider(counted: DataFrame, keys: Sequence[str] = ("idx",), by: Sequence[str]
         F.sum(F.least(F.col("h") * F.col("w"), value) * value).alias("dot"),
     )
     found = sums.groupBy(*keys).agg(F.collect_list(F.struct("order", "text", "norm", "dot")).alias("sums"))
-    squares = F.transform("hyp", lambda grams: _run_lengths(grams, F.lit(0).cast("long"), lambda total, n: total + n * n).cast("double"))
+    squares = F.transform(gram_counts("hyp"), lambda c: c["squares"].cast("double"))
     length = lambda grams: F.size(F.get(grams, F.lit(0))).cast("long")
     rows = counted.select(*columns, squares.alias("squares"), length(F.col("hyp")).alias("hyp_len"), F.transform("refs", length).alias("ref_lens"))
     return join_groups(join_groups(rows, sizes, by), found, keys, "left").select(*keys, _cider_of_sums().alias("cider"))
@@ -234,11 +246,7 @@ def gram_profile(counted: DataFrame) -> DataFrame:
 
     A row adds up its own grams first, so one small row per text and order is grouped.
     """
-    def summed(texts: Column) -> Column:
-        return F.transform(texts, lambda orders: F.transform(orders, lambda g: F.struct(
-            F.size(F.array_distinct(g)).cast("long").alias("grams"), F.size(g).cast("long").alias("total"),
-            _run_lengths(g, F.lit(0).cast("long"), lambda most, n: F.greatest(most, n)).alias("most"))))
-
-    texts = counted.select(F.posexplode(summed(F.concat(F.array("hyp"), F.col("refs")))).alias("text", "orders"))
-    rows = texts.select((F.col("text") - 1).alias("ref"), F.posexplode("orders").alias("at", "s")).select("ref", (F.col("at") + 1).alias("order"), "s.*").where("total > 0")
+    texts = counted.select(F.posexplode(F.concat(F.array("hyp"), F.col("refs"))).alias("text", "grams"))
+    orders = texts.select((F.col("text") - 1).alias("ref"), gram_counts("grams").alias("orders"))
+    rows = orders.select("ref", F.posexplode_outer("orders").alias("at", "s")).select("ref", (F.col("at") + 1).alias("order"), "s.*").where("total > 0")
     return rows.groupBy("ref", "order").agg(F.sum("grams").alias("grams"), F.sum("total").alias("total"), F.max("most").alias("most"))

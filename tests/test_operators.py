@@ -113,6 +113,12 @@ def test_corrections_share_states(spark, tmp_path):
     assert (report["n"], report["score"]) == (3 * INC.BUCKETS, 0.5)
 
 
+def test_gram_counts(spark):
+    rows = [([[5, 1, 5, 5], [], [2]],), ([],), (None,), ([[1, 1], None],)]
+    got = spark.createDataFrame(rows, "grams array<array<bigint>>").select(CA.gram_counts("grams").alias("c")).collect()
+    assert [[tuple(x) for x in r.c] for r in got] == [[(2, 4, 3, 10), (0, 0, 0, 0), (1, 1, 1, 1)], [], [], [(1, 2, 2, 4), (0, 0, 0, 0)]]
+
+
 def test_spans_of_any_length(spark):
     """Spans of 100 hours beside short ones: few pieces, and the first in file order."""
     day = 86_400_000
