@@ -309,6 +309,25 @@ def test_blocks_of_long_texts_equal_the_matcher():
                 assert seeds.bound(*ends)[0] >= matched
 
 
+def test_blocks_of_short_texts_equal_the_matcher():
+    """Starts of a short blank are found once for all windows; runs over and under the length that is taken part by part."""
+    rng = random.Random(13)
+    for kinds in (2, 5, 30, 400):
+        for _ in range(25):
+            needle = "".join(chr(97 + rng.randrange(kinds)) for _ in range(rng.randint(1, 199)))
+            text = list(needle * 3)
+            for _ in range(rng.randint(0, 60)):
+                text[rng.randrange(len(text))] = chr(97 + rng.randrange(kinds))
+            reply = CV.Reply(text, "")
+            begins = CV.np.array([rng.randrange(len(text)) for _ in range(8)])
+            ends = CV.np.array([rng.randint(b + 1, len(text)) for b in begins.tolist()])
+            seeds = CV.Seeds.within(reply.text, CV.np.frombuffer(needle.encode("utf-32-le"), CV.np.uint32), begins, ends, reply.whole, needle)
+            for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+                matched = sum(b.size for b in SequenceMatcher(None, reply.whole[begin:end], needle).get_matching_blocks())
+                assert seeds.matched(begin, end, 0) == matched and seeds.matched(begin, end, matched) == matched
+                assert seeds.matched(begin, end, matched + 1) in (matched, -1)
+
+
 def test_common_subsequences_of_many_windows():
     rng = random.Random(13)
     text = CV.np.array([rng.randrange(6) for _ in range(400)], dtype=CV.np.uint32)
