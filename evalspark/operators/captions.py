@@ -2,7 +2,7 @@
 
 The runs of one to four words of a text are made once, where the row is, as arrays of 64-bit digests (two different ones of a row of 100,000
 words are taken for one with a probability of about 1e-9).  BLEU and whatever of CIDEr needs only the row are sums over those arrays.  Across
-rows only the references' grams are counted, per run; of a prediction's grams only those that some reference has go on from the join with
+rows only the references' grams are counted, per run, and once for all rows with the same references; of a prediction's grams only those that some reference has go on from the join with
 these counts, which Spark broadcasts where their size allows it.
 """
 
@@ -26,19 +26,105 @@ _SIGMA = 6.0
 _BETA = 1.2
 #: Bits of one number of a row of the common-subsequence table; sums of two and a carry stay positive.
 _BITS = 62
-
-
-def gram_digests(words: Column) -> Column:
-    """Digests of all runs of one, two, three and four words, as four arrays."""
-    def longer(shorter: Column, ones: Column, n: int) -> Column:
-        room = F.greatest(F.size(ones) - (n - 1), F.lit(0))
-        return F.zip_with(F.slice(shorter, 1, room), F.slice(ones, n, room), lambda head, word: F.xxhash64(head, word))
-
-    def grown(found: list[Column]) -> Column:
-        n = len(found) + 1
-        return F.array(*found) if n > MAX_ORDER else T.let(longer(found[-1], found[0], n), lambda more: grown([*found, more]))
-
-    return T.let(F.transform(words, lambda w: F.xxhash64(w)), lambda ones: grown([ones]))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_digests(texts: Column | str) -> Column:
+    """Digests of all runs of one, two, three and four words, as four arrays for each text of a row, from the digests of its words."""
+
+    @F.arrow_udf("array<array<array<bigint>>>")
+    def grown(rows: pa.Array) -> pa.Array:
+        texts = rows.flatten()
+        sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ones = texts.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ones))  # words from each one to the end of its text
+        found, counts, run = [], [], ones
+        for n in range(1, MAX_ORDER + 1):
+            if n > 1:
+                run = _scramble(run[:-1] * _STEP + ones[n - 1:]) if len(run) else run
+            found.append(run[left[:len(run)] >= n])
+            counts.append(np.maximum(sizes - (n - 1), 0))
+        # Order by order becomes text by text.
+        number = np.arange(len(sizes)) * MAX_ORDER
+        order = np.argsort(np.concatenate([np.repeat(number + n, c) for n, c in enumerate(counts)]), kind="stable")
+        values = np.concatenate(found)[order].view(np.int64)
+        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.array(counts).T.ravel())]), pa.int32()), pa.array(values))
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * MAX_ORDER, pa.int32()), inner)
+        outer = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(outer)]), pa.int32()), each)
+
+    return grown(texts)
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _shared(hyps: pa.Array, refs: pa.Array):
+    """For each row that has references: its number, the order of each distinct gram of them, the gram, and how often the prediction and each reference have it."""
+    orders, texts = hyps.flatten(), refs.flatten()
+    own, theirs = orders.flatten().to_numpy(zero_copy_only=False), texts.flatten().flatten().to_numpy(zero_copy_only=False)
+
+    def sizes(lists: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def edges(*levels: np.ndarray) -> np.ndarray:
+        """Where the values of each list begin, through the lists inside it."""
+        at = np.concatenate([[0], np.cumsum(levels[-1])])
+        for level in reversed(levels[:-1]):
+            at = at[np.concatenate([[0], np.cumsum(level)])]
+        return at
+
+    h_at = edges(sizes(hyps), sizes(orders))
+    n_texts, of_text, of_order = sizes(refs), sizes(texts), sizes(texts.flatten())
+    r_at, text_at = edges(n_texts, of_text, of_order), edges(of_text, of_order)
+    order = np.repeat(np.concatenate([np.arange(n) for n in of_text.tolist()]) if len(of_text) else of_text, of_order)
+    first_text = np.concatenate([[0], np.cumsum(n_texts)])
+    for row in np.flatnonzero(n_texts).tolist():
+        begin, end = r_at[row], r_at[row + 1]
+        grams, first, back = np.unique(theirs[begin:end], return_index=True, return_inverse=True)
+        mine = own[h_at[row]:h_at[row + 1]]
+        if len(grams):
+            place = np.searchsorted(grams, mine).clip(max=len(grams) - 1)
+            times = np.bincount(place[grams[place] == mine], minlength=len(grams))
+        else:
+            times = np.zeros(0, np.int64)
+        cuts = text_at[first_text[row]:first_text[row + 1] + 1] - begin
+        yield row, order[begin + first], grams, times, [np.bincount(back[x:y], minlength=len(grams)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def clipped_matches(hyp: Column | str, refs: Column | str) -> Column:
+    """For each order how many grams of the prediction some reference has, each counted as often as the reference with most of it."""
+
+    @F.arrow_udf("array<bigint>")
+    def clipped(hyps: pa.Array, refs: pa.Array) -> pa.Array:
+        found = np.zeros((len(hyps), MAX_ORDER), np.int64)
+        for row, order, _, own, theirs in _shared(hyps, refs):
+            np.add.at(found[row], order, np.minimum(own, np.max(theirs, axis=0)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(hyps) + 1) * MAX_ORDER, pa.int32()), pa.array(found.ravel()))
+
+    return clipped(hyp, refs)
+
+
+def shared_grams(hyp: Column | str, refs: Column | str) -> Column:
+    """Grams that a prediction has in common with each of its references, and how often both have them."""
+    fields = ["order", "text", "gram", "own", "theirs"]
+
+    @F.arrow_udf("array<struct<order:bigint,text:bigint,gram:bigint,own:bigint,theirs:bigint>>")
+    def shared(hyps: pa.Array, refs: pa.Array) -> pa.Array:
+        parts, counts = [np.zeros((5, 0), np.int64)], np.zeros(len(hyps), np.int64)
+        for row, order, grams, own, theirs in _shared(hyps, refs):
+            for text, times in enumerate(theirs):
+                both = np.flatnonzero((own > 0) & (times > 0))
+                if len(both):
+                    parts.append(np.array([order[both], np.full(len(both), text), grams[both], own[both], times[both]]))
+                    counts[row] += len(both)
+        columns = [pa.array(c) for c in np.concatenate(parts, axis=1)]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays(columns, fields))
+
+    return shared(hyp, refs)
 
 
 def gram_counts(grams: Column | str) -> Column:
@@ -48,15 +134,15 @@ def gram_counts(grams: Column | str) -> Column:
     def counted(texts: pa.Array) -> pa.Array:
         orders = texts.flatten()
         sizes = pc.fill_null(pc.list_value_length(orders), 0).to_numpy(zero_copy_only=False)
-        values, order = orders.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
-        sorted_by = np.lexsort((values, order))
-        values = values[sorted_by]
-        first = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (order[1:] != order[:-1])])) if len(values) else np.zeros(0, np.int64)
-        times, at = np.diff(np.append(first, len(values))), order[first]
-        most, squares = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        np.maximum.at(most, at, times)
-        np.add.at(squares, at, times * times)
-        columns = [np.bincount(at, minlength=len(sizes)), sizes.astype(np.int64), most, squares]
+        values, edges = orders.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        different, most, squares = (np.zeros(len(sizes), np.int64) for _ in range(3))
+        # One short sort for each array; one sort of a whole batch takes several times as long.
+        for n in np.flatnonzero(sizes).tolist():
+            each = np.sort(values[edges[n]:edges[n + 1]])
+            last = np.flatnonzero(each[1:] != each[:-1])
+            times = np.diff(last, prepend=-1, append=len(each) - 1)
+            different[n], most[n], squares[n] = len(times), times.max(), times @ times
+        columns = [different, sizes.astype(np.int64), most, squares]
         counts = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], ["grams", "total", "most", "squares"])
         outer = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(outer)]), pa.int32()), counts)
@@ -70,8 +156,10 @@ def caption_grams(df: DataFrame, keys: Sequence[str] = ("idx",), prediction: str
     Rows are spread by their keys first.  The result is written once to the shared folder, as each metric reads it several times.
     """
     rows = df.select(*keys, T.as_text(prediction).alias("_h"), F.col(references).alias("_r")).repartition(*keys)
-    grams = rows.select(*keys, gram_digests(T.words("_h")).alias("hyp"), F.transform("_r", lambda r: gram_digests(T.words(r))).alias("refs"))
-    return materialise(grams, "grams")
+    # One call for all texts of a row: its prediction and then its references.
+    texts = rows.select(*keys, F.transform(F.concat(F.array("_h"), "_r"), lambda r: F.transform(T.words(r), lambda w: F.xxhash64(w))).alias("_texts"))
+    grams = texts.select(*keys, gram_digests("_texts").alias("_grams"))
+    return materialise(grams.select(*keys, F.get("_grams", F.lit(0)).alias("hyp"), F.slice("_grams", 2, F.size("_grams") - 1).alias("refs")), "grams")
 
 
 def bleu(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -79,21 +167,9 @@ def bleu(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Each row is counted where it is; only ten sums per run and task are shuffled.  Rows without references are left out.
     """
-    def clipped(n: int) -> Column:
-        own, theirs = F.get("hyp", F.lit(n - 1)), F.transform("refs", lambda r: F.get(r, F.lit(n - 1)))
-
-        def matches(common: Column) -> Column:
-            shared = F.filter(own, lambda x: F.array_contains(common, x))
-            times = lambda items, g: F.size(F.filter(items, lambda x: x == g))
-            most = lambda g: F.array_max(F.transform(theirs, lambda r: times(r, g)))
-            counted = T.let(shared, lambda hits: F.transform(common, lambda g: F.least(times(hits, g), most(g))))
-            return F.when(F.size(common) > 0, F.aggregate(counted, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(0)
-
-        return T.let(F.array_intersect(F.flatten(theirs), own), matches)
-
     length = lambda grams: F.size(F.get(grams, F.lit(0))).cast("long")
     sized = counted.where(F.size("refs") > 0).select(
-        *by, length(F.col("hyp")).alias("hyp_len"), F.transform("refs", length).alias("ref_lens"), F.array(*[clipped(n) for n in range(1, MAX_ORDER + 1)]).alias("correct")
+        *by, length(F.col("hyp")).alias("hyp_len"), F.transform("refs", length).alias("ref_lens"), clipped_matches("hyp", "refs").alias("correct")
     )
     hyp = F.col("hyp_len")
     closest = F.array_min(F.transform("ref_lens", lambda n: F.struct(F.abs(n - hyp).alias("gap"), n.alias("len"))))["len"]
@@ -121,44 +197,52 @@ def cider(counted: DataFrame, keys: Sequence[str] = ("idx",), by: Sequence[str]
     columns = list(dict.fromkeys([*keys, *by]))
     gram = ["order", "gram"]
 
-    def occurrences(texts: DataFrame) -> DataFrame:
-        orders = texts.select(*columns, "text", F.posexplode("grams").alias("order", "each"))
-        return orders.select(*columns, "text", "order", F.explode("each").alias("gram"))
+    def occurrences(texts: DataFrame, *kept: str) -> DataFrame:
+        orders = texts.select(*kept, F.posexplode("grams").alias("order", "each"))
+        return orders.select(*kept, "order", F.explode("each").alias("gram"))
 
-    in_reference = occurrences(counted.select(*columns, F.posexplode("refs").alias("text", "grams")))
-    frequency = in_reference.dropDuplicates([*columns, *gram]).groupBy(*by, *gram).agg(F.count(F.lit(1)).alias("df"))
+    # Rows with the same references are counted first, so that their grams are listed once.  Two digests name them.
+    name = F.struct(F.xxhash64("refs").alias("a"), F.xxhash64("refs", F.lit(1)).alias("b"))
+    sets = materialise(counted.select(*by, name.alias("set"), "refs").groupBy(*by, "set").agg(F.first("refs").alias("refs"), F.count(F.lit(1)).alias("rows")), "references")
+    texts = sets.select(*by, "set", "rows", F.posexplode("refs").alias("text", "grams"))
+    in_reference = occurrences(texts, *by, "set", "rows", "text")
+    frequency = in_reference.dropDuplicates([*by, "set", *gram]).groupBy(*by, *gram).agg(F.sum("rows").alias("df"))
     # One row per run.
     sizes = F.broadcast(counted.groupBy(*by).agg(F.log(F.count(F.lit(1)).cast("double")).alias("log_rows")))
-    # Written, so that its size is known when the join is planned: a small one is broadcast and no prediction's gram is shuffled.
+    # Written, so that its size is known when the joins are planned: a small one is broadcast and no prediction's gram is shuffled.
     weights = materialise(join_groups(frequency, sizes, by).withColumn("w", F.col("log_rows") - F.log(F.col("df").cast("double"))), "weights")
-    known = occurrences(counted.select(*columns, F.lit(-1).alias("text"), F.col("hyp").alias("grams"))).unionByName(in_reference)
-    # From here on there are only grams of references, so a prediction's rows are few; one shuffle by row serves all that is grouped below.
-    weighted = join_groups(known, weights, [*by, *gram]).repartition(*columns)
-    counts = weighted.groupBy(*columns, *gram, "text").agg(F.count(F.lit(1)).alias("tf"), F.first("w").alias("w"), F.first("log_rows").alias("log_rows"))
-    cells = counts.groupBy(*columns, *gram).agg(F.collect_list(F.struct("text", "tf")).alias("at"), F.first("w").alias("w"), F.first("log_rows").alias("log_rows"))
-    own_tf = F.coalesce(F.get(F.filter("at", lambda t: t["text"] == -1), F.lit(0))["tf"], F.lit(0))
-    each = cells.select(*keys, "order", "w", "log_rows", own_tf.alias("h"), F.explode("at").alias("t"))
-    value, whole = F.col("t.tf") * F.col("w"), F.col("t.tf") * F.col("log_rows")
-    sums = each.groupBy(*keys, "order", F.col("t.text").alias("text")).agg(
-        # A prediction's norm: below all its grams are added as if no reference had them.
-        F.sum(F.when(F.col("t.text") == -1, value * value - whole * whole).otherwise(value * value)).alias("norm"),
-        F.sum(F.least(F.col("h") * F.col("w"), value) * value).alias("dot"),
-    )
-    found = sums.groupBy(*keys).agg(F.collect_list(F.struct("order", "text", "norm", "dot")).alias("sums"))
+    times = in_reference.groupBy(*by, "set", "text", *gram).agg(F.count(F.lit(1)).alias("tf"))
+    value = F.col("tf") * F.col("w")
+    per_text = join_groups(times, weights, [*by, *gram]).groupBy(*by, "set", "text", "order").agg(F.sum(value * value).alias("norm"))
+    norms = per_text.groupBy(*by, "set").agg(F.collect_list(F.struct("order", "text", "norm")).alias("norms"))
+    # A prediction's norm: below all its grams are added as if no reference had them.
+    known = join_groups(occurrences(counted.select(*columns, F.col("hyp").alias("grams")), *columns), weights, [*by, *gram])
+    in_text = known.groupBy(*columns, *gram).agg(F.count(F.lit(1)).alias("tf"), F.first("w").alias("w"), F.first("log_rows").alias("log_rows"))
+    whole = F.col("tf") * F.col("log_rows")
+    own = in_text.groupBy(*columns, "order").agg(F.sum(value * value - whole * whole).alias("norm"))
+    # What a prediction shares with its own references is found in the row.
+    both = counted.select(*columns, F.explode(shared_grams("hyp", "refs")).alias("g")).select(*columns, "g.*")
+    least = F.least(F.col("own"), F.col("theirs")) * F.col("w") * F.col("theirs") * F.col("w")
+    dots = join_groups(both, weights, [*by, *gram]).groupBy(*columns, "order", "text").agg(F.sum(least).alias("dot"))
+    no = F.lit(None)
+    cells = own.select(*columns, "order", F.lit(-1).cast("bigint").alias("text"), "norm", no.cast("double").alias("dot")).unionByName(
+        dots.select(*columns, "order", "text", no.cast("double").alias("norm"), "dot"))
+    found = cells.groupBy(*columns).agg(F.collect_list(F.struct("order", "text", "norm", "dot")).alias("sums"))
     squares = F.transform(gram_counts("hyp"), lambda c: c["squares"].cast("double"))
     length = lambda grams: F.size(F.get(grams, F.lit(0))).cast("long")
-    rows = counted.select(*columns, squares.alias("squares"), length(F.col("hyp")).alias("hyp_len"), F.transform("refs", length).alias("ref_lens"))
-    return join_groups(join_groups(rows, sizes, by), found, keys, "left").select(*keys, _cider_of_sums().alias("cider"))
+    rows = counted.select(*columns, name.alias("set"), squares.alias("squares"), length(F.col("hyp")).alias("hyp_len"), F.transform("refs", length).alias("ref_lens"))
+    with_norms = join_groups(join_groups(rows, sizes, by), norms, [*by, "set"], "left")
+    return join_groups(with_norms, found, columns, "left").select(*keys, _cider_of_sums().alias("cider"))
 
 
 def _cider_of_sums() -> Column:
     """Score of one prediction from its few (order, text) sums."""
-    def pick(order: int, text: Column | int, name: str) -> Column:
-        return F.coalesce(F.get(F.filter("sums", lambda c: (c["order"] == order - 1) & (c["text"] == text)), F.lit(0))[name], F.lit(0.0))
+    def pick(order: int, text: Column | int, name: str, sums: str = "sums") -> Column:
+        return F.coalesce(F.get(F.filter(sums, lambda c: (c["order"] == order - 1) & (c["text"] == text)), F.lit(0))[name], F.lit(0.0))
 
     def similarity(order: int, text: Column) -> Column:
         own = F.sqrt(F.greatest(pick(order, -1, "norm") + F.get("squares", F.lit(order - 1)) * F.col("log_rows") * F.col("log_rows"), F.lit(0.0)))
-        scale, dot = own * F.sqrt(pick(order, text, "norm")), pick(order, text, "dot")
+        scale, dot = own * F.sqrt(pick(order, text, "norm", "norms")), pick(order, text, "dot")
         return F.when(scale != 0, dot / scale).otherwise(dot)
 
     def of_reference(words: Column, text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -422,6 +423,25 @@ def test_clipping_and_closest_length(spark):
     assert got["Bleu_1"] == pytest.approx(100 * penalty * 3 / 4) and got["Bleu_2"] == pytest.approx(100 * penalty * math.sqrt(3 / 4 * 2 / 3))
 
 
+def test_shared_grams_equal_counting(spark):
+    """Repeats on both sides, empty texts, no references, references with the same grams; counted by hand."""
+    rng = random.Random(21)
+    text = lambda: " ".join(rng.choice("abcde") for _ in range(rng.choice([0, 1, 2, 5, 40])))
+    rows = [(i, text(), [text() for _ in range(rng.choice([0, 1, 2, 3]))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "idx int, prediction string, references array<string>")
+    got = CA.caption_grams(df).select("idx", CA.clipped_matches("hyp", "refs").alias("c"), CA.shared_grams("hyp", "refs").alias("s")).collect()
+    grams = lambda t, n: Counter(tuple(t.split()[i:i + n]) for i in range(len(t.split()) - n + 1))
+    want = {i: (h, rs) for i, h, rs in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        h, refs = want[r.idx]
+        for n in range(1, 5):
+            own, theirs = grams(h, n), [grams(t, n) for t in refs]
+            assert r.c[n - 1] == sum(min(k, max([t[g] for t in theirs], default=0)) for g, k in own.items())
+            for at, t in enumerate(theirs):
+                assert sorted((s.own, s.theirs) for s in r.s if s.order == n - 1 and s.text == at) == sorted((own[g], k) for g, k in t.items() if g in own)
+
+
 def test_gram_profile(spark):
     df = spark.createDataFrame([(1, "a b a b", ["", "x"]), (2, None, ["a a a"])], "idx int, prediction string, references array<string>")
     got = {(r.ref, r.order): (r.grams, r.total, r.most) for r in CA.gram_profile(CA.caption_grams(df)).collect()}
