@@ -437,6 +437,52 @@ def test_near_estimate_keeps_pairs_at_the_threshold():
         assert missed < (1 - 0.8**4) ** 32
 
 
+def test_near_lists_no_pairs_of_texts_that_are_not_linked(spark, monkeypatch):
+    """200 copies of one text, most of them linked by way of others, and 200 texts that share two thirds of their shingles: the pairs confirmed grow with the texts."""
+    rng = random.Random(5)
+    base, plate = [f"w{i}" for i in range(120)], [f"p{i}" for i in range(130)]
+    rows = []
+    for i in range(200):
+        copy = list(base)
+        for _ in range(rng.randint(0, 10)):
+            copy[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+        rows.append((1000 + i, " ".join(plate + [f"y{rng.randrange(10**6)}" for _ in range(30)])))
+    confirm, counts = near_dedup.confirm, []
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "confirm", counted)
+    got = near_dedup.group_near(spark.createDataFrame(rows, SCHEMA), width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(rows, 2)
+    assert sum(counts) < 10 * len(rows)
+
+
+def test_near_sketches_keep_links():
+    """Sketches of linked sets differ in no more bits than the sets, and of large sets beyond what is allowed with less chance than the bands miss."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    for n, most in ((50, 5), (400, 44)):
+        own = np.unique(draw.integers(0, 1 << 63, n + most, dtype=np.uint64) * np.uint64(2))
+        left, right = own[:n], own[most:]
+        bits = np.bitwise_count(near_dedup.sketch(left) ^ near_dedup.sketch(right)).sum()
+        assert 0 < bits <= 2 * most and 100 * (n - most) >= 80 * (n + most) and bits <= near_dedup.most_bits(np.array([2 * n]), 80)[0]
+    # Exact chances of the number of odd cells after each throw.
+    cells = near_dedup.CELLS
+    odd = np.arange(cells + 1)
+    chance = np.zeros(cells + 1)
+    chance[0] = 1
+    wanted = {int(2 * n * 20 / 180): n for n in (500, 1000, 2000, 4000, near_dedup.SKETCHED)}
+    for throws in range(1, max(wanted) + 1):
+        chance = np.append(0, (chance * (cells - odd) / cells)[:-1]) + np.append((chance * odd / cells)[1:], 0)
+        if throws in wanted:
+            allowed = near_dedup.most_bits(np.array([2 * wanted[throws]]), 80)[0]
+            assert chance[odd > allowed].sum() < (1 - 0.8**4) ** 32
+
+
 # 9 byte-level BPE
 
 
