@@ -82,7 +82,8 @@ def row_measures(predictions: DataFrame, datasets: DataFrame, families: Mapping[
         read = {**{c: c for c in columns}, **family.inputs}
         shown = rows.select(*held, *[F.when(own, F.col("_in")[c]).alias(shown_as) for shown_as, c in read.items()])
         scored = family.scorer(shown)
-        rows = scored.select(*held, *[F.col(m).cast("double").alias(f"{name}.{m}") for m in family.measures])
+        # Asked for in a branch, so that a measure is not computed for the rows of other families.
+        rows = scored.select(*held, *[F.when(own, F.col(m).cast("double")).alias(f"{name}.{m}") for m in family.measures])
         held = [f"`{c}`" for c in rows.columns]
     value = lambda name, m: F.struct(F.lit(m).alias("measure"), F.col(f"`{name}.{m}`").alias("value"))
     values: Column | None = None

@@ -219,6 +219,17 @@ def test_run_matrix_leaves_unknown_data_sets_out(spark):
     assert got == {("m", "overall", "Overall"): (2, 50.0, "chatgpt-0125"), ("m", "category", "c"): (2, 50.0, "chatgpt-0125"), ("n", "overall", "Overall"): (1, 0.0, "chatgpt-0125")}
 
 
+def test_run_matrix_scores_rows_by_their_own_family_only(spark):
+    def strict(df):
+        return df.withColumn("hit", F.when(F.col("prediction").isNull(), F.raise_error(F.lit("a row of another family was scored")).cast("double")).otherwise(F.length("prediction")))
+
+    families = {"strict": RM.Family(strict), "yes_no": RM.FAMILIES["yes_no"]}
+    df = spark.createDataFrame([("m", "a", "four", None, "c"), ("m", "b", "Yes", "Yes", "c")], "model string, dataset string, prediction string, answer string, category string")
+    kinds = spark.createDataFrame([("a", "strict", "VQA"), ("b", "yes_no", "Y/N")], "dataset string, family string, kind string")
+    got = {(r.dataset, r.level): (r.n, r.score) for r in RM.evaluate_all(df, kinds, families).collect()}
+    assert got == {("a", "overall"): (1, 4.0), ("a", "category"): (1, 4.0), ("b", "overall"): (1, 100.0), ("b", "category"): (1, 100.0)}
+
+
 def test_order_is_proved_by_the_manifest(spark, tmp_path):
     rng = random.Random(4)
     rows = [(rng.randrange(300), f"t{i}") for i in range(2000)] + [(None, "none")]
