@@ -1,9 +1,9 @@
 """Caption metrics over whole texts: BLEU, ROUGE-L and CIDEr for each run, in Spark expressions; repeats within a text are counted by numpy.
 
-The runs of one to four words of a text are made once, where the row is, as arrays of 64-bit digests (two different ones of a row of 100,000
+A text's words are written once as 64-bit digests; the digests of its runs of one to four words are made from them wherever they are read (two different ones of a row of 100,000
 words are taken for one with a probability of about 1e-9).  BLEU and whatever of CIDEr needs only the row are sums over those arrays.  Across
-rows only the references' grams are counted, per run, and once for all rows with the same references; of a prediction's grams only those that some reference has go on from the join with
-these counts, which Spark broadcasts where their size allows it.
+rows only the references' grams are counted, per run, and once for all rows with the same references.  A prediction's grams are counted in the row; those that no reference can have are
+known by a table of bits and stay there, the others are joined with the references' counts, which Spark broadcasts where their size allows it.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ _BETA = 1.2
 #: Bits of one number of a row of the common-subsequence table; sums of two and a carry stay positive.
 _BITS = 62
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the table of grams that references have, as a power of two: 8 MB whatever the references are.
+_MARKS = 26
 
 
 def gram_digests(texts: Column | str) -> Column:
@@ -150,16 +152,65 @@ def gram_counts(grams: Column | str) -> Column:
     return counted(grams)
 
 
-def caption_grams(df: DataFrame, keys: Sequence[str] = ("idx",), prediction: str = "prediction", references: str = "references") -> DataFrame:
-    """``keys, hyp, refs``: gram digests of the prediction and of each reference.
+def gram_times(grams: Column | str, marks=None) -> Column:
+    """Different grams of a text and how often each stands; with ``marks`` (of :func:`marked`) only those that may be in the table it was made of."""
 
-    Rows are spread by their keys first.  The result is written once to the shared folder, as each metric reads it several times.
+    @F.arrow_udf("array<struct<order:bigint,gram:bigint,tf:bigint>>")
+    def counted(texts: pa.Array) -> pa.Array:
+        bits = None if marks is None else marks.value
+        orders = texts.flatten()
+        sizes = pc.fill_null(pc.list_value_length(orders), 0).to_numpy(zero_copy_only=False)
+        outer = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = orders.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(outer)), outer)
+        order = np.arange(len(sizes)) - np.repeat(np.cumsum(outer) - outer, outer)
+        each = np.repeat(np.arange(len(sizes)), sizes)
+        if bits is not None:
+            slot = values & ((1 << _MARKS) - 1)
+            may = (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+            values, each = values[may], each[may]
+        edges = np.searchsorted(each, np.arange(len(sizes) + 1)).tolist()
+        parts, counts = [np.zeros((3, 0), np.int64)], np.zeros(len(outer), np.int64)
+        for n in np.flatnonzero(np.diff(edges)).tolist():
+            found, times = np.unique(values[edges[n]:edges[n + 1]], return_counts=True)
+            parts.append(np.array([np.full(len(found), order[n]), found, times]))
+            counts[row[n]] += len(found)
+        columns = [pa.array(c) for c in np.concatenate(parts, axis=1)]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.StructArray.from_arrays(columns, ["order", "gram", "tf"]))
+
+    return counted(grams)
+
+
+def marked(table: DataFrame):
+    """A broadcast table of bits, one set for each ``gram`` of ``table``; at most a number for each 64 of its bits reaches the driver."""
+    slot = F.col("gram").bitwiseAND(F.lit((1 << _MARKS) - 1))
+    found = table.select(F.shiftright(slot, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit"))
+    numbers = found.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << _MARKS - 6, np.int64)
+    bits[numbers["at"].to_numpy(np.int64)] = numbers["bits"].to_numpy(np.int64)
+    return table.sparkSession.sparkContext.broadcast(bits)
+
+
+def caption_grams(
+    df: DataFrame, keys: Sequence[str] = ("idx",), prediction: str = "prediction", references: str = "references", rouge: bool = False,
+) -> DataFrame:
+    """``keys, hyp, refs``: gram digests of the prediction and of each reference; ``hyp_words, ref_words``: digests of their words.
+
+    Rows are spread by their keys first.  The words' digests are written once to the shared folder, as each metric reads them several times; grams
+    are four times as much and are made from them on reading.  ``rouge``: also a column ``rouge_l`` (null without references), so that the texts are not spread again for it.
     """
     rows = df.select(*keys, T.as_text(prediction).alias("_h"), F.col(references).alias("_r")).repartition(*keys)
-    # One call for all texts of a row: its prediction and then its references.
-    texts = rows.select(*keys, F.transform(F.concat(F.array("_h"), "_r"), lambda r: F.transform(T.words(r), lambda w: F.xxhash64(w))).alias("_texts"))
-    grams = texts.select(*keys, gram_digests("_texts").alias("_grams"))
-    return materialise(grams.select(*keys, F.get("_grams", F.lit(0)).alias("hyp"), F.slice("_grams", 2, F.size("_grams") - 1).alias("refs")), "grams")
+    digests = lambda text: F.transform(T.words(text), lambda w: F.xxhash64(w))
+    columns = [F.when(F.col("_r").isNotNull(), digests(F.col("_h"))).alias("hyp_words"), F.transform("_r", digests).alias("ref_words")]
+    if rouge:
+        columns.append(_rouge_of("_h", "_r").alias("rouge_l"))
+    words = materialise(rows.select(*keys, *columns), "words")
+    return words.withColumns({"hyp": F.get(gram_digests(F.array("hyp_words")), F.lit(0)), "refs": gram_digests("ref_words")})
+
+
+def _words_of(texts: Column | str) -> Column:
+    """Number of words of each text, from their digests."""
+    return F.transform(texts, lambda t: F.coalesce(F.size(t), F.lit(0)).cast("long"))
 
 
 def bleu(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -167,9 +218,8 @@ def bleu(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Each row is counted where it is; only ten sums per run and task are shuffled.  Rows without references are left out.
     """
-    length = lambda grams: F.size(F.get(grams, F.lit(0))).cast("long")
-    sized = counted.where(F.size("refs") > 0).select(
-        *by, length(F.col("hyp")).alias("hyp_len"), F.transform("refs", length).alias("ref_lens"), clipped_matches("hyp", "refs").alias("correct")
+    sized = counted.where(F.size("ref_words") > 0).select(
+        *by, F.size("hyp_words").cast("long").alias("hyp_len"), _words_of("ref_words").alias("ref_lens"), clipped_matches("hyp", "refs").alias("correct")
     )
     hyp = F.col("hyp_len")
     closest = F.array_min(F.transform("ref_lens", lambda n: F.struct(F.abs(n - hyp).alias("gap"), n.alias("len"))))["len"]
@@ -198,13 +248,15 @@ def cider(counted: DataFrame, keys: Sequence[str] = ("idx",), by: Sequence[str]
     gram = ["order", "gram"]
 
     def occurrences(texts: DataFrame, *kept: str) -> DataFrame:
-        orders = texts.select(*kept, F.posexplode("grams").alias("order", "each"))
-        return orders.select(*kept, "order", F.explode("each").alias("gram"))
+        # The outer forms, so that no filter makes the arrays again.
+        orders = texts.select(*kept, F.posexplode_outer("grams").alias("order", "each"))
+        return orders.select(*kept, "order", F.explode_outer("each").alias("gram")).where("gram is not null")
 
     # Rows with the same references are counted first, so that their grams are listed once.  Two digests name them.
-    name = F.struct(F.xxhash64("refs").alias("a"), F.xxhash64("refs", F.lit(1)).alias("b"))
-    sets = materialise(counted.select(*by, name.alias("set"), "refs").groupBy(*by, "set").agg(F.first("refs").alias("refs"), F.count(F.lit(1)).alias("rows")), "references")
-    texts = sets.select(*by, "set", "rows", F.posexplode("refs").alias("text", "grams"))
+    name = F.struct(F.xxhash64("ref_words").alias("a"), F.xxhash64("ref_words", F.lit(1)).alias("b"))
+    named = counted.select(*by, name.alias("set"), "ref_words")
+    sets = materialise(named.groupBy(*by, "set").agg(F.first("ref_words").alias("ref_words"), F.count(F.lit(1)).alias("rows")), "references")
+    texts = sets.select(*by, "set", "rows", F.posexplode_outer(gram_digests("ref_words")).alias("text", "grams"))
     in_reference = occurrences(texts, *by, "set", "rows", "text")
     frequency = in_reference.dropDuplicates([*by, "set", *gram]).groupBy(*by, *gram).agg(F.sum("rows").alias("df"))
     # One row per run.
@@ -216,10 +268,17 @@ def cider(counted: DataFrame, keys: Sequence[str] = ("idx",), by: Sequence[str]
     per_text = join_groups(times, weights, [*by, *gram]).groupBy(*by, "set", "text", "order").agg(F.sum(value * value).alias("norm"))
     norms = per_text.groupBy(*by, "set").agg(F.collect_list(F.struct("order", "text", "norm")).alias("norms"))
     # A prediction's norm: below all its grams are added as if no reference had them.
-    known = join_groups(occurrences(counted.select(*columns, F.col("hyp").alias("grams")), *columns), weights, [*by, *gram])
-    in_text = known.groupBy(*columns, *gram).agg(F.count(F.lit(1)).alias("tf"), F.first("w").alias("w"), F.first("log_rows").alias("log_rows"))
+    marks = marked(weights)
+    mine = counted.select(*columns, F.explode_outer(gram_times("hyp", marks)).alias("g")).where("g is not null").select(*columns, "g.*")
+    known = join_groups(mine, weights, [*by, *gram])
     whole = F.col("tf") * F.col("log_rows")
-    own = in_text.groupBy(*columns, "order").agg(F.sum(value * value - whole * whole).alias("norm"))
+    # Rows of one key are one text; keys that stand once need no shuffle of grams.  Written, so that the size of this mostly empty table is known.
+    repeated = materialise(counted.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*columns), "repeated")
+    together = join_groups(known, repeated, columns, "left_semi").groupBy(*columns, *gram).agg(
+        F.sum("tf").alias("tf"), F.first("w").alias("w"), F.first("log_rows").alias("log_rows"))
+    alone = join_groups(known, repeated, columns, "left_anti")
+    kept = [*columns, "order", "tf", "w", "log_rows"]
+    own = alone.select(*kept).unionByName(together.select(*kept)).groupBy(*columns, "order").agg(F.sum(value * value - whole * whole).alias("norm"))
     # What a prediction shares with its own references is found in the row.
     both = counted.select(*columns, F.explode(shared_grams("hyp", "refs")).alias("g")).select(*columns, "g.*")
     least = F.least(F.col("own"), F.col("theirs")) * F.col("w") * F.col("theirs") * F.col("w")
@@ -229,8 +288,7 @@ def cider(counted: DataFrame, keys: Sequence[str] = ("idx",), by: Sequence[str]
         dots.select(*columns, "order", "text", no.cast("double").alias("norm"), "dot"))
     found = cells.groupBy(*columns).agg(F.collect_list(F.struct("order", "text", "norm", "dot")).alias("sums"))
     squares = F.transform(gram_counts("hyp"), lambda c: c["squares"].cast("double"))
-    length = lambda grams: F.size(F.get(grams, F.lit(0))).cast("long")
-    rows = counted.select(*columns, name.alias("set"), squares.alias("squares"), length(F.col("hyp")).alias("hyp_len"), F.transform("refs", length).alias("ref_lens"))
+    rows = counted.select(*columns, name.alias("set"), squares.alias("squares"), F.size("hyp_words").cast("long").alias("hyp_len"), _words_of("ref_words").alias("ref_lens"))
     with_norms = join_groups(join_groups(rows, sizes, by), norms, [*by, "set"], "left")
     return join_groups(with_norms, found, columns, "left").select(*keys, _cider_of_sums().alias("cider"))
 
@@ -317,12 +375,23 @@ def rouge_l(df: DataFrame, keys: Sequence[str] = ("idx",), prediction: str = "pr
     """ROUGE-L (beta 1.2) of every prediction with its best recall and best precision over references; nothing but the texts is shuffled."""
     # Rows without references go here: a later filter would be moved below the table and make it twice.
     rows = df.where(F.size(references) > 0).select(*keys, T.as_text(prediction).alias("_h"), F.col(references).alias("_r")).repartition(*keys)
-    words = rows.select(*keys, F.split("_h", " ").alias("h"), F.transform("_r", lambda r: F.split(r, " ")).alias("rs"))
-    shared = words.select(*keys, F.size("h").alias("n"), F.transform("rs", lambda r: F.struct(common_subsequence(F.col("h"), r).alias("lcs"), F.size(r).alias("n"))).alias("l"))
-    best = shared.select(*keys, F.array_max(F.transform("l", lambda x: x["lcs"] / F.col("n"))).alias("p"), F.array_max(F.transform("l", lambda x: x["lcs"] / x["n"])).alias("r"))
-    p, r, b2 = F.col("p"), F.col("r"), _BETA * _BETA
-    score = F.when((p != 0) & (r != 0), (1 + b2) * p * r / (r + b2 * p)).otherwise(0.0)
-    return best.select(*keys, score.alias("rouge_l"))
+    return rows.select(*keys, _rouge_of("_h", "_r").alias("rouge_l"))
+
+
+def _rouge_of(prediction: str, references: str) -> Column:
+    """ROUGE-L of a row; null without references."""
+    b2 = _BETA * _BETA
+
+    def score(best: Column) -> Column:
+        p, r = best["p"], best["r"]
+        return F.when((p != 0) & (r != 0), (1 + b2) * p * r / (r + b2 * p)).otherwise(0.0)
+
+    def best(h: Column) -> Column:
+        shared = F.transform(references, lambda r: T.let(F.split(r, " "), lambda words: F.struct(common_subsequence(h, words).alias("lcs"), F.size(words).alias("n"))))
+        return T.let(shared, lambda found: F.struct(
+            F.array_max(F.transform(found, lambda x: x["lcs"] / F.size(h))).alias("p"), F.array_max(F.transform(found, lambda x: x["lcs"] / x["n"])).alias("r")))
+
+    return F.when(F.size(references) > 0, T.let(T.let(F.split(prediction, " "), best), score))
 
 
 def gram_profile(counted: DataFrame) -> DataFrame:
@@ -330,7 +399,7 @@ def gram_profile(counted: DataFrame) -> DataFrame:
 
     A row adds up its own grams first, so one small row per text and order is grouped.
     """
-    texts = counted.select(F.posexplode(F.concat(F.array("hyp"), F.col("refs"))).alias("text", "grams"))
+    texts = counted.select(F.posexplode_outer(F.concat(F.array("hyp"), F.col("refs"))).alias("text", "grams")).where("text is not null")
     orders = texts.select((F.col("text") - 1).alias("ref"), gram_counts("grams").alias("orders"))
     rows = orders.select("ref", F.posexplode_outer("orders").alias("at", "s")).select("ref", (F.col("at") + 1).alias("order"), "s.*").where("total > 0")
     return rows.groupBy("ref", "order").agg(F.sum("grams").alias("grams"), F.sum("total").alias("total"), F.max("most").alias("most"))

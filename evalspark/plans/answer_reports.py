@@ -148,7 +148,7 @@ def captions(df: DataFrame, by: Sequence[str] = RUN, index: str = "idx") -> Data
     Rows are known by ``by`` and ``index`` together: two models may answer the same index.
     """
     keys = [*by, index]
-    counted = C.caption_grams(df, keys)
-    rouge = C.rouge_l(df, keys).groupBy(*by).agg((F.avg("rouge_l") * 100).alias("ROUGE_L"))
+    counted = C.caption_grams(df, keys, rouge=True)
+    rouge = counted.where(F.size("ref_words") > 0).groupBy(*by).agg((F.avg("rouge_l") * 100).alias("ROUGE_L"))
     cider = C.cider(counted, keys, by).groupBy(*by).agg((F.avg("cider") * 100).alias("CIDEr"))
     return G.merge_measures([C.bleu(counted, by), rouge, cider], by)

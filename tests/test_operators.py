@@ -1,6 +1,7 @@
 """Operators against brute force on small inputs, including very uneven groups."""
 
 import math
+import os
 import random
 from collections import Counter
 from difflib import SequenceMatcher
@@ -442,6 +443,59 @@ def test_shared_grams_equal_counting(spark):
                 assert sorted((s.own, s.theirs) for s in r.s if s.order == n - 1 and s.text == at) == sorted((own[g], k) for g, k in t.items() if g in own)
 
 
+def test_captions_write_words_once(spark):
+    """What is written has one number per word, not one for each of its grams; grams that no reference has do not leave their row."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared = text(20)
+    rows = [(i, text(400) + " " + shared, [shared]) for i in range(100)]
+    df = spark.createDataFrame(rows, "idx int, prediction string, references array<string>")
+    grams = CA.caption_grams(df)
+    (path,) = {f.rsplit("/", 1)[0] for f in grams.inputFiles()}
+    size = sum(os.path.getsize(os.path.join(path.removeprefix("file://"), f)) for f in os.listdir(path.removeprefix("file://")))
+    assert size < 100 * 440 * 8 * 1.5
+    marks = CA.marked(spark.createDataFrame([(1,), (-5,), (1 << 40,)], "gram long"))
+    texts = spark.createDataFrame([([[1, 1, 2], [-5, 7]], 0), ([], 1), (None, 2), ([[], [1 << 40] * 3], 3)], "g array<array<bigint>>, i int")
+    got = {r.i: [tuple(x) for x in r.t] for r in texts.select("i", CA.gram_times("g", marks).alias("t")).collect()}
+    assert got == {0: [(0, 1, 2), (1, -5, 1)], 1: [], 2: [], 3: [(1, 1 << 40, 3)]}
+
+
+def test_cider_of_repeated_keys_and_without_broadcast(spark):
+    """CIDEr counted by hand; rows of one key count as one text, and joins that are not broadcast give the same."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(i, text(rng.choice([0, 1, 9])), [text(rng.choice([0, 3, 7])) for _ in range(1 + i % 2)]) for i in range(30)]
+    rows += [(None, "a b a", ["a b"]), (7, "a a c", rows[7][2])]
+    df = spark.createDataFrame(rows, "idx int, prediction string, references array<string>")
+    grams = lambda t: Counter((n, tuple(t.split()[i:i + n])) for n in range(1, 5) for i in range(len(t.split()) - n + 1))
+    held = Counter(g for _, _, refs in rows for g in {g for r in refs for g in grams(r)})
+    log_rows = math.log(len(rows))
+    weight = lambda g: log_rows - math.log(max(held[g], 1))
+    norm = lambda c, n: math.sqrt(sum((k * weight(g)) ** 2 for g, k in c.items() if g[0] == n))
+    want = {}
+    for idx, h, refs in (r for r in rows if r[0] != 7):
+        own, score = grams(h), 0.0
+        for r in refs:
+            theirs, total = grams(r), 0.0
+            for n in range(1, 5):
+                dot = sum(min(own[g], k) * weight(g) * k * weight(g) for g, k in theirs.items() if g[0] == n)
+                scale = norm(own, n) * norm(theirs, n)
+                total += dot / scale if scale else dot
+            gap = max(len(h.split()) - 1, 0) - max(len(r.split()) - 1, 0)
+            score += total * math.exp(-gap * gap / 72)
+        want[idx] = score / len(refs) / 4 * 10
+    found = {}
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = sorted(((r.idx is not None, r.idx, r.cider) for r in CA.cider(CA.caption_grams(df)).collect()), key=str)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert len(got) == len(rows) and all(c == pytest.approx(want[i], abs=1e-9) for _, i, c in got if i != 7)
+        found[limit] = [round(c, 9) for _, _, c in got]
+    assert found["10m"] == found["-1"]
+
+
 def test_gram_profile(spark):
     df = spark.createDataFrame([(1, "a b a b", ["", "x"]), (2, None, ["a a a"])], "idx int, prediction string, references array<string>")
     got = {(r.ref, r.order): (r.grams, r.total, r.most) for r in CA.gram_profile(CA.caption_grams(df)).collect()}
