@@ -562,6 +562,49 @@ def test_language_model_edges(spark, empty):
     assert language_model.score(empty, F.lit(True)).isEmpty()
 
 
+def test_language_model_contexts_are_words(spark):
+    """Every different word before is a context of its own, however words end, and tells what follows it."""
+    import numpy as np
+
+    _, contexts, _ = language_model.tokens([" ".join(f"x{i}e" for i in range(20_000))])
+    assert len(np.unique(contexts)) == 20_001
+    n = 1200
+    asked = [f"x{i}e y{(i + d) % n}" for i in (7, 401) for d in (0, 1)]
+    docs = [(i, f"x{i}e y{i} " * 3) for i in range(n)] + [(n + i, t) for i, t in enumerate(asked)]
+    got = {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(docs, SCHEMA), F.col("doc_id") < n).collect()}
+    assert len(got) == len(docs)
+    assert got[n] > got[n + 1] + 1.5 and got[n + 2] > got[n + 3] + 1.5
+
+
+def test_language_model_probabilities_add_up(spark):
+    """Before tables move, all known words and the unknown one have probability one after any word; totals are those of all buckets."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.5, 30) % 200) for _ in range(60)]
+    docs = spark.createDataFrame([(t, i % 7 != 2) for i, t in enumerate(texts)], "body string, learn boolean")
+    counts, history, _ = language_model.train(docs, 1)
+    totals = history[0]
+    buckets = [language_model.Seating(row, row.bucket) for row in counts.toPandas().itertuples()]
+    pairs = Counter()
+    for i, t in enumerate(texts):
+        if i % 7 != 2:
+            _, contexts, _ = language_model.tokens([t])
+            pairs.update(contexts.tolist())
+    for key in list(pairs)[:20]:
+        (customers,) = {own.customers[np.flatnonzero(own.keys == key)[0]] for own in buckets if key in own.keys}
+        assert customers == pairs[key]
+        weight = next(own.weights(totals)[np.flatnonzero(own.keys == key)[0]] for own in buckets if key in own.keys)
+        kind = key >> 48
+        total = totals.base * totals.weight(0)[0] * totals.weight(1)[kind] * weight
+        for own in buckets:
+            p0, p1, p2 = own.probabilities(totals)
+            for w in range(len(own.vocabulary)):
+                at1, at2 = (own.word1 == w) & (own.context1 == kind), (own.word == w) & (own.contexts == key)
+                total += p2[at2][0] if at2.any() else weight * (p1[at1][0] if at1.any() else totals.weight(1)[kind] * p0[w])
+        assert math.isclose(total, 1, rel_tol=1e-9)
+
+
 def test_stirling_and_tables():
     import numpy as np
 
