@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -443,6 +444,28 @@ def test_shared_grams_equal_counting(spark):
                 assert sorted((s.own, s.theirs) for s in r.s if s.order == n - 1 and s.text == at) == sorted((own[g], k) for g, k in t.items() if g in own)
 
 
+def test_equal_blanks_are_searched_once():
+    """A reply's equal blanks are one search, and each of them gets its answer; another reply's are searched again."""
+    calls, best = [], CV.Reply.best
+
+    def counted(self, needle, text):
+        calls.append(text)
+        return best(self, needle, text)
+
+    hay = ["a", "b", "c", "d", "a", "b"]
+    blanks = ["b c", "x y", "b c", "b  c", "b c"]
+    needles = [b.split() for b in blanks]
+    columns = [pa.array([x, x]) for x in (hay, needles, blanks, " ")]
+    CV.Reply.best = counted
+    try:
+        first, second = CV._searched(*columns).to_pylist()
+    finally:
+        CV.Reply.best = best
+    assert calls == ["b c", "x y", "b  c"] * 2
+    assert first == second and [f["window"] for f in first] == [["b", "c"], None, ["b", "c"], ["b", "c"], ["b", "c"]]
+    assert first[0]["sim"] == first[2]["sim"] == first[4]["sim"] == 1.0
+
+
 def test_captions_write_words_once(spark):
     """What is written has one number per word, not one for each of its grams; grams that no reference has do not leave their row."""
     rng = random.Random(4)
