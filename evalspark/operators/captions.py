@@ -269,16 +269,18 @@ def cider(counted: DataFrame, keys: Sequence[str] = ("idx",), by: Sequence[str]
     norms = per_text.groupBy(*by, "set").agg(F.collect_list(F.struct("order", "text", "norm")).alias("norms"))
     # A prediction's norm: below all its grams are added as if no reference had them.
     marks = marked(weights)
-    mine = counted.select(*columns, F.explode_outer(gram_times("hyp", marks)).alias("g")).where("g is not null").select(*columns, "g.*")
-    known = join_groups(mine, weights, [*by, *gram])
+
+    def known(rows: DataFrame) -> DataFrame:
+        mine = rows.select(*columns, F.explode_outer(gram_times("hyp", marks)).alias("g")).where("g is not null").select(*columns, "g.*")
+        return join_groups(mine, weights, [*by, *gram]).select(*columns, *gram, "tf", "w", "log_rows")
+
     whole = F.col("tf") * F.col("log_rows")
     # Rows of one key are one text; keys that stand once need no shuffle of grams.  Written, so that the size of this mostly empty table is known.
     repeated = materialise(counted.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*columns), "repeated")
-    together = join_groups(known, repeated, columns, "left_semi").groupBy(*columns, *gram).agg(
+    together = known(join_groups(counted, repeated, columns, "left_semi")).groupBy(*columns, *gram).agg(
         F.sum("tf").alias("tf"), F.first("w").alias("w"), F.first("log_rows").alias("log_rows"))
-    alone = join_groups(known, repeated, columns, "left_anti")
-    kept = [*columns, "order", "tf", "w", "log_rows"]
-    own = alone.select(*kept).unionByName(together.select(*kept)).groupBy(*columns, "order").agg(F.sum(value * value - whole * whole).alias("norm"))
+    alone = known(join_groups(counted, repeated, columns, "left_anti"))
+    own = alone.unionByName(together).groupBy(*columns, "order").agg(F.sum(value * value - whole * whole).alias("norm"))
     # What a prediction shares with its own references is found in the row.
     both = counted.select(*columns, F.explode(shared_grams("hyp", "refs")).alias("g")).select(*columns, "g.*")
     least = F.least(F.col("own"), F.col("theirs")) * F.col("w") * F.col("theirs") * F.col("w")
